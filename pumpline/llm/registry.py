@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pumpline.llm import pieces
+from pumpline.llm import pieces, quality
 
 
 def queries() -> dict:
-    return {"op1_pieces": pieces.op1_pieces}
+    return {"op1_pieces": pieces.op1_pieces, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_quality": quality.ORACLE}
