@@ -29,8 +29,8 @@ from pumpline.llm.merges import MergeTable
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
-#: Segments that a worker keeps.
-KEPT_SEGMENTS = 400_000
+#: Segments that a worker keeps, and as many older ones.
+KEPT_SEGMENTS = 300_000
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -72,6 +72,7 @@ class PieceModel:
         self.after_bytes = max(self.byte_of) + 1
         self.name = [str(i) for i in range(n)]
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}  # what was kept before the table was last full
 
     def _symbol(self, normal: dict, text: str):
         return int(self.char[ord(text)]) if len(text) == 1 else normal.get(text)
@@ -119,13 +120,17 @@ class PieceModel:
 
     def learn(self, segments) -> None:
         """Encodes the segments not yet kept, and checks them against the library in one call."""
-        kept = self.kept
-        new = [s for s in segments if s not in kept]
+        new = [s for s in segments if s not in self.kept]
         if not new:
             return
-        if len(kept) + len(new) > KEPT_SEGMENTS:
-            kept.clear()
+        if len(self.kept) + len(new) > KEPT_SEGMENTS:
+            self.older, self.kept = self.kept, {}
             new = list(segments)
+        kept, older = self.kept, self.older
+        for s in new:
+            if s in older:
+                kept[s] = older[s]
+        new = [s for s in new if s not in kept]
         encoded = self.encode_segments(new)
         decoded = [self.decode_raw(ids) for ids in encoded]
         if self.check:
@@ -208,8 +213,9 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, id_col: str = "
             rows = [model.segments(t) for t in texts]
             model.learn({s for r in rows for s in r})
             n, ids, back = [], [], []
-            for t in texts:
-                got = model.entries(t)
+            kept = model.kept
+            for r in rows:
+                got = [kept[s] for s in r]
                 n.append(sum(e[0] for e in got))
                 ids.append(hashlib.sha256(",".join([e[1] for e in got]).encode()).hexdigest())
                 raw = "".join([e[2] for e in got])
