@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pumpline.llm import pieces, pii, quality
+from pumpline.llm import packing, pieces, pii, quality
 
 
 def queries() -> dict:
-    return {"op1_pieces": pieces.op1_pieces, "op5_pseudonyms": pii.op5_pseudonyms, "op9_quality": quality.op9_quality}
+    return {"op1_pieces": pieces.op1_pieces, "op4_packing": packing.op4_packing, "op5_pseudonyms": pii.op5_pseudonyms, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict:
