@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pumpline.llm import language, packing, pieces, pii, quality
+from pumpline.llm import chunks, language, packing, pieces, pii, quality
 
 
 def queries() -> dict:
-    return {"op1_pieces": pieces.op1_pieces, "op4_packing": packing.op4_packing, "op5_pseudonyms": pii.op5_pseudonyms, "op8_language": language.op8_language, "op9_quality": quality.op9_quality}
+    return {"op1_pieces": pieces.op1_pieces, "op4_packing": packing.op4_packing, "op5_pseudonyms": pii.op5_pseudonyms, "op7_chunks": chunks.op7_chunks, "op8_language": language.op8_language, "op9_quality": quality.op9_quality}
 
 
 def oracle_sql() -> dict:
