@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ SLICE_BYTES = 8 << 20
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in order, cut so that the column's values of each have about `most` bytes, or one row."""
+    gc.set_threshold(200_000, 20, 100)  # workers keep large tables without cycles
     for batch in batches:
         if batch.num_rows and batch.nbytes > most:
             values = batch.column(column)

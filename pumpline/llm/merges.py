@@ -15,6 +15,36 @@ import numpy as np
 MATRIX_LENGTH = 24
 
 
+class Kept(dict):
+    """A table of bounded size: when it is full it becomes the older one, whose entries come back when asked for."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key]
+        return value
+
+    def lacking(self, keys: set) -> list:
+        """The keys in neither table, with room made for them."""
+        if len(self) + len(keys) > self.most:
+            self.older = dict(self)
+            self.clear()
+        older = self.older
+        return [k for k in keys if k not in self and k not in older]
+
+
+    def rows(self, rows: list[list], learn) -> list[list]:
+        """The values of each row's keys; learn gets the set of those that aren't kept and keeps them."""
+        out = [list(map(self.get, r)) for r in rows]
+        open_ = [i for i, r in enumerate(out) if None in r]
+        learn({k for i in open_ for k, v in zip(rows[i], out[i]) if v is None})
+        for i in open_:
+            out[i] = [self[k] if v is None else v for k, v in zip(rows[i], out[i])]
+        return out
+
+
 class MergeTable:
     """Pairs of symbol ids with the id and score of what they join into."""
 

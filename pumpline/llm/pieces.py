@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pumpline.llm.arrow import byte_slices
-from pumpline.llm.merges import MergeTable
+from pumpline.llm.merges import Kept, MergeTable
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
@@ -71,8 +71,7 @@ class PieceModel:
         self.shown = [" \u2047 " if i == self.unknown else "" if i in self.control else p.replace(MARK, " ") for i, p in enumerate(pieces)]
         self.after_bytes = max(self.byte_of) + 1
         self.name = [str(i) for i in range(n)]
-        self.kept: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}  # what was kept before the table was last full
+        self.kept = Kept(KEPT_SEGMENTS)
 
     def _symbol(self, normal: dict, text: str):
         return int(self.char[ord(text)]) if len(text) == 1 else normal.get(text)
@@ -118,24 +117,16 @@ class PieceModel:
     def segments(self, text: str) -> list[str]:
         return SEGMENT.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, segments) -> None:
+    def learn(self, segments: set) -> None:
         """Encodes the segments not yet kept, and checks them against the library in one call."""
-        new = [s for s in segments if s not in self.kept]
+        new = self.kept.lacking(segments)
         if not new:
             return
-        if len(self.kept) + len(new) > KEPT_SEGMENTS:
-            self.older, self.kept = self.kept, {}
-            new = list(segments)
-        kept, older = self.kept, self.older
-        for s in new:
-            if s in older:
-                kept[s] = older[s]
-        new = [s for s in new if s not in kept]
         encoded = self.encode_segments(new)
         decoded = [self.decode_raw(ids) for ids in encoded]
         if self.check:
             self._compare(new, encoded, decoded)
-        name = self.name
+        kept, name = self.kept, self.name
         for s, ids, text in zip(new, encoded, decoded):
             kept[s] = (len(ids), ",".join([name[i] for i in ids]), text)
 
@@ -154,18 +145,12 @@ class PieceModel:
             if self.library.decode(ids) != "".join([decoded[i] for i in g])[1:]:
                 raise ValueError(f"the library's decoded text differs, in {text[:200]!r}")
 
-    def entries(self, text: str) -> list[tuple]:
-        segments = self.segments(text)
-        kept = self.kept
-        try:
-            return [kept[s] for s in segments]
-        except KeyError:
-            pass
-        self.learn(set(segments))
-        return [self.kept[s] for s in segments]
+    def entries(self, texts: list[str]) -> list[list[tuple]]:
+        """Per text, of each segment: number of ids, ids joined by commas, text."""
+        return self.kept.rows([self.segments(t) for t in texts], self.learn)
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for e in self.entries(text or "") for i in e[1].split(",")]
+        return [int(i) for e in self.entries([text or ""])[0] for i in e[1].split(",")]
 
 
 def _utf8(run: bytes) -> str:
@@ -209,13 +194,8 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = piece_model(model_path(path))
         for part in byte_slices(batches, 1):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            rows = [model.segments(t) for t in texts]
-            model.learn({s for r in rows for s in r})
             n, ids, back = [], [], []
-            kept = model.kept
-            for r in rows:
-                got = [kept[s] for s in r]
+            for got in model.entries([t or "" for t in part.column(1).to_pylist()]):
                 n.append(sum(e[0] for e in got))
                 ids.append(hashlib.sha256(",".join([e[1] for e in got]).encode()).hexdigest())
                 raw = "".join([e[2] for e in got])

@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from pumpline.llm.merges import MergeTable
+from pumpline.llm.merges import Kept, MergeTable
 
 KEPT_WORDS = 300_000
 #: Fixed: the vocabulary's own pattern for parts of a word.
@@ -50,40 +50,32 @@ class WordModel:
         chars = byte_characters()
         # A byte that ends its word has another symbol: code 256 + byte.
         self.symbol = np.array([vocab[c] for c in chars] + [vocab[c + end] for c in chars], np.int64)
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _parts(self, words: list[str]) -> list[bytes]:
-        split = [PARTS.findall(w) for w in words]
-        parts = list({p for x in split for p in x})
-        coded = []
+        self.bytes_of = [int(i).to_bytes(4, "little") for i in range(self.table.n)]
+        self.kept = Kept(KEPT_WORDS)
+
+    def learn(self, words: set) -> None:
+        """A part of a word is a word itself, and is kept as one."""
+        kept, spell = self.kept, self.bytes_of.__getitem__
+        new = kept.lacking(words)
+        whole = [w for w in new if w.isalpha()]
+        split = [(w, [w[:-1], w[-1]] if w[-1] in ".,!?:;" and w[:-1].isalpha() else PARTS.findall(w)) for w in new if not w.isalpha()]
+        parts = {p for _, x in split for p in x if p not in kept}
+        parts.update(whole)
+        coded, parts = [], list(parts)
         for p in parts:
-            raw = p.encode().decode("latin-1")
+            raw = p if p.isascii() else p.encode().decode("latin-1")
             coded.append(raw[:-1] + chr(256 + ord(raw[-1])))
-        of = {p: np.array(x, "<u4").tobytes() for p, x in zip(parts, self.table.merge(coded, self.symbol.__getitem__))}
-        return [of[x[0]] if len(x) == 1 else b"".join([of[p] for p in x]) for x in split]
-
-    def learn(self, words) -> None:
-        new = [w for w in words if w not in self.kept]
-        if not new:
-            return
-        if len(self.kept) + len(new) > KEPT_WORDS:
-            self.older, self.kept = self.kept, {}
-            new = list(words)
-        kept, older = self.kept, self.older
-        for w in new:
-            if w in older:
-                kept[w] = older[w]
-        new = [w for w in new if w not in kept]
-        kept.update(zip(new, self._parts(new)))
+        for p, ids in zip(parts, self.table.merge(coded, self.symbol.__getitem__)):
+            kept[p] = b"".join(map(spell, ids))
+        for w, x in split:
+            kept[w] = b"".join([kept[p] for p in x])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit numbers."""
         plain = [not BY_LIBRARY.search(t) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
-        words = [t.lower().split() if p else None for t, p in zip(texts, plain)]
-        self.learn({w for x in words if x for w in x})
-        kept = self.kept
-        out = [b"".join([kept[w] for w in x]) if x is not None else b"" for x in words]
+        words = [t.lower().split() if p else [] for t, p in zip(texts, plain)]
+        rows = self.kept.rows(words, self.learn)
+        out = list(map(b"".join, rows))
         for i, p in enumerate(plain):
             if not p:
                 out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
