@@ -51,7 +51,7 @@ def pieces(docs: DataFrame, path: str | None = None, most: int = LENGTH, cut: in
             doc, at, length, crc, total = [], [], [], [], []
             encoded = model.encode_all([t or "" for t in part.column(1).to_pylist()])
             for d, ids in zip(part.column(0).to_pylist(), encoded):
-                ids += end
+                ids = ids.astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 full = n - n % most
                 for i in [*range(0, full, most), *range(full, n, cut)]:
