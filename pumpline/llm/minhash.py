@@ -7,8 +7,8 @@ rounds end when no bin is empty, at the latest after 2 * BINS of them, so every
 share of equal coordinates concentrates about the similarity.  Bands of ROWS coordinates give buckets.
 
 * Equal sets form a class with one representative; only representatives are compared.
-* In each bucket every member is compared with one centre, chosen by a hash of member and band, so that
-  bands have different centres.  Pairs that pass are confirmed on the full sets, and linked.
+* The centre of a bucket is its member with the smallest hash.  Every member is compared, on the full sets, with
+  one of its buckets' centres, and then with those that it isn't connected with by that.
 * Buckets whose members aren't all connected by then get their other pairs compared too: members are dealt
   into blocks, and the sketches of two blocks at a time are compared in one task, emitting only pairs of
   different components whose sketches agree within six standard deviations of the threshold.  These are
@@ -220,25 +220,34 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     nodes = full.join(classes.withColumnRenamed("node", "doc_id"), ["d1", "d2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands", "sketch")
     rays = nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    # The centre of a bucket: the member with the smallest hash, of those with equal hashes the smallest.
-    hashed = F.xxhash64("node", "bucket")
-    centres = rays.groupBy("bucket").agg(F.min(hashed).alias("h"), F.max(hashed).alias("last")).filter("h < last")
-    shared = written(rays.withColumn("own", hashed).join(centres, "bucket").select("bucket", "node", "own", "h"), "buckets")
-    centre = shared.filter("own = h").groupBy("bucket").agg(F.min("node").alias("u"))
-    pairs = shared.join(centre, "bucket").filter("u <> node").select("u", F.col("node").alias("v")).distinct()
+    # The centre of a bucket: the member with the smallest hash, so a group's buckets have few centres.
+    hashed = F.xxhash64("node")
+    centres = rays.groupBy("bucket").agg(F.min(hashed).alias("h"), F.max(hashed).alias("last")).filter("h < last").select("bucket", "h")
+    shared = written(rays.join(centres, "bucket").select("bucket", "node", hashed.alias("own"), "h"), "buckets")
+    by_hash = shared.groupBy("own").agg(F.min("node").alias("u")).withColumnRenamed("own", "h")
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
     sets = written(_sets(rows.join(wanted, "doc_id", "left_semi"), k), "sets")
-    links = written(_confirmed(pairs, sets, percent), "links")
-    found = components(links)
 
+    # First each member is compared with one centre: that with the smallest hash of its buckets' centres.
+    first = shared.groupBy("node", "own").agg(F.min("h").alias("h")).filter("h < own").join(by_hash, "h").select("u", F.col("node").alias("v"))
+    links = written(_confirmed(first, sets, percent), "links")
+    found = written(components(links), "components")
+    # Then with the centres of those of its buckets that aren't in its component yet.
+    component = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    pairs = shared.filter("h < own").select("h", F.col("node").alias("v")).distinct().join(by_hash, "h").select("u", "v")
+    pairs = pairs.join(first, ["u", "v"], "left_anti").join(component("v"), "v", "left").join(component("u"), "u", "left")
+    pairs = pairs.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    links = written(links.unionByName(_confirmed(pairs, sets, percent)), "links")
+    found = written(components(links), "components")
+
+    # Then, in buckets that still aren't one component, all with all, block by block.
     labelled = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last and m > 2").select("bucket", "m")
     members = labelled.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node")
     rest = written(_blockwise(members, percent), "pairs")
     more = written(_confirmed(rest, sets, percent), "links")
     if more.limit(1).count():
-        found = components(links.unionByName(more))
-    found = written(found, "components")
+        found = written(components(links.unionByName(more)), "components")
 
     of_class = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("of_class"))
     out = profiles.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
