@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pumpline.llm import chunks, language, minhash, neighbours, packing, pieces, pii, quality, urls
+from pumpline.llm import chunks, language, minhash, neighbours, packing, pieces, pii, quality, scoring, urls
 
 
 def queries() -> dict:
-    return {"op1_pieces": pieces.op1_pieces, "op3_urls": urls.op3_urls, "op4_packing": packing.op4_packing, "op5_pseudonyms": pii.op5_pseudonyms, "op6_neighbours": neighbours.op6_neighbours, "op7_chunks": chunks.op7_chunks, "op8_language": language.op8_language, "op9_quality": quality.op9_quality, "op10_minhash": minhash.op10_minhash}
+    return {"op1_pieces": pieces.op1_pieces, "op2_scoring": scoring.op2_scoring, "op3_urls": urls.op3_urls, "op4_packing": packing.op4_packing, "op5_pseudonyms": pii.op5_pseudonyms, "op6_neighbours": neighbours.op6_neighbours, "op7_chunks": chunks.op7_chunks, "op8_language": language.op8_language, "op9_quality": quality.op9_quality, "op10_minhash": minhash.op10_minhash}
 
 
 def oracle_sql() -> dict:
