@@ -1,11 +1,384 @@
-"""Queries of the price-report engine and their SQL, by name."""
+"""Queries of the price-report engine over the star-schema test tables, and their SQL, by name.
+
+Nested results are flattened so that they compare column by column; averages are rounded to 6 digits because the order
+of additions differs.  The SQL is flat - windows over single reports - and so formulates each result independently.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from pumpline.functions import lists, scalars
+from pumpline.operators import aggregates, charts, daily, latest, stations
+from pumpline.plans import domain
+from pumpline.sources import store
+from pumpline.streaming import incremental
+
+STATION, FUEL = "7", "view"
+DAY = "2024-01-15"
+RANGE = ("2024-01-05", "2024-01-20")
+
+
+def _days(spark, sf) -> DataFrame:
+    return daily.daily_prices(domain.reports(spark, sf))
+
+
+def _days_of_stations(spark, sf) -> DataFrame:
+    return daily.daily_prices(domain.reports(spark, sf), domain.stations(spark, sf))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("station", "fuel", "day", F.size("prices").alias("n"), "openingPrice", "closingPrice", F.col("lowestPrice.price").alias("lowest"), F.col("highestPrice.price").alias("highest"), F.col("weightedAveragePrice").alias("average"))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    return rows.select("station", "fuel", "day", F.explode("prices").alias("p"))
+
+
+def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def report_filter(spark, sf):
+    return domain.reports(spark, sf)
+
+
+def daily_group(spark, sf):
+    rows = daily.reshaped(daily.grouped(domain.reports(spark, sf)))
+    return rows.select("station", "fuel", "day", F.posexplode("prices").alias("position", "p")).select("station", "fuel", "day", "position", "p.id", "p.date", "p.price")
+
+
+def daily_by_price(spark, sf):
+    rows = daily.reshaped(daily.grouped(domain.reports(spark, sf)))
+    return rows.select("station", "fuel", "day", F.posexplode("pricesByPrice").alias("position", "p")).select("station", "fuel", "day", "position", "p.id", "p.price")
+
+
+def daily_extremes(spark, sf):
+    rows = daily.by_day(domain.reports(spark, sf))
+    return rows.select("station", "fuel", "day", "closingPrice", F.col("lowestPrice.id").alias("lowest_id"), F.col("lowestPrice.price").alias("lowest"), F.col("highestPrice.id").alias("highest_id"), F.col("highestPrice.price").alias("highest"))
+
+
+def exclude_last(spark, sf):
+    rows = daily.reshaped(daily.grouped(domain.reports(spark, sf)))
+    return rows.select("station", "fuel", "day", F.size(lists.without_last("prices")).alias("left"), lists.closing(lists.without_last("prices")).alias("last_left"))
+
+
+def price_list_previous(spark, sf):
+    rows = daily.by_day(domain.reports(spark, sf))
+    return _entries(rows).select("station", "fuel", "day", "p.id", "p.price", "p.previousPrice")
+
+
+def price_change(spark, sf):
+    return _entries(_days(spark, sf)).select("station", "fuel", "day", "p.id", "p.price", "p.previousPrice", "p.change")
+
+
+def previous_flat(spark, sf):
+    w = Window.partitionBy("station", "fuel", F.to_date("date")).orderBy("date", "id")
+    return domain.reports(spark, sf).select("id", "price", F.lag("price").over(w).alias("previousPrice"))
+
+
+def validity_segments(spark, sf):
+    rows = _days(spark, sf).select("station", "fuel", "day", F.explode(lists.validity("prices", "day", "openingPrice")).alias("s"))
+    return rows.select("station", "fuel", "day", "s.start", "s.until", "s.price", lists.seconds_between("s.start", "s.until").alias("seconds"))
+
+
+def weighted_average(spark, sf):
+    return _days(spark, sf).select("station", "fuel", "day", F.col("weightedAveragePrice").alias("average"))
+
+
+def opening_price_lag(spark, sf):
+    return _days(spark, sf).select("station", "fuel", "day", "openingPrice", "closingPrice")
+
+
+def opening_price_asof(spark, sf):
+    rows = daily.by_day(domain.reports(spark, sf))
+    return daily.opening_as_of(rows.select("station", "fuel", "day"), rows)
+
+
+def missing_opening(spark, sf):
+    return daily.missing_opening(_days(spark, sf)).select("station", "fuel", "day", "closingPrice")
+
+
+def daily_prices(spark, sf):
+    return _flat(_days(spark, sf))
+
+
+def station_join(spark, sf):
+    rows = daily.by_day(domain.reports(spark, sf), domain.stations(spark, sf).filter("id <> '7'"))
+    return rows.select(F.col("station.id").alias("station"), F.col("station.name").alias("name"), F.col("station.brand").alias("brand"), F.col("station.address.postCode").alias("postCode"), "fuel", "day", "closingPrice")
+
+
+def _flat_aggregate(rows: DataFrame) -> DataFrame:
+    flat = rows.select(*[c for c in rows.columns if c != "percentiles"], "percentiles.*")
+    return _rounded(flat, "numChanges", "weightedAveragePrice", "p50", "p90", "p95", "p99")
+
+
+def daily_aggregates(spark, sf):
+    return _flat_aggregate(aggregates.by_day_and_fuel(_days(spark, sf)))
+
+
+def daily_aggregates_exact(spark, sf):
+    return _flat_aggregate(aggregates.by_day_and_fuel(_days(spark, sf), exact=True))
+
+
+def postcode_aggregates(spark, sf):
+    return _flat_aggregate(aggregates.by_post_code(_days_of_stations(spark, sf)))
+
+
+def percentile_label(spark, sf):
+    rows = _days(spark, sf)
+    out = aggregates.of_daily(rows, aggregates.by_day_and_fuel(rows))
+    return out.select("station", "fuel", "day", F.col("weightedAveragePrice").alias("average"), "percentile")
+
+
+def compound_latest(spark, sf):
+    rows = aggregates.latest_compound(aggregates.by_day_and_fuel(_days(spark, sf)), domain.FUELS)
+    return rows.select("day", *[F.round(F.col(f"{f}.{c}"), 6).alias(f"{f}_{n}") for f in domain.FUELS for c, n in (("lowestPrice", "lowest"), ("highestPrice", "highest"), ("weightedAveragePrice", "average"))])
+
+
+def latest_price(spark, sf):
+    return latest.latest(_days(spark, sf)).select("station", "fuel", "day", "closingPrice")
+
+
+def latest_30(spark, sf):
+    return latest.ranked(_days(spark, sf)).select("station", "fuel", "day", "rank", "closingPrice")
+
+
+def latest_per_station(spark, sf):
+    rows = latest.per_station(_days(spark, sf))
+    return rows.select("id", F.explode("latestPrices").alias("fuel", "list")).select("id", "fuel", F.size("list").alias("n"), F.get("list", F.lit(0))["day"].alias("day"), F.try_element_at("list", F.lit(-1))["day"].alias("first_day"))
+
+
+def latest_3_station(spark, sf):
+    return latest.of_station(_days(spark, sf), STATION).select("fuel", "day", "closingPrice")
+
+
+def last_30_station_fuel(spark, sf):
+    return latest.last_days(_days(spark, sf), STATION, FUEL).select("day", "closingPrice", F.col("weightedAveragePrice").alias("average"))
+
+
+def stations_page(spark, sf):
+    return stations.page(domain.stations(spark, sf), 2).select("id", "name", "brand")
+
+
+def favourites_page(spark, sf):
+    return stations.favourites(domain.stations(spark, sf)).select("id", "name")
+
+
+def favourite_toggle(spark, sf):
+    return stations.toggled(domain.stations(spark, sf), STATION).select("id", "favorite")
+
+
+def station_by_id(spark, sf):
+    return stations.one(domain.stations(spark, sf), STATION).select("id", "name", F.col("address.city").alias("city"))
+
+
+def postcode_page(spark, sf):
+    return stations.by_post_code(domain.stations(spark, sf), "00003").select("id", "name", F.col("address.postCode").alias("postCode"))
+
+
+def page_count(spark, sf):
+    return domain.stations(spark, sf).agg(F.count("*").alias("n"), F.ceil(F.count("*") / stations.PER_PAGE).alias("pages"))
+
+
+def search(spark, sf):
+    return stations.search_page(domain.stations(spark, sf), "0000").select("id", "name", "score")
+
+
+def stations_normalised(spark, sf):
+    rows = domain.stations(spark, sf)
+    return rows.select("id", scalars.capitalised("name").alias("name"), scalars.capitalised("brand").alias("brand"))
+
+
+def _half(spark, sf, keep: int) -> DataFrame:
+    return _flat(_days(spark, sf)).filter(F.pmod(F.dayofmonth("day"), F.lit(3)) != keep)
+
+
+def merge_keep_existing(spark, sf):
+    new = _half(spark, sf, 1).withColumn("average", F.lit(0.0))
+    return store.keep_existing(_half(spark, sf, 0), new, ["station", "fuel", "day"])
+
+
+def merge_replace(spark, sf):
+    new = _half(spark, sf, 1).withColumn("average", F.lit(0.0))
+    return store.replace_matching(_half(spark, sf, 0), new, ["station", "fuel", "day"])
+
+
+def merge_fields(spark, sf):
+    rows = domain.stations(spark, sf).select("id", "name", "favorite")
+    new = latest.latest(_days(spark, sf)).filter(F.col("fuel") == FUEL).select(F.col("station").alias("id"), F.col("day").alias("latestDay"), F.col("closingPrice").alias("latestPrice"))
+    return store.merge_fields(rows, new, ["id"])
+
+
+def _chart(spark, sf, fuel: str | None = FUEL) -> DataFrame:
+    from datetime import datetime
+
+    return charts.filtered(_days(spark, sf), None, fuel, tuple(datetime.fromisoformat(d) for d in RANGE))
+
+
+def chart_price_history(spark, sf):
+    return charts.price_history(charts.filtered(_chart(spark, sf), STATION))
+
+
+def chart_price_changes(spark, sf):
+    return charts.price_changes(charts.filtered(_chart(spark, sf), STATION))
+
+
+def chart_difference_to_average(spark, sf):
+    return _rounded(charts.difference_to_average(_chart(spark, sf)), "difference")
+
+
+def chart_extreme_times(spark, sf):
+    return charts.extreme_times(_chart(spark, sf))
+
+
+def chart_cheapest_times(spark, sf):
+    return charts.heat_map(_chart(spark, sf), "lowestPrice")
+
+
+def chart_expensive_times(spark, sf):
+    return charts.heat_map(_chart(spark, sf), "highestPrice")
+
+
+def chart_day_overview(spark, sf):
+    from datetime import datetime
+
+    return charts.day_overview(charts.filtered(_days(spark, sf), STATION, None, datetime.fromisoformat(DAY)))
+
+
+def _aggregates_in_range(spark, sf, fuel):
+    from datetime import datetime
+
+    return charts.filtered(aggregates.by_day_and_fuel(_days(spark, sf)), None, fuel, tuple(datetime.fromisoformat(d) for d in RANGE))
+
+
+def chart_aggregated_overview(spark, sf):
+    return _rounded(charts.aggregated_overview(_aggregates_in_range(spark, sf, None)), "weightedAveragePrice")
+
+
+def chart_aggregated_history(spark, sf):
+    return _rounded(charts.aggregated_history(_aggregates_in_range(spark, sf, FUEL)), "weightedAveragePrice", "numChanges", "median")
+
+
+def chart_difference_to_cheapest(spark, sf):
+    return _rounded(charts.difference_to_cheapest(_chart(spark, sf)), "difference")
+
+
+def incremental_daily(spark, sf):
+    """Rows of all days but the last, then the first report of each group of the last day as live reports."""
+    reports = domain.reports(spark, sf)
+    last = F.lit("2024-01-29").cast("timestamp_ntz")
+    before = daily.daily_prices(reports.filter(F.col("date") < last))
+    first = reports.filter((F.col("date") >= last) & (F.col("date") < F.lit("2024-01-30").cast("timestamp_ntz"))).groupBy("station", "fuel").agg(F.min_by(F.struct("id", "date", "price"), F.struct("date", "id")).alias("r")).select("r.id", "r.date", "station", "fuel", "r.price")
+    rows = incremental.reported(before.drop("id"), first)
+    return _flat(rows)
+
+
+def formatting(spark, sf):
+    rows = _days(spark, sf).filter(F.col("station") == STATION)
+    return rows.select("fuel", "day", scalars.price_text("closingPrice").alias("price"), scalars.time_text("lowestPrice.date").alias("time"), scalars.day_text("day").alias("shown"), scalars.fuel_label("fuel", {"view": "Views"}).alias("label"))
+
+
+NAMES = """report_filter daily_group daily_by_price daily_extremes exclude_last price_list_previous price_change previous_flat
+validity_segments weighted_average opening_price_lag opening_price_asof missing_opening daily_prices station_join daily_aggregates
+daily_aggregates_exact postcode_aggregates percentile_label compound_latest latest_price latest_30 latest_per_station latest_3_station
+last_30_station_fuel stations_page favourites_page favourite_toggle station_by_id postcode_page page_count search stations_normalised
+merge_keep_existing merge_replace merge_fields chart_price_history chart_price_changes chart_difference_to_average chart_extreme_times
+chart_cheapest_times chart_expensive_times chart_day_overview chart_aggregated_overview chart_aggregated_history
+chart_difference_to_cheapest incremental_daily formatting""".split()
+
 
 def queries() -> dict:
-    return {}
+    return {name: globals()[name] for name in NAMES}
+
+
+# SQL: r reports, g groups, o groups with opening price, l reports with previous price, s segments, d daily rows, c daily rows of stations, a aggregates
+
+_R = """r AS (SELECT CAST(event_id AS VARCHAR) AS id, event_id AS k, ts AS date, CAST(user_id AS VARCHAR) AS station, event_type AS fuel, value AS price,
+  CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM events WHERE value >= 0.5)"""
+_O = _R + """, g AS (SELECT station, fuel, day, count(*) AS n, arg_max(price, date) AS closing, arg_min(price, date) AS first_price, min(date) AS first_date,
+  min(price) AS lowest, max(price) AS highest, arg_min(id, (price, date, id)) AS lowest_id, arg_max(id, (price, date, id)) AS highest_id,
+  arg_min(date, (price, date, id)) AS lowest_date, arg_max(date, (price, date, id)) AS highest_date FROM r GROUP BY station, fuel, day),
+o AS (SELECT *, lag(closing) OVER (PARTITION BY station, fuel ORDER BY day) AS opening FROM g)"""
+_D = _O + """, s AS (SELECT station, fuel, day, date AS start, lead(date, 1, day + INTERVAL 1 DAY) OVER (PARTITION BY station, fuel, day ORDER BY date) AS until, price FROM r
+  UNION ALL SELECT station, fuel, day, day, first_date, coalesce(opening, first_price) FROM o),
+w AS (SELECT station, fuel, day, round_even(CAST(sum(date_diff('second', start, until) * price) / 86400 AS DOUBLE), 3) AS average FROM s GROUP BY station, fuel, day),
+d AS (SELECT o.*, w.average FROM o JOIN w USING (station, fuel, day))"""
+_L = _D + """, l AS (SELECT r.*, coalesce(lag(price) OVER (PARTITION BY r.station, r.fuel, r.day ORDER BY date), o.opening) AS previous, d.average
+  FROM r JOIN o USING (station, fuel, day) JOIN d USING (station, fuel, day))"""
+_AGG = """avg(n) AS numChanges, min(lowest) AS lowestPrice, max(highest) AS highestPrice, avg(average) AS weightedAveragePrice,
+  {q}(average, 0.5) AS p50, {q}(average, 0.9) AS p90, {q}(average, 0.95) AS p95, {q}(average, 0.99) AS p99"""
+_A = _D + ", a AS (SELECT day, fuel, " + _AGG.format(q="quantile_disc") + " FROM d GROUP BY day, fuel)"
+_ROUNDED = "lowestPrice, highestPrice, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("numChanges", "weightedAveragePrice", "p50", "p90", "p95", "p99"))
+_ST = "st AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS brand, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postCode, n_name AS city, c_custkey % 7 = 0 AS favorite FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)"
+_FLAT = "station, fuel, day, n, opening AS openingPrice, closing AS closingPrice, lowest, highest, average"
+_IN = f"fuel = '{FUEL}' AND day BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"
+_HALF = "SELECT " + _FLAT + " FROM d WHERE day(day) % 3 <> {k}"
+_ZERO = "SELECT * REPLACE (0.0::DOUBLE AS average) FROM (" + _HALF.format(k=1) + ")"
+_KEY = "station, fuel, day"
+
+
+def _heat(kind: str) -> str:
+    return f"WITH {_D} SELECT CAST(dayofweek({kind}_date) + 1 AS INTEGER) AS weekday, CAST(hour({kind}_date) AS INTEGER) AS hour, count(*) AS days FROM d WHERE {_IN} GROUP BY ALL"
+
+
+def _word(c: str) -> str:
+    return f"list_reduce(list_transform(string_split(lower({c}), ' '), lambda x: upper(x[1]) || x[2:]), lambda x, y: x || ' ' || y)"
+
+
+SQL = {
+    "report_filter": f"WITH {_R} SELECT id, date, station, fuel, price FROM r",
+    "daily_group": f"WITH {_R} SELECT station, fuel, day, CAST(row_number() OVER (PARTITION BY station, fuel, day ORDER BY date, id) - 1 AS INTEGER) AS position, id, date, price FROM r",
+    "daily_by_price": f"WITH {_R} SELECT station, fuel, day, CAST(row_number() OVER (PARTITION BY station, fuel, day ORDER BY price, date, id) - 1 AS INTEGER) AS position, id, price FROM r",
+    "daily_extremes": f"WITH {_O} SELECT station, fuel, day, closing AS closingPrice, lowest_id, lowest, highest_id, highest FROM g",
+    "exclude_last": f"WITH {_R}, x AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY date DESC) AS i FROM r) SELECT {_KEY}, CAST(count(*) - 1 AS INTEGER) AS \"left\", max(price) FILTER (i = 2) AS last_left FROM x GROUP BY ALL",
+    "price_list_previous": f"WITH {_R} SELECT {_KEY}, id, price, lag(price) OVER (PARTITION BY {_KEY} ORDER BY date) AS previousPrice FROM r",
+    "price_change": f"WITH {_L} SELECT {_KEY}, id, price, previous AS previousPrice, price - previous AS change FROM l",
+    "previous_flat": f"WITH {_R} SELECT id, price, lag(price) OVER (PARTITION BY {_KEY} ORDER BY date) AS previousPrice FROM r",
+    "validity_segments": f"WITH {_D} SELECT {_KEY}, start, until, price, date_diff('second', start, until) AS seconds FROM s",
+    "weighted_average": f"WITH {_D} SELECT {_KEY}, average FROM d",
+    "opening_price_lag": f"WITH {_O} SELECT {_KEY}, opening AS openingPrice, closing AS closingPrice FROM o",
+    "opening_price_asof": f"WITH {_O} SELECT p.station, p.fuel, p.day, q.closing AS openingPrice FROM g p ASOF LEFT JOIN g q ON p.station = q.station AND p.fuel = q.fuel AND p.day > q.day",
+    "missing_opening": f"WITH {_O} SELECT {_KEY}, closing AS closingPrice FROM o WHERE opening IS NULL",
+    "daily_prices": f"WITH {_D} SELECT {_FLAT} FROM d",
+    "station_join": f"WITH {_O}, {_ST} SELECT station, name, brand, postCode, fuel, day, closing AS closingPrice FROM g JOIN st ON station = id WHERE id <> '7'",
+    "daily_aggregates": f"WITH {_A} SELECT day, fuel, {_ROUNDED} FROM a",
+    "daily_aggregates_exact": f"WITH {_D}, a AS (SELECT day, fuel, {_AGG.format(q='quantile_cont')} FROM d GROUP BY day, fuel) SELECT day, fuel, {_ROUNDED} FROM a",
+    "postcode_aggregates": f"WITH {_D}, {_ST}, a AS (SELECT day, fuel, postCode, {_AGG.format(q='quantile_disc')} FROM d JOIN st ON station = id GROUP BY day, fuel, postCode) SELECT day, fuel, postCode, {_ROUNDED} FROM a",
+    "percentile_label": f"WITH {_A} SELECT station, fuel, day, average, CASE WHEN average > p99 THEN '> 99%' WHEN average > p95 THEN '> 95%' WHEN average > p90 THEN '> 90%' WHEN average > p50 THEN '> 50%' ELSE '< 50%' END AS percentile FROM d JOIN a USING (day, fuel)",
+    "compound_latest": f"WITH {_A} SELECT day, " + ", ".join(f"round(max({c}) FILTER (fuel = '{f}'), 6) AS {f}_{n}" for f in domain.FUELS for c, n in (("lowestPrice", "lowest"), ("highestPrice", "highest"), ("weightedAveragePrice", "average"))) + " FROM a WHERE day = (SELECT max(day) FROM a) GROUP BY day",
+    "latest_price": f"WITH {_O} SELECT station, fuel, max(day) AS day, arg_max(closing, day) AS closingPrice FROM g GROUP BY station, fuel",
+    "latest_30": f"WITH {_O} SELECT * FROM (SELECT {_KEY}, CAST(row_number() OVER (PARTITION BY station, fuel ORDER BY day DESC) AS INTEGER) AS rank, closing AS closingPrice FROM g) WHERE rank <= 30",
+    "latest_per_station": f"WITH {_O}, x AS (SELECT *, row_number() OVER (PARTITION BY station, fuel ORDER BY day DESC) AS i FROM g) SELECT station AS id, fuel, CAST(count(*) AS INTEGER) AS n, max(day) AS day, min(day) AS first_day FROM x WHERE i <= 30 GROUP BY ALL",
+    "latest_3_station": f"WITH {_O} SELECT fuel, day, closing AS closingPrice FROM g WHERE station = '{STATION}' ORDER BY day DESC, fuel LIMIT 3",
+    "last_30_station_fuel": f"WITH {_D} SELECT day, closing AS closingPrice, average FROM d WHERE station = '{STATION}' AND fuel = '{FUEL}' ORDER BY day DESC LIMIT 30",
+    "stations_page": f"WITH {_ST} SELECT id, name, brand FROM st ORDER BY id LIMIT 24 OFFSET 24",
+    "favourites_page": f"WITH {_ST} SELECT id, name FROM st WHERE favorite ORDER BY id LIMIT 24",
+    "favourite_toggle": f"WITH {_ST} SELECT id, CASE WHEN id = '{STATION}' THEN NOT favorite ELSE favorite END AS favorite FROM st",
+    "station_by_id": f"WITH {_ST} SELECT id, name, city FROM st WHERE id = '{STATION}'",
+    "postcode_page": f"WITH {_ST} SELECT id, name, postCode FROM st WHERE postCode = '00003' ORDER BY id LIMIT 24",
+    "page_count": "SELECT count(*) AS n, CAST(ceil(count(*) / 24) AS BIGINT) AS pages FROM customer",
+    "search": f"WITH {_ST} SELECT id, name, CAST(score AS INTEGER) AS score FROM (SELECT *, " + " + ".join(f"coalesce(regexp_matches(lower({c}), '(^|[^\\pL\\pN])0000'), false)::INT" for c in ("name", "city", "postCode")) + " AS score FROM st) WHERE score > 0 ORDER BY score DESC, id LIMIT 24",
+    "stations_normalised": f"WITH {_ST} SELECT id, {_word('name')} AS name, {_word('brand')} AS brand FROM st",
+    "merge_keep_existing": f"WITH {_D}, x AS ({_HALF.format(k=0)}), y AS ({_ZERO}) SELECT * FROM x UNION ALL SELECT * FROM y WHERE ({_KEY}) NOT IN (SELECT ({_KEY}) FROM x)",
+    "merge_replace": f"WITH {_D}, x AS ({_HALF.format(k=0)}), y AS ({_ZERO}) SELECT * FROM y UNION ALL SELECT * FROM x WHERE ({_KEY}) NOT IN (SELECT ({_KEY}) FROM y)",
+    "merge_fields": f"WITH {_O}, {_ST}, x AS (SELECT station, max(day) AS latestDay, arg_max(closing, day) AS latestPrice FROM g WHERE fuel = '{FUEL}' GROUP BY station) SELECT coalesce(station, id) AS id, name, favorite, latestDay, latestPrice FROM st FULL JOIN x ON station = id",
+    "chart_price_history": f"WITH {_D} SELECT day, fuel, opening AS openingPrice, closing AS closingPrice, lowest, highest, average AS weightedAveragePrice FROM d WHERE {_IN} AND station = '{STATION}'",
+    "chart_price_changes": f"WITH {_L} SELECT day, fuel, date, price, previous AS previousPrice, price - previous AS change FROM l WHERE {_IN} AND station = '{STATION}'",
+    "chart_difference_to_average": f"WITH {_L} SELECT CAST(hour(date) AS INTEGER) AS hour, round(avg(price - average), 6) AS difference, count(*) AS reports FROM l WHERE {_IN} GROUP BY ALL",
+    "chart_extreme_times": f"WITH {_D}, x AS (SELECT hour(lowest_date) AS h, 0 AS k FROM d WHERE {_IN} UNION ALL SELECT hour(highest_date), 1 FROM d WHERE {_IN}) SELECT CAST(h AS INTEGER) AS hour, count(*) FILTER (k = 0) AS cheapest, count(*) FILTER (k = 1) AS mostExpensive FROM x GROUP BY h",
+    "chart_cheapest_times": _heat("lowest"),
+    "chart_expensive_times": _heat("highest"),
+    "chart_day_overview": f"WITH {_R} SELECT fuel, date, price FROM r WHERE station = '{STATION}' AND day = TIMESTAMP '{DAY}'",
+    "chart_aggregated_overview": f"WITH {_A} SELECT day, fuel, lowestPrice, highestPrice, round(weightedAveragePrice, 6) AS weightedAveragePrice FROM a WHERE day BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'",
+    "chart_aggregated_history": f"WITH {_A} SELECT day, fuel, lowestPrice, highestPrice, round(weightedAveragePrice, 6) AS weightedAveragePrice, round(numChanges, 6) AS numChanges, round(p50, 6) AS median FROM a WHERE {_IN}",
+    "chart_difference_to_cheapest": f"WITH {_D} SELECT station, day, fuel, round(lowest - min(lowest) OVER (PARTITION BY day, fuel), 6) AS difference FROM d WHERE {_IN}",
+    "incremental_daily": "WITH "
+    + _D.replace("WHERE value >= 0.5)", "WHERE value >= 0.5 AND (ts < TIMESTAMP '2024-01-29' OR event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE value >= 0.5 AND ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30' GROUP BY user_id, event_type)))")
+    + f" SELECT {_FLAT} FROM d",
+    "formatting": f"WITH {_D} SELECT fuel, day, printf('%.3f €', closing) AS price, strftime(lowest_date, '%I:%M:%S') AS \"time\", strftime(day, '%d.%m.%Y') AS shown, CASE WHEN fuel = 'view' THEN 'Views' ELSE fuel END AS label FROM d WHERE station = '{STATION}'",
+}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
