@@ -8,11 +8,12 @@ share of equal coordinates concentrates about the similarity.  Bands of ROWS coo
 
 * Equal sets form a class with one representative; only representatives are compared.
 * The centre of a bucket is its member with the smallest hash.  Every member is compared, on the full sets, with
-  one of its buckets' centres, and then with those that it isn't connected with by that.
-* Buckets whose members aren't all connected by then get their other pairs compared too: members are dealt
-  into blocks, and the sketches of two blocks at a time are compared in one task, emitting only pairs of
-  different components whose sketches agree within six standard deviations of the threshold.  These are
-  confirmed on the full sets in turn.
+  one of its buckets' centres.
+* Then buckets whose members aren't all connected by that get their other pairs compared: those of two members in
+  a join, larger ones block by block.  There members are dealt into blocks, and two blocks at a time are compared
+  in one task: pairs of different components whose sizes allow it and whose sketches agree within six standard
+  deviations of the threshold are confirmed on the full sets, the most similar first, and only links that join
+  components come out.
 
 So a link can be missed only where no band agrees or a sketch is off by more than that: with 40 bands of 6,
 under 1e-8 at a similarity of 0.85.  No bucket is capped.
@@ -160,56 +161,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blockwise(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose sizes and sketches allow the similarity.
+    """Links between different components in a bucket, confirmed on the full sets, as many as connect them.
 
-    members: (bucket, m, node, component, n, sketch), m the bucket's number of members.
+    members: (bucket, m, node, component, sketch, items), m the bucket's number of members.
     """
     least = BINS * percent / 100 - 6 * math.sqrt(BINS * percent / 100 * (1 - percent / 100))
 
-    def pairs_of(group: list[tuple], within: bool) -> Iterator[tuple[int, int]]:
-        left = [x for x in group if x[1] == 0]
-        right = left if within else [x for x in group if x[1] == 1]
+    def links_of(group: list[tuple], within: bool) -> Iterator[tuple[int, int]]:
+        left = [x for x in group if x[0] == 0]
+        right = left if within else [x for x in group if x[0] == 1]
         if not left or not right:
             return
-        unpack = lambda rows: (np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), BINS))
-        (a, ca, na, sa), (b, cb, nb, sb) = unpack(left), unpack(right)
-        for i in range(len(a)):
-            ok = (cb != ca[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
+        # components by number; `into` says which have become one here
+        number = {c: i for i, c in enumerate({x[2] for x in group})}
+        into = np.arange(len(number))
+        sketches = np.frombuffer(b"".join(x[3] for x in right), np.uint8).reshape(len(right), BINS)
+        sets = [np.frombuffer(x[4], np.uint64) for x in right]
+        of, sizes = np.array([number[x[2]] for x in right]), np.array([len(x) for x in sets])
+        for i, (_, node, component, low, items) in enumerate(left):
+            mine = np.frombuffer(items, np.uint64)
+            own = number[component]
+            ok = (into[of] != into[own]) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
             if within:
                 ok[: i + 1] = False
             at = np.flatnonzero(ok)
-            if len(at):
-                at = at[(sb[at] == sa[i]).sum(axis=1) >= least]
-                for j in at.tolist():
-                    yield (int(a[i]), int(b[j])) if a[i] < b[j] else (int(b[j]), int(a[i]))
+            if not len(at):
+                continue
+            equal = (sketches[at] == np.frombuffer(low, np.uint8)).sum(axis=1)
+            order = np.argsort(-equal, kind="stable")
+            for j in at[order[equal[order] >= least]].tolist():
+                if into[of[j]] != into[own] and similar(mine, sets[j], percent):
+                    into[into == into[of[j]]] = into[own]
+                    yield node, right[j][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
-        found: set[tuple[int, int]] = set()
+        found: list[tuple[int, int]] = []
 
         def flush() -> pa.RecordBatch:
-            rows = list(found)
+            out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64())], ["u", "v"])
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
+            return out
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for bucket, i, j, side, node, component, n, low in zip(*columns):
-                if (bucket, i, j) != key:
-                    if key is not None:
-                        found.update(pairs_of(group, key[1] == key[2]))
-                    key, group = (bucket, i, j), []
-                    if len(found) > 100_000:
-                        yield flush()
-                group.append((bucket, side, node, component, n, low))
+            for part in byte_slices(iter([batch]), 7):
+                for bucket, i, j, side, node, component, low, items in zip(*[c.to_pylist() for c in part.columns]):
+                    if (bucket, i, j) != key:
+                        if key is not None:
+                            found += links_of(group, key[1] == key[2])
+                        key, group = (bucket, i, j), []
+                        if len(found) > 100_000:
+                            yield flush()
+                    group.append((side, node, component, low, items))
         if key is not None:
-            found.update(pairs_of(group, key[1] == key[2]))
+            found += links_of(group, key[1] == key[2])
         yield flush()
 
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u bigint, v bigint").distinct()
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "sketch", "items")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "u bigint, v bigint")
 
 
 def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,20 +243,19 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id
     first = shared.groupBy("node", "own").agg(F.min("h").alias("h")).filter("h < own").join(by_hash, "h").select("u", F.col("node").alias("v"))
     links = written(_confirmed(first, sets, percent), "links")
     found = written(components(links), "components")
-    # Then with the centres of those of its buckets that aren't in its component yet.
+    # Then the pairs of buckets of two that aren't connected by that.
     component = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    pairs = shared.filter("h < own").select("h", F.col("node").alias("v")).distinct().join(by_hash, "h").select("u", "v")
-    pairs = pairs.join(first, ["u", "v"], "left_anti").join(component("v"), "v", "left").join(component("u"), "u", "left")
-    pairs = pairs.filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    apart = lambda rows: rows.join(component("v"), "v", "left").join(component("u"), "u", "left").filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
+    twos = shared.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by("node", "own").alias("u"), F.max_by("node", "own").alias("v")).filter("m = 2")
+    pairs = apart(twos.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"))
     links = written(links.unionByName(_confirmed(pairs, sets, percent)), "links")
     found = written(components(links), "components")
 
-    # Then, in buckets that still aren't one component, all with all, block by block.
+    # Then, in larger buckets that still aren't one component, all with all, block by block.
     labelled = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = labelled.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last and m > 2").select("bucket", "m")
-    members = labelled.join(open_, "bucket").join(nodes.select("node", "n", "sketch"), "node")
-    rest = written(_blockwise(members, percent), "pairs")
-    more = written(_confirmed(rest, sets, percent), "links")
+    members = labelled.join(open_, "bucket").join(nodes.select("node", "sketch"), "node").join(sets, "node")
+    more = written(_blockwise(members, percent), "links")
     if more.limit(1).count():
         found = written(components(links.unionByName(more)), "components")
 
