@@ -68,8 +68,9 @@ def patterns(histogram: dict[int, int], most: int = LENGTH) -> list[tuple[tuple[
     by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        for room in sorted((r for r in by_room if r >= length), reverse=True):
-            kinds = by_room[room]
+        # from the emptiest on; kinds that arise have less room and get their turn in the same pass
+        for room in range(most, length - 1, -1):
+            kinds = by_room.get(room)
             while kinds and left:
                 pack, count = kinds.pop()
                 taken = min(count, left)
