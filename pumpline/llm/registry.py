@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_quality": quality.ORACLE}
+    return {"op9_quality": quality.ORACLE, "op10_minhash": minhash.ORACLE}

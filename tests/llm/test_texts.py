@@ -150,7 +150,7 @@ def test_op9_order_is_by_rejections_per_cost(spark, docs):
     assert [r.name for r in quality.ordered(df, rules)] == ["cheap", "again", "dear", "none"] or [r.name for r in quality.ordered(df, rules)][:2] == ["cheap", "again"]
 
 
-@pytest.mark.parametrize("name", ["op9_quality"])
+@pytest.mark.parametrize("name", ["op9_quality", "op10_minhash"])
 def test_sql(spark, name):
     from pumpline.llm import registry
 
