@@ -6,12 +6,17 @@ that the cluster shares.  All stages but the last return the columns of `documen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pumpline.llm import chunks, minhash, packing, pii, quality
 from pumpline.llm.shared import written
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """The rows with their number of characters as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
     return quality.filtered(docs)
@@ -24,12 +29,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document with a smaller id has are taken out."""
-    return chunks.deduplicated(docs)
+    return counted(chunks.deduplicated(docs))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets get pseudonyms."""
-    return pii.rewritten(docs)
+    return counted(pii.rewritten(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def taken_out(raw: bytes, ranges: list[tuple[int, int]]) -> str:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     taken = {c.lower() for c in docs.columns}
-    name = next(f"copied_{i}" for i in range(len(taken) + 1) if f"copied_{i}" not in taken)
+    name = next(f"copied_{i}" for i in range(len(taken) + 1) if not {f"copied_{i}", f"copied_{i}_id"} & taken)
     found = copies(docs, id_col, text_col).select(F.col("doc_id").alias(f"{name}_id"), F.col("chunks").alias(name))
     return docs.join(found, F.col(f"`{id_col}`").cast("bigint") == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
 

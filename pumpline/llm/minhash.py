@@ -267,8 +267,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of one document of each component: that with the smallest id."""
-    gone = linked(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("gone"), "left_anti")
+    name = next(f"gone_{i}" for i in range(len(docs.columns) + 1) if f"gone_{i}" not in {c.lower() for c in docs.columns})
+    gone = linked(docs, k, percent, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col(name), "left_anti")
 
 
 def op10_minhash(spark, sf_dir: str) -> DataFrame:
