@@ -20,9 +20,9 @@ import regex
 from pumpline.llm.merges import MergeTable
 
 #: Words that a worker keeps, and ids of all of them; a full table is emptied.
-KEPT_WORDS, KEPT_IDS = 1 << 20, 1 << 22
+KEPT_WORDS, KEPT_IDS = 1 << 21, 1 << 23
 #: Bytes that are looked at together.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Fixed: the vocabulary's own pattern for parts of a word.
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BY_LIBRARY = re.compile("[\x1c-\x1f\x85\xa0  -     　Σ]|<\\|")
@@ -44,18 +44,20 @@ def byte_characters() -> list[str]:
 class WordHash:
     """64-bit polynomial hashes of many slices of one byte string, with random values for the bytes."""
 
+    #: Powers of an odd base and of its inverse, shared by all: what differs is the bytes' values.
+    base = 0x5851F42D4C957F2D
+    inverse = pow(base, -1, 1 << 64)
+    up, down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
     def __init__(self, seed: int):
-        random = np.random.default_rng(seed)
-        self.value = random.integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.base = int(random.integers(1, 1 << 62)) * 4 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * _U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * _U(pow(self.inverse, k, 1 << 64))])
+        self.value = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+    @classmethod
+    def _powers(cls, n: int) -> None:
+        while len(cls.up) < n:
+            k = len(cls.up)
+            cls.up = np.concatenate([cls.up, cls.up * _U(pow(cls.base, k, 1 << 64))])
+            cls.down = np.concatenate([cls.down, cls.down * _U(pow(cls.inverse, k, 1 << 64))])
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
@@ -125,7 +127,7 @@ class WordModel:
         self.symbol = np.array([vocab[c] for c in chars] + [vocab[c + end] for c in chars], np.int64)
         self.hashes = WordHash(1), WordHash(2)
         self.words = WordTable(KEPT_WORDS)
-        self.start, self.length = np.zeros(KEPT_WORDS, np.int64), np.zeros(KEPT_WORDS, np.int64)
+        self.start, self.length = np.zeros(KEPT_WORDS, np.int32), np.zeros(KEPT_WORDS, np.int32)
         self.ids, self.used = np.zeros(KEPT_IDS, np.uint32), 0
         blank = np.zeros(256, bool)
         blank[[9, 10, 11, 12, 13, 32]] = True
@@ -178,7 +180,7 @@ class WordModel:
         if not len(starts):
             return starts, starts, np.empty(0, np.uint32)
         entry = self._entries(raw, data, starts, ends)
-        length = self.length[entry]
+        length = self.length[entry].astype(np.int64)
         at = np.cumsum(length)
         where = np.repeat(self.start[entry] - at + length, length) + np.arange(at[-1])
         return starts, length, self.ids[where]
