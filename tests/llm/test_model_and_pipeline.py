@@ -36,6 +36,13 @@ def test_op2_baseline(spark, docs, heavy, monkeypatch):
     assert all(r.score <= 0 and math.isfinite(r.score) for r in got)
 
 
+def test_words_of_texts_that_fill_a_block(monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK", 16)
+    texts = [b"aa bb cc", b"dd e ff", b"g", b"", b"hh " * 9, b"i j"]  # 8 + 1 + 7 bytes are a block
+    which = np.concatenate([s for _, _, s in scoring.Words().of_texts(texts)])
+    assert np.bincount(which, minlength=len(texts)).tolist() == [len(t.split()) for t in texts]
+
+
 def test_op2_without_rows(spark, docs):
     assert scoring.scored(docs([])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
