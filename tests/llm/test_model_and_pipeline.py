@@ -98,6 +98,21 @@ def test_each_id_is_scored_once():
         assert seen == list(zip([999, *range(n)], [*range(n), 999]))
 
 
+def test_each_id_is_scored_with_half_a_window_before_it():
+    m = model()
+    s = attention.Scorer(m)
+    text = np.random.default_rng(4).integers(0, 49, 200)
+    least, total = attention.WINDOW, 0.0
+    for start, _, ids, nexts, mask in attention.batches([text], 49, batch=3):
+        assert not mask[:, :start].any()
+        for w in range(len(ids)):
+            least = min([least, *(int(p) + 1 for p in np.flatnonzero(mask[w]) if start)])
+            total += sum(s.log10_probabilities(ids[w : w + 1], nexts[w : w + 1])[0, mask[w]])
+    assert least > attention.WINDOW // 2
+    assert attention.score(s, [text, text[:5]], 49)[0] == pytest.approx(total, rel=1e-5)
+    assert attention.EXPERTS == 64
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(5)
     half = rng.integers(0, 2, 400)
