@@ -131,6 +131,19 @@ def test_op2_is_near_the_baseline_even_on_few_documents(spark):
     assert sum(r.score for r in rows) > 1.1 * sum(r.base_score for r in rows)
 
 
+def test_op2_gathers_from_all_documents(spark):
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 49, n).tolist() for n in (0, 3, 31, 32, 33, 400, *[70] * 300)]
+    m = model()
+    of_next, of_last, places = scoring.gathered(spark.createDataFrame([(t,) for t in texts], "ids array<int>").repartition(5), m, 0.02)
+    asked = collections.Counter(x for t in texts for x in [49, *t])
+    after = collections.Counter(x for t in texts for x in [*t, 49])
+    assert places == sum(len(t) + 1 for t in texts)
+    assert np.allclose(of_last.sum(axis=1), [asked[i] for i in range(50)], rtol=1e-4)
+    assert np.allclose(of_next.sum(axis=1), [after[i] for i in range(50)], rtol=1e-4)
+    assert all(np.isfinite(w).all() for w in m.weights()) and not np.allclose(m.out, model().out)
+
+
 def test_registry_is_complete():
     names = registry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
