@@ -144,6 +144,25 @@ def test_op2_gathers_from_all_documents(spark):
     assert all(np.isfinite(w).all() for w in m.weights()) and not np.allclose(m.out, model().out)
 
 
+def test_op2_pairs_of_all_documents(spark):
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 49, n).tolist() for n in (0, 1, *[60] * 200)]
+    pairs = scoring._pair_counts(spark.createDataFrame([(t,) for t in texts], "ids array<int>").repartition(3), 49).groupBy("a", "b").sum("n").toDF("a", "b", "n")
+    found = {(r.a, r.b): r.n for r in pairs.collect()}
+    assert found == collections.Counter(p for t in texts for p in zip([49, *t], [*t, 49]))
+    x, y, n = (np.array(c) for c in zip(*((a, b, k) for (a, b), k in found.items())))
+    for mine, one in zip(scoring.pair_experts(pairs, 50, 8), attention.fit_experts(x, y, n, 50, 8)):
+        assert np.allclose(mine, one, rtol=1e-2, atol=1e-4)
+
+
+def test_op2_rare_pairs_reach_the_experts():
+    x, y = np.arange(400_000) // 500, np.arange(400_000) % 500  # none is more frequent than another
+    counts = attention.Counts(800, 4)
+    counts.add_pairs(x, y, np.ones(len(x)), np.full((800, 4), 0.25, np.float32), np.full((800, 4), 1 / 800, np.float32))
+    assert np.allclose(counts.of_last.sum(axis=1), 500, rtol=1e-3) and counts.of_next.sum() == pytest.approx(400_000, rel=1e-3)
+    assert not hasattr(scoring, "EXPERT_PAIRS") and not hasattr(scoring, "TRAIN_SHARE")
+
+
 def test_registry_is_complete():
     names = registry.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in names)] == []
