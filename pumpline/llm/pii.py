@@ -14,7 +14,10 @@ network, so equal values get equal pseudonyms in every document and different va
 * e-mail addresses: the part before the @ and the domain but its last label.  Keys of hexadecimal
   digits: within those digits.
 
-Texts are scanned once by one pattern; only DataFrame functions are used, and rows don't move.
+Texts are scanned by one pattern; only DataFrame functions are used, and rows don't move.  Where digits or capitals
+follow a card number or an IBAN, the pattern takes them in: of what it found, the part up to a separator that is valid
+counts (an IBAN of its country's length, a card in one of the usual groupings, else the longest), and the scan goes on
+behind it.
 
 Defined results: null text stays null with counts of 0; an empty text stays empty; texts are scanned
 whole at any length; repeated rows each give a row; an empty table gives an empty table.  `rewritten`
@@ -43,6 +46,15 @@ FORMS = {
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4}",
     "secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}",
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20
+EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
+LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24
+TR26 UA29 VA22 VG24 XK20""".split()}
+#: How cards are usually written: in one run, in fours (not if three digits more follow), or as 4, 6 and 4 or 5.
+USUAL_CARD = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?!\1\d{3}$)|\d{4}([ -])\d{6}\2\d{4,5})(?!\d)"
+#: Characters that are in no text: one that a text lacks marks where a value ends.
+MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 PATTERN = HEAD + "(?:" + "|".join(f"(?:{FORMS[k]})" for k in KINDS) + ")" + TAIL
 
 
@@ -196,17 +208,62 @@ def _secret(m: Column, key: str, inverse: bool) -> Column:
     return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted(F.substring(m, F.lit(5), F.length(m)), "secret", key, [DIGITS + UPPER], inverse))).when(m.rlike("[a-f]"), low).otherwise(high)
 
 
+def _is_iban(m: Column) -> Column:
+    iban = F.replace(m, F.lit(" "), F.lit(""))
+    return m.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(iban) <= 34) & (_remainder_97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1)
+
+
+def _is_card(m: Column) -> Column:
+    return m.rlike(f"^(?:{FORMS['card']})$") & F.call_function("luhn_check", _digits(m))
+
+
+def _end(m: Column) -> Column:
+    """The length of the valid card number or IBAN that a match begins with; the match's own for all others."""
+    size = F.length(m)
+    before = lambda i: F.substring(m, F.lit(1), i)
+    ends = F.filter(F.sequence(F.lit(13), size), lambda i: before(i).rlike("[A-Z0-9]$") & ~F.substring(m, i + 1, F.lit(1)).rlike("[A-Z0-9]"))
+    longest_first = F.reverse(ends)
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    known = F.coalesce(lengths[F.substring(m, 1, 2)], F.lit(0))
+    long = lambda i: F.length(F.replace(before(i), F.lit(" "), F.lit("")))
+    of_country = F.filter(ends, lambda i: long(i) == known)
+    ibans = F.concat(of_country, F.filter(longest_first, lambda i: (i == size) | ((known == 0) & (long(i) >= 15))))
+    usual = F.length(F.regexp_extract(m, USUAL_CARD, 0))
+    cards = F.concat(F.filter(ends, lambda i: i == usual), longest_first)
+    first = lambda found, valid: F.get(F.filter(found, lambda i: valid(before(i))), F.lit(0))
+    iban, card = m.rlike(f"^(?:{FORMS['iban']})$"), m.rlike(f"^(?:{FORMS['card']})$")
+    return F.when(iban & (size >= 13), F.coalesce(first(ibans, _is_iban), size)).when(card, F.coalesce(first(cards, _is_card), size)).otherwise(size)
+
+
+def _matches(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+
+
+def _marked(text: Column, mark: Column) -> Column:
+    """The text with a mark behind each value that its match goes beyond."""
+
+    def round_(s: Column) -> Column:
+        one = lambda m: let(_end(m), lambda e: F.when(e < F.length(m), F.concat(F.substring(m, F.lit(1), e), mark, F.substring(m, e + 1, F.length(m)))).otherwise(m))
+        join = lambda t, found: F.array_join(F.zip_with(F.split(t, PATTERN, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        new = join(s["text"], F.transform(_matches(s["text"]), one))
+        return let(new, lambda t: F.struct(t.alias("text"), (t == s["text"]).alias("done")))
+
+    # What follows a value may hold others, so rounds go on until one changes nothing; a value has 13 characters at least.
+    rounds = F.sequence(F.lit(0), F.floor(F.length(text) / 13).cast("int"))
+    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(rounds, start, lambda s, _: F.when(s["done"], s).otherwise(round_(s)))["text"]
+
+
 def _found(m: Column, key: str, inverse: bool) -> Column:
     """(kind, pseudonym) of a match; kind is null, and the match stays, where validation fails."""
     whole = lambda kind: m.rlike(f"^(?:{FORMS[kind]})$")
-    iban = F.replace(m, F.lit(" "), F.lit(""))
     cases = [
         ("email", m.contains("@"), _email),
-        ("iban", m.rlike("^[A-Z]{2}[0-9]{2}") & (F.length(iban) <= 34) & (_remainder_97(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4))) == 1), _iban),
+        ("iban", _is_iban(m), _iban),
         ("ip", whole("ip") & ~F.exists(F.split(m, "\\."), lambda p: p.cast("int") > 255), _ip),
         ("date", whole("date") & _day_of(m).isNotNull(), _date),
         ("ssn", whole("ssn") & _is_ssn(_digits(m)), _ssn),
-        ("card", whole("card") & F.call_function("luhn_check", _digits(m)), _card),
+        ("card", _is_card(m), _card),
         ("phone", whole("phone") & F.length(_digits(m)).between(7, 15), _phone),
         ("secret", whole("secret") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), _secret),
     ]
@@ -220,15 +277,19 @@ def _found(m: Column, key: str, inverse: bool) -> Column:
 def _scanned(text: Column, key: str, inverse: bool) -> Column:
     """(text, kinds): the text with its pseudonyms, and the kind of each."""
     none = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    free = F.get(F.filter(F.array(*[F.lit(c) for c in MARKS]), lambda c: ~text.contains(c)), F.lit(0))
+    beyond = F.exists(_matches(text), lambda m: _end(m) < F.length(m))
+
+    def replaced(s: Column) -> Column:
+        def join(found: Column) -> Column:
+            kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
+            new = let(F.split(s["text"], PATTERN, -1), lambda p: F.array_join(F.zip_with(p, found, lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), ""))
+            return F.struct(F.when(s["mark"].isNull(), new).otherwise(F.replace(new, s["mark"], F.lit(""))).alias("text"), kinds.alias("kinds"))
 
-    def join(found: Column) -> Column:
-        kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
-        pieces = F.split(text, PATTERN, -1)
-        new = let(pieces, lambda p: F.array_join(F.zip_with(p, found, lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), ""))
-        return F.struct(new.alias("text"), kinds.alias("kinds"))
+        return let(F.transform(_matches(s["text"]), lambda m: _found(m, key, inverse)), join)
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: _found(m, key, inverse))
-    return F.when(text.rlike("[0-9@]"), let(found, join)).otherwise(none)
+    marked = let(F.when(beyond, free), lambda c: F.struct(F.when(c.isNull(), text).otherwise(_marked(text, c)).alias("text"), c.alias("mark")))
+    return F.when(text.rlike("[0-9@]"), let(marked, replaced)).otherwise(none)
 
 
 def _with_found(docs: DataFrame, text_col: str, key: str, inverse: bool) -> DataFrame:

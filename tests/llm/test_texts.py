@@ -47,6 +47,22 @@ def test_op5_is_undone_by_its_inverse(spark, docs):
     assert pii.rewritten(df, key="other").filter("doc_id = 3").first().text != there.filter("doc_id = 3").first().text
 
 
+def test_op5_values_before_digits_or_capitals(spark, docs):
+    card, spaced, at, be = "4785380592391139", "4111 1111 1111 1111", "AT611904300234573201", "BE68539007547034"
+    texts = [f"{card} 12/27", f"{at} SEPA", f"{be} 2024", f"pay {spaced} 1234", "AT61 1904 3002 3457 3201 4785 3805 9239 1139 ok", f"{card} {be} 2024 {at} IBAN {card} 99", f"\ufdd0{card} 12", "4785380592391138 12", "1234 5678 9012"]
+    rows = {r.doc_id: r for r in pii.report(docs(texts)).collect()}
+    assert [(rows[i].n_card, rows[i].n_iban) for i in range(9)] == [(1, 0), (0, 1), (0, 1), (1, 0), (1, 1), (2, 2), (1, 0), (0, 0), (0, 0)]
+    for i in range(7):
+        assert not any(v in rows[i].text for v in (card, spaced, at, be, "4785 3805 9239 1139", "1904 3002 3457"))
+        assert len(rows[i].text) == len(texts[i])
+    assert [rows[i].text[-5:] for i in range(4)] == ["12/27", " SEPA", " 2024", " 1234"] and rows[6].text[0] == "\ufdd0"
+    assert rows[7].text == texts[7] and rows[8].text == texts[8]
+    alone = pii.report(docs([card, at])).collect()
+    assert {r.text for r in alone} == {rows[0].text[:16], rows[1].text[:20]}
+    there = pii.rewritten(docs(texts))
+    assert [r.text for r in pii.rewritten(there, inverse=True).orderBy("doc_id").collect()] == texts
+
+
 def test_op5_permutes(spark):
     df = spark.range(100_000).select("id", pii.permuted(F.lpad(F.col("id").cast("string"), 5, "0"), "t", "k", [pii.DIGITS]).alias("p"), pii.permuted_number(F.pmod("id", F.lit(65536)), "t", "k", 8).alias("n"))
     row = df.agg(F.countDistinct("p").alias("p"), F.countDistinct("n").alias("n"), F.max(F.length("p")).alias("m")).first()
