@@ -20,7 +20,8 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLIC
             if pa.types.is_string(values.type) or pa.types.is_binary(values.type):
                 sizes = np.diff(np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64))
             else:
-                sizes = np.full(len(values), batch.nbytes // batch.num_rows)
+                lists = pa.types.is_list(values.type)
+                sizes = np.diff(values.offsets.to_numpy()).astype(np.int64) * 4 if lists else np.full(len(values), batch.nbytes // batch.num_rows)
             group = (np.cumsum(sizes) - sizes) // most
             starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]
             for a, b in zip(starts, starts[1:]):
