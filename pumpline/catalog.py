@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pumpline.functions import lists, scalars
 from pumpline.operators import aggregates, charts, daily, latest, stations
-from pumpline.plans import domain
-from pumpline.sources import store
+from pumpline.plans import domain, imports
+from pumpline.sources import csv, inline, scratch, store
 from pumpline.streaming import incremental
 
 STATION, FUEL = "7", "view"
 DAY = "2024-01-15"
 RANGE = ("2024-01-05", "2024-01-20")
+#: When reports begin to come in live, and when the first of two imports ends.
+LIVE, NOON = "2024-01-15 12:00:00", "2024-01-10 12:00:00"
 
 
 def _days(spark, sf) -> DataFrame:
@@ -264,14 +266,152 @@ def chart_difference_to_cheapest(spark, sf):
     return _rounded(charts.difference_to_cheapest(_chart(spark, sf)), "difference")
 
 
-def incremental_daily(spark, sf):
-    """Rows of all days but the last, then the first report of each group of the last day as live reports."""
+def _live(spark, sf) -> DataFrame:
+    """Rows of all days before the first live report, then all later reports, appended as live ones."""
     reports = domain.reports(spark, sf)
-    last = F.lit("2024-01-29").cast("timestamp_ntz")
-    before = daily.daily_prices(reports.filter(F.col("date") < last))
-    first = reports.filter((F.col("date") >= last) & (F.col("date") < F.lit("2024-01-30").cast("timestamp_ntz"))).groupBy("station", "fuel").agg(F.min_by(F.struct("id", "date", "price"), F.struct("date", "id")).alias("r")).select("r.id", "r.date", "station", "fuel", "r.price")
-    rows = incremental.reported(before.drop("id"), first)
-    return _flat(rows)
+    first = F.lit(LIVE).cast("timestamp_ntz")
+    return incremental.reported(daily.daily_prices(reports.filter(F.col("date") < first)).drop("id"), reports.filter(F.col("date") >= first))
+
+
+def incremental_daily(spark, sf):
+    return _flat(_live(spark, sf))
+
+
+def incremental_extremes(spark, sf):
+    """Which of equal extremes stands: the first in live reports."""
+    return _live(spark, sf).filter("isTouched").select("station", "fuel", "day", F.col("lowestPrice.id").alias("lowest_id"), F.col("highestPrice.id").alias("highest_id"))
+
+
+def live_latest(spark, sf):
+    """Stations' lists after live reports."""
+    before = latest.per_station(daily.daily_prices(domain.reports(spark, sf).filter(F.col("date") < F.lit(LIVE).cast("timestamp_ntz"))))
+    value = before.schema["latestPrices"].dataType.valueType.elementType
+    live = _live(spark, sf).filter("isTouched").withColumn("id", F.sha2(F.concat_ws("|", "station", "fuel", F.col("day").cast("string")), 256))
+    rows = incremental.refreshed(before, live.select("station", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in value.fields]))
+    return rows.select("id", F.explode("latestPrices").alias("fuel", "list")).select("id", "fuel", F.size("list").alias("n"), F.get("list", F.lit(0))["day"].alias("day"), F.get("list", F.lit(0))["closingPrice"].alias("closingPrice"))
+
+
+def stream_daily(spark, sf):
+    """Reports through the stream in two batches: daily rows from the store."""
+    root = scratch.folder(spark, "stream")
+    rows = domain.reports(spark, sf)
+    for k in range(2):  # the second batch has late reports of all days
+        rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    incremental.start(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
+    return _flat(store.Store(spark, f"{root}/store").by_day("daily").read())
+
+
+def csv_reports(spark, sf):
+    path = domain.report_files(spark, domain.raw_reports(spark, sf), scratch.folder(spark, "reports"))
+    return csv.read_reports(spark, path, domain.FUELS).drop("id")
+
+
+def csv_stations(spark, sf):
+    rows = csv.read_stations(spark, domain.station_files(spark, sf, scratch.folder(spark, "stations")))
+    return rows.select("id", "name", "brand", F.col("address.street").alias("street"), F.col("address.houseNumber").alias("houseNumber"), F.col("address.postCode").alias("postCode"), F.col("address.city").alias("city"), F.get("location.coordinates", F.lit(0)).alias("longitude"), F.get("location.coordinates", F.lit(1)).alias("latitude"), "favorite")
+
+
+def _imported(spark, sf) -> tuple[store.Store, list]:
+    """A store after stations, reports up to a day's noon, and then all reports were imported."""
+    root = scratch.folder(spark, "import")
+    at, reports = store.Store(spark, f"{root}/store"), domain.reports(spark, sf)
+    results = [imports.import_stations(spark, at, domain.station_files(spark, sf, f"{root}/stations"))]
+    for name, rows in (("first", reports.filter(F.col("date") < F.lit(NOON).cast("timestamp_ntz"))), ("all", reports)):
+        results.append(imports.import_reports(spark, at, domain.report_files(spark, rows, f"{root}/{name}"), fuels=domain.FUELS))
+    return at, results
+
+
+def import_days(spark, sf):
+    rows = _imported(spark, sf)[0].read("daily")
+    return _flat(rows.withColumn("station", F.col("station.id")))
+
+
+def import_counts(spark, sf):
+    _, results = _imported(spark, sf)
+    return spark.createDataFrame([(i, r.inserted, r.skipped, r.updated) for i, r in enumerate(results)], "step int, inserted bigint, skipped bigint, updated bigint")
+
+
+def import_aggregates(spark, sf):
+    rows = _imported(spark, sf)[0].read("aggregates")
+    return _rounded(rows.select("day", "fuel", "lowestPrice", "highestPrice", "weightedAveragePrice"), "weightedAveragePrice")
+
+
+def import_latest(spark, sf):
+    rows = _imported(spark, sf)[0].read("stations")
+    return rows.select("id", "name", F.explode("latestPrice").alias("fuel", "p")).select("id", "name", "fuel", "p.day", "p.closingPrice")
+
+
+def stations_upsert(spark, sf):
+    """Every second station imported over all of them: favourites stay, names are the new ones."""
+    old = domain.stations(spark, sf)
+    new = old.filter(F.col("id").cast("int") % 2 == 0).withColumns({"name": F.lit("New"), "favorite": F.lit(False)})
+    return store.upsert_stations(old, new).select("id", "name", "favorite")
+
+
+def stations_upsert_strict(spark, sf):
+    old = domain.stations(spark, sf)
+    new = old.filter(F.col("id").cast("int") % 2 == 0).withColumns({"name": F.lit("New"), "favorite": F.lit(False)})
+    return store.upsert_stations(old, new, strict=True).select("id", "name", "favorite")
+
+
+def upsert_counts(spark, sf):
+    old = domain.stations(spark, sf).filter(F.col("id").cast("int") % 5 != 0)
+    new = domain.stations(spark, sf).withColumn("name", F.when(F.col("id").cast("int") % 3 == 0, F.lit("New")).otherwise(F.col("name")))
+    return store.counted(old, new, ["id"], ["name", "brand"])
+
+
+def opening_repair(spark, sf):
+    """Rows of every third day without an opening price, and others that are known to have none."""
+    lost = F.pmod(F.dayofmonth("day"), F.lit(3)) == 0
+    rows = _days(spark, sf).withColumn("openingPriceKnown", F.when(lost, None).otherwise(F.lit(True))).withColumn("openingPrice", F.when(F.dayofmonth("day") % 3 == 2, F.col("openingPrice")))
+    return imports.openings_repaired(rows).select("station", "fuel", "day", "openingPrice", "openingPriceKnown", F.col("weightedAveragePrice").alias("average"))
+
+
+def stored_toggle(spark, sf):
+    """A favourite flag turned twice in the store, another's once."""
+    at = store.Store(spark, scratch.folder(spark, "toggle"))
+    at.write("stations", domain.stations(spark, sf))
+    for station in (STATION, "8", "8"):
+        imports.toggle_favourite(at, station)
+    return at.read("stations").select("id", "favorite")
+
+
+def store_tables(spark, sf):
+    """Names by prefix after one table was dropped and one cleared."""
+    at = store.Store(spark, scratch.folder(spark, "tables"))
+    for name in ("daily", "daily_old", "stations"):
+        at.write(name, domain.stations(spark, sf).select("id"))
+    at.drop("daily_old")
+    at.clear("stations")
+    return spark.createDataFrame([(n, at.read(n).count()) for n in [*at.names("da"), *at.names("st")]], "name string, n bigint")
+
+
+def station_formats(spark, sf):
+    rows = csv.stations(domain.station_rows(spark, sf))
+    return rows.select("id", scalars.address_text("address").alias("address"), scalars.marker("location").alias("m"), scalars.is_point("location").alias("is_point")).select("id", "address", "m.latitude", "m.longitude", "is_point")
+
+
+def zone_days(spark, sf):
+    """Days of a zone two hours ahead."""
+    return daily.grouped(domain.reports(spark, sf), zone="+02:00").select("station", "fuel", "day", F.size("prices").alias("n"))
+
+
+def paginator_links(spark, sf):
+    rows = [(current, i, n) for current in range(1, 10) for i, n in enumerate(stations.links(current, 9, 1))]
+    return spark.createDataFrame(rows, "current int, place int, page int")
+
+
+def inline_rows(spark, sf):
+    return inline.sample_station(spark).select("id", "name", F.col("address.city").alias("city"), F.get("location.coordinates", F.lit(0)).alias("longitude"))
+
+
+def merged_lists(spark, sf):
+    """Entries side by side with notes of the first two, and a default where there is none."""
+    rows = daily.reshaped(daily.grouped(domain.reports(spark, sf)))
+    notes = F.transform(F.slice("prices", 1, 2), lambda p: F.struct(p["id"].alias("note"), (p["price"] * 2).alias("price")))
+    out = rows.select("station", "fuel", "day", F.posexplode(lists.zipped("prices", notes, ["id", "price"], ["note", "price"], {"note": F.lit("none")})).alias("place", "p"))
+    return out.select("station", "fuel", "day", "place", "p.id", "p.price", "p.note")
 
 
 def formatting(spark, sf):
@@ -285,11 +425,14 @@ daily_aggregates_exact postcode_aggregates percentile_label compound_latest late
 last_30_station_fuel stations_page favourites_page favourite_toggle station_by_id postcode_page page_count search stations_normalised
 merge_keep_existing merge_replace merge_fields chart_price_history chart_price_changes chart_difference_to_average chart_extreme_times
 chart_cheapest_times chart_expensive_times chart_day_overview chart_aggregated_overview chart_aggregated_history
-chart_difference_to_cheapest incremental_daily formatting""".split()
+chart_difference_to_cheapest incremental_daily incremental_extremes live_latest formatting stations_upsert stations_upsert_strict
+upsert_counts opening_repair station_formats zone_days paginator_links inline_rows merged_lists""".split()
+#: Those that write files or tables on their way.
+WRITING = """csv_reports csv_stations import_days import_counts import_aggregates import_latest stream_daily stored_toggle store_tables""".split()
 
 
 def queries() -> dict:
-    return {name: globals()[name] for name in NAMES}
+    return {name: globals()[name] for name in [*NAMES, *WRITING]}
 
 
 # SQL: r reports, g groups, o groups with opening price, l reports with previous price, s segments, d daily rows, c daily rows of stations, a aggregates
@@ -311,6 +454,9 @@ _AGG = """avg(n) AS numChanges, min(lowest) AS lowestPrice, max(highest) AS high
 _A = _D + ", a AS (SELECT day, fuel, " + _AGG.format(q="quantile_disc") + " FROM d GROUP BY day, fuel)"
 _ROUNDED = "lowestPrice, highestPrice, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("numChanges", "weightedAveragePrice", "p50", "p90", "p95", "p99"))
 _ST = "st AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, c_mktsegment AS brand, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postCode, n_name AS city, c_custkey % 7 = 0 AS favorite FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey)"
+_SF = """sf AS (SELECT CAST(c_custkey AS VARCHAR) AS id, {w} AS name, c_mktsegment AS brand, CAST(c_custkey % 90 AS VARCHAR) AS houseNumber, lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS postCode,
+  {c} AS city, CASE WHEN ok THEN (c_custkey % 100)::DOUBLE END AS latitude, CASE WHEN ok THEN (c_custkey % 400 - 180)::DOUBLE END AS longitude
+  FROM (SELECT *, c_custkey % 100 <= 90 AND c_custkey % 400 <= 360 AS ok FROM customer) LEFT JOIN nation ON n_nationkey = c_nationkey)"""
 _FLAT = "station, fuel, day, n, opening AS openingPrice, closing AS closingPrice, lowest, highest, average"
 _IN = f"fuel = '{FUEL}' AND day BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"
 _HALF = "SELECT " + _FLAT + " FROM d WHERE day(day) % 3 <> {k}"
@@ -326,6 +472,12 @@ def _word(c: str) -> str:
     return f"list_reduce(list_transform(string_split(lower({c}), ' '), lambda x: upper(x[1]) || x[2:]), lambda x, y: x || ' ' || y)"
 
 
+_SF = _SF.format(w=_word("c_name"), c=_word("n_name"))
+# Of the noon's day, groups that the first import has stay as they were; its files cut fractions of seconds off.
+_IMPORTED = _D.replace("SELECT CAST(event_id AS VARCHAR) AS id, event_id AS k, ts AS date", "SELECT CAST(event_id AS VARCHAR) AS id, event_id AS k, date_trunc('second', ts)::TIMESTAMP AS date").replace(
+    "WHERE value >= 0.5)", f"JOIN customer ON c_custkey = user_id WHERE value >= 0.5 AND NOT (ts >= TIMESTAMP '{NOON}' AND (user_id, event_type, date_trunc('day', ts)) IN (SELECT (user_id, event_type, date_trunc('day', ts)) FROM events WHERE value >= 0.5 AND ts < TIMESTAMP '{NOON}')))"
+)
+
 SQL = {
     "report_filter": f"WITH {_R} SELECT id, date, station, fuel, price FROM r",
     "daily_group": f"WITH {_R} SELECT station, fuel, day, CAST(row_number() OVER (PARTITION BY station, fuel, day ORDER BY date, id) - 1 AS INTEGER) AS position, id, date, price FROM r",
@@ -373,9 +525,33 @@ SQL = {
     "chart_aggregated_overview": f"WITH {_A} SELECT day, fuel, lowestPrice, highestPrice, round(weightedAveragePrice, 6) AS weightedAveragePrice FROM a WHERE day BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'",
     "chart_aggregated_history": f"WITH {_A} SELECT day, fuel, lowestPrice, highestPrice, round(weightedAveragePrice, 6) AS weightedAveragePrice, round(numChanges, 6) AS numChanges, round(p50, 6) AS median FROM a WHERE {_IN}",
     "chart_difference_to_cheapest": f"WITH {_D} SELECT station, day, fuel, round(lowest - min(lowest) OVER (PARTITION BY day, fuel), 6) AS difference FROM d WHERE {_IN}",
-    "incremental_daily": "WITH "
-    + _D.replace("WHERE value >= 0.5)", "WHERE value >= 0.5 AND (ts < TIMESTAMP '2024-01-29' OR event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM events WHERE value >= 0.5 AND ts >= TIMESTAMP '2024-01-29' AND ts < TIMESTAMP '2024-01-30' GROUP BY user_id, event_type)))")
-    + f" SELECT {_FLAT} FROM d",
+    "incremental_daily": f"WITH {_D} SELECT {_FLAT} FROM d",
+    "incremental_extremes": f"WITH {_R} SELECT station, fuel, day, "
+    + "arg_min(id, (price, live, CASE WHEN live = 1 OR true THEN date END, id)) AS lowest_id, arg_min(id, (-price, live, CASE WHEN live = 0 THEN -epoch_us(date) ELSE epoch_us(date) END, CASE WHEN live = 0 THEN -k ELSE k END)) AS highest_id "
+    + f"FROM (SELECT *, (date >= TIMESTAMP '{LIVE}')::INT AS live FROM r) GROUP BY station, fuel, day HAVING max(live) = 1",
+    "live_latest": f"WITH {_O}, x AS (SELECT *, row_number() OVER (PARTITION BY station, fuel ORDER BY day DESC) AS i FROM g) SELECT station AS id, fuel, CAST(count(*) AS INTEGER) AS n, max(day) AS day, max(closing) FILTER (i = 1) AS closingPrice FROM x WHERE i <= 30 GROUP BY ALL",
+    "stations_upsert": f"WITH {_ST} SELECT id, CASE WHEN id::INT % 2 = 0 THEN 'New' ELSE name END AS name, favorite FROM st",
+    "stations_upsert_strict": f"WITH {_ST} SELECT id, CASE WHEN id::INT % 2 = 0 THEN 'New' ELSE name END AS name, id::INT % 2 = 1 AND favorite AS favorite FROM st",
+    "upsert_counts": "SELECT count(*) FILTER (c_custkey % 5 = 0) AS inserted, count(*) FILTER (c_custkey % 5 <> 0 AND c_custkey % 3 <> 0) AS skipped, count(*) FILTER (c_custkey % 5 <> 0 AND c_custkey % 3 = 0) AS updated FROM customer",
+    "opening_repair": f"WITH {_D} SELECT {_KEY}, CASE WHEN day(day) % 3 = 1 THEN NULL ELSE opening END AS openingPrice, true AS openingPriceKnown, average FROM d",
+    "station_formats": f"WITH {_SF} SELECT id, 'Long Road ' || houseNumber || chr(10) || postCode || ' ' || city AS address, latitude, longitude, latitude IS NOT NULL AS is_point FROM sf",
+    "zone_days": f"WITH {_R} SELECT station, fuel, CAST(date_trunc('day', date + INTERVAL 2 HOUR) AS TIMESTAMP) AS day, CAST(count(*) AS INTEGER) AS n FROM r GROUP BY ALL",
+    "paginator_links": "WITH p AS (SELECT c, n FROM range(1, 10) a(c), range(1, 10) b(n) WHERE n IN (1, 9) OR abs(n - c) <= 1), "
+    + "g AS (SELECT c, n AS page, n AS w FROM p UNION ALL SELECT c, NULL, n - 0.5 FROM (SELECT c, n, lag(n) OVER (PARTITION BY c ORDER BY n) AS m FROM p) WHERE n - m > 1) "
+    + "SELECT CAST(c AS INTEGER) AS current, CAST(row_number() OVER (PARTITION BY c ORDER BY w) - 1 AS INTEGER) AS place, CAST(page AS INTEGER) AS page FROM g",
+    "inline_rows": "SELECT '00000000-0000-4000-8000-000000000001' AS id, 'Corner Station' AS name, 'Springfield' AS city, 13.4::DOUBLE AS longitude",
+    "merged_lists": f"WITH {_R}, x AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY date, id) - 1 AS i FROM r) SELECT {_KEY}, CAST(i AS INTEGER) AS place, id, CASE WHEN i < 2 THEN price * 2 ELSE price END AS price, CASE WHEN i < 2 THEN id ELSE 'none' END AS note FROM x",
+    "csv_reports": f"WITH {_R} SELECT date_trunc('second', date)::TIMESTAMP AS date, station, fuel, price FROM r",
+    "csv_stations": f"WITH {_SF} SELECT id, name, brand, 'Long Road' AS street, houseNumber, postCode, city, longitude, latitude, false AS favorite FROM sf",
+    "import_days": f"WITH {_IMPORTED} SELECT {_FLAT} FROM d",
+    "import_counts": f"WITH {_R}, f AS (SELECT DISTINCT {_KEY} FROM r JOIN customer ON c_custkey = station::INT WHERE date < TIMESTAMP '{NOON}'), k AS (SELECT r.*, c_custkey IS NOT NULL AS known, f.day IS NOT NULL AS had FROM r LEFT JOIN customer ON c_custkey = station::INT LEFT JOIN f USING (station, fuel, day)) "
+    + "SELECT 0::INT AS step, (SELECT count(*) FROM customer) AS inserted, 0::BIGINT AS skipped, 0::BIGINT AS updated "
+    + f"UNION ALL SELECT 1, count(*) FILTER (known), count(*) FILTER (NOT known), 0 FROM k WHERE date < TIMESTAMP '{NOON}' UNION ALL SELECT 2, count(*) FILTER (known AND NOT had), count(*) FILTER (NOT known OR had), 0 FROM k",
+    "import_aggregates": f"WITH {_IMPORTED} SELECT day, fuel, min(lowest) AS lowestPrice, max(highest) AS highestPrice, round(avg(average), 6) AS weightedAveragePrice FROM d GROUP BY day, fuel",
+    "import_latest": f"WITH {_IMPORTED}, x AS (SELECT *, row_number() OVER (PARTITION BY station, fuel ORDER BY day DESC) AS i FROM d), {_SF} SELECT id, name, fuel, day, closing AS closingPrice FROM x JOIN sf ON id = station WHERE i = 1",
+    "stream_daily": f"WITH {_D} SELECT {_FLAT} FROM d",
+    "stored_toggle": f"WITH {_ST} SELECT id, CASE WHEN id = '{STATION}' THEN NOT favorite ELSE favorite END AS favorite FROM st",
+    "store_tables": "SELECT 'daily' AS name, count(*) AS n FROM customer UNION ALL SELECT 'stations', 0",
     "formatting": f"WITH {_D} SELECT fuel, day, printf('%.3f €', closing) AS price, strftime(lowest_date, '%I:%M:%S') AS \"time\", strftime(day, '%d.%m.%Y') AS shown, CASE WHEN fuel = 'view' THEN 'Views' ELSE fuel END AS label FROM d WHERE station = '{STATION}'",
 }
 

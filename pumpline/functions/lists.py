@@ -34,15 +34,22 @@ def shifted(prices) -> Column:
     return F.transform(prices, lambda p, i: F.when(i > 0, F.get(prices, i - 1)["price"]))
 
 
-def zipped(a, b, merge) -> Column:
-    """Elements side by side, the shorter list filled with nulls."""
-    return F.zip_with(column(a), column(b), merge)
+def zipped(a, b, of_a: list[str], of_b: list[str], defaults: dict[str, Column]) -> Column:
+    """Structs of two lists merged place by place: b's field stands before a's, and the default where neither has one.
+
+    The shorter list counts as filled with nulls; of_a, of_b: the structs' fields.
+    """
+    def merged(x: Column, y: Column) -> Column:
+        values = {f: [*([y[f]] if f in of_b else []), *([x[f]] if f in of_a else []), *([defaults[f]] if f in defaults else [])] for f in dict.fromkeys([*of_a, *of_b, *defaults])}
+        return F.struct(*[F.coalesce(*v).alias(f) for f, v in values.items()])
+
+    return F.zip_with(column(a), column(b), merged)
 
 
 def with_previous(prices) -> Column:
     """Entries with the previous entry's price; the first has none yet."""
-    prices = column(prices)
-    return F.transform(prices, lambda p, i: F.struct(p["id"].alias("id"), p["date"].alias("date"), p["price"].alias("price"), F.when(i > 0, F.get(prices, i - 1)["price"]).alias("previousPrice")))
+    before = F.transform(shifted(prices), lambda p: F.struct(p.alias("previousPrice")))
+    return zipped(prices, before, ["id", "date", "price"], ["previousPrice"], {})
 
 
 def with_opening(prices, opening) -> Column:

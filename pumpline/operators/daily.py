@@ -82,7 +82,11 @@ def missing_opening(rows: DataFrame) -> DataFrame:
 
 def priced(rows: DataFrame) -> DataFrame:
     """Opening price, previous prices, changes and the day's weighted average."""
-    rows = with_opening(rows)
+    return with_averages(with_opening(rows))
+
+
+def with_averages(rows: DataFrame) -> DataFrame:
+    """Previous prices, changes and the day's weighted average of rows that have their opening price."""
     rows = rows.withColumn("prices", lists.with_change(lists.with_opening("prices", "openingPrice")))
     return rows.withColumn("weightedAveragePrice", lists.weighted_average("prices", "day", "openingPrice"))
 

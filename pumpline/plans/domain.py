@@ -31,3 +31,26 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     address = F.struct(F.lit(None).cast("string").alias("street"), F.lit(None).cast("string").alias("houseNumber"), F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("postCode"), F.col("n_name").alias("city"))
     location = F.lit(None).cast("struct<type: string, coordinates: array<double>>")
     return rows.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("brand"), address.alias("address"), location.alias("location"), (F.col("c_custkey") % 7 == 0).alias("favorite"))
+
+
+def report_files(spark: SparkSession, rows: DataFrame, path: str) -> str:
+    """Reports as files, those of even hours with another order of columns than the others."""
+    wide = [F.when(F.col("fuel") == f, F.col("price").cast("string")).alias(f) for f in FUELS]
+    flags = [F.when(F.col("fuel") == f, "1").otherwise("0").alias(f"{f}change") for f in FUELS]
+    even = F.hour(F.col("date").cast("timestamp")) % 2 == 0
+    columns = [F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("date"), F.col("station").alias("station_uuid"), *wide, *flags]
+    rows.filter(even).select(*columns).write.option("header", True).csv(f"{path}/even")
+    rows.filter(~even).select(*reversed(columns)).write.option("header", True).csv(f"{path}/odd")
+    return path
+
+
+def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of station files; some points are out of range."""
+    rows = stations(spark, sf_dir)
+    key = F.col("id").cast("int")
+    return rows.select(F.upper("id").alias("uuid"), F.upper("name").alias("name"), "brand", F.lit("LONG ROAD").alias("street"), (key % 90).cast("string").alias("house_number"), F.col("address.postCode").alias("post_code"), F.col("address.city").alias("city"), (key % 100).cast("string").alias("latitude"), (key % 400 - 180).cast("string").alias("longitude"))
+
+
+def station_files(spark: SparkSession, sf_dir: str, path: str) -> str:
+    station_rows(spark, sf_dir).write.option("header", True).csv(path)
+    return path

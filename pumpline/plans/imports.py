@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pumpline import schemas
 from pumpline.functions import lists
-from pumpline.operators import aggregates, daily, latest
+from pumpline.operators import aggregates, daily, latest, stations
 from pumpline.sources import csv
 from pumpline.sources.store import ImportResult, Store, assert_unique, keep_existing, merge_fields, replace_matching, result_of, upsert_stations
 
@@ -28,7 +28,7 @@ def import_stations(spark: SparkSession, store: Store, paths, clear: bool = Fals
         store.clear("stations")
     new = csv.read_stations(spark, paths).dropDuplicates(["id"])
     old = store.read("stations", schemas.STATION)
-    result = result_of(old, new, ["id"])
+    result = result_of(old, new, ["id"], ["name", "brand", "address", "location"])
     store.write("stations", upsert_stations(old, new, strict))
     return result
 
@@ -37,7 +37,8 @@ def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool =
     """Reports to daily rows, aggregates and the stations' latest prices.
 
     Each step's rows are a staged table; `recover` goes on from the newest one that a broken run has left.  Days that
-    are there already stay.  Opening prices also come from days of earlier imports.
+    are there already stay.  Opening prices also come from days of earlier imports.  Counted are reports: those of
+    days that are new, and as skipped those of days that stay as they were, or whose station is unknown.
     """
     if clear:
         store.clear("daily")
@@ -45,22 +46,23 @@ def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool =
     left = [s for s in STAGES if store.exists(s)] if recover else []
     result = ImportResult()
     if not left and paths:
-        reports = csv.read_reports(spark, paths, fuels)
-        measured("reports", lambda: store.write("staged_reports", reports), log)
+        measured("reports", lambda: store.write("staged_reports", csv.read_reports(spark, paths, fuels)), log)
         left = ["staged_reports"]
     if left and left[-1] == "staged_reports":
-        reports, stations = store.read("staged_reports"), store.read("stations", schemas.STATION)
-        measured("days", lambda: store.write("staged_days", daily.by_day(reports, stations)), log)
+        read, known = store.read("staged_reports"), store.read("stations", schemas.STATION)
+        measured("days", lambda: store.write("staged_days", daily.by_day(read, known)), log)
         left.append("staged_days")
     if left:
         days = store.read("staged_days").withColumn("station_id", F.col("station.id"))
         old = store.read("daily") if store.exists("daily") else None
-        new = measured("daily", lambda: _priced_with(days, old), log)
+        new = measured("daily", lambda: _priced_with(days, old).withColumn("openingPriceKnown", F.lit(True)), log)
+        reports = lambda rows: rows.agg(F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n")).collect()[0]["n"]
+        came = reports(days if old is None else days.join(old.select(*KEY), KEY, "left_anti"))
+        given = store.read("staged_reports").count() if store.exists("staged_reports") else reports(days)
+        result = ImportResult(came, given - came)
         if old is not None:
-            result = result_of(old, new, KEY)
-            store.write("daily", keep_existing(old, new.select(*old.columns), KEY))
+            store.write("daily", keep_existing(old, new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]), KEY))
         else:
-            result = ImportResult(new.count())
             store.write("daily", new)
         for stage in STAGES:
             store.drop(stage)
@@ -81,10 +83,30 @@ def _priced_with(days: DataFrame, old: DataFrame | None) -> DataFrame:
     return rows.withColumn("weightedAveragePrice", lists.weighted_average("prices", "day", "openingPrice"))
 
 
+def openings_repaired(rows: DataFrame) -> DataFrame:
+    """Daily rows whose opening price was never looked for with that of the latest earlier day; known nulls and all else stay.
+
+    Only keys, closing prices and the found opening prices move; lists and averages stay as they are.
+    """
+    station = daily._station_key(rows)
+    flat = rows.select(station.alias("station"), "fuel", "day", "closingPrice")
+    lacking = daily.missing_opening(rows).select(station.alias("station"), "fuel", "day")
+    found = daily.opening_as_of(lacking, flat).select("station", "fuel", "day", F.col("openingPrice").alias("found"), F.lit(True).alias("looked")).dropDuplicates(["station", "fuel", "day"])
+    a, b = rows.withColumn("repair_station", station).alias("a"), found.alias("b")
+    joined = a.join(b, (F.col("a.repair_station") == F.col("b.station")) & (F.col("a.fuel") == F.col("b.fuel")) & (F.col("a.day") == F.col("b.day")), "left")
+    known = F.col("a.openingPriceKnown") if "openingPriceKnown" in rows.columns else F.col("a.openingPrice").isNotNull()
+    opening = F.when(F.col("b.looked"), F.col("b.found")).otherwise(F.col("a.openingPrice"))
+    return joined.select(*[opening.alias(c) if c == "openingPrice" else F.col(f"a.{c}") for c in rows.columns if c != "openingPriceKnown"], (known | F.coalesce("b.looked", F.lit(False))).alias("openingPriceKnown"))
+
+
 def repair_openings(store: Store) -> None:
-    """Opening prices of rows that never had one looked for, from all earlier days."""
-    rows = store.read("daily")
-    store.write("daily", daily.priced(rows).select(*rows.columns))
+    """Opening prices of stored rows that never had one looked for, from all earlier days."""
+    store.write("daily", openings_repaired(store.read("daily")))
+
+
+def toggle_favourite(store: Store, station: str) -> bool:
+    """Turns a stored station's favourite flag and returns what it is now."""
+    return stations.one(store.write("stations", stations.toggled(store.read("stations", schemas.STATION), station.lower())), station).collect()[0]["favorite"]
 
 
 def recompute_aggregates(store: Store) -> None:

@@ -13,5 +13,9 @@ STATION = f"id string, name string, brand string, address {ADDRESS}, location {P
 PARTIAL_STATION = f"struct<id: string, name: string, brand: string, location: {POINT}, address: struct<postCode: string>>"
 DAILY = f"""id string, day timestamp_ntz, fuel string, station {PARTIAL_STATION}, prices array<{PRICE}>,
     openingPrice double, closingPrice double, lowestPrice {ENTRY}, highestPrice {ENTRY}, weightedAveragePrice double"""
-REPORT_CSV = "date string, station_uuid string, diesel string, e5 string, e10 string, dieselchange string, e5change string, e10change string"
 STATION_CSV = "uuid string, name string, brand string, street string, house_number string, post_code string, city string, latitude string, longitude string"
+
+
+def report_csv(fuels=FUELS) -> str:
+    """Columns of a report file: per product its price, and whether it changed."""
+    return ", ".join(f"{c} string" for c in ("date", "station_uuid", *fuels, *(f"{f}change" for f in fuels)))

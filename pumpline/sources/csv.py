@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv as csv_module
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pumpline import schemas
@@ -10,22 +13,58 @@ from pumpline.functions.scalars import capitalised, point
 LEAST_PRICE = 0.5
 
 
+def _files(spark: SparkSession, paths: list[str]) -> list:
+    """The given files, and all *.csv below the given folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(conf)
+        if fs.getFileStatus(where).isFile():
+            out.append(where)
+            continue
+        found = fs.listFiles(where, True)
+        while found.hasNext():
+            at = found.next().getPath()
+            if at.getName().lower().endswith(".csv"):
+                out.append(at)
+    return out
+
+
+def _header(spark: SparkSession, path) -> tuple[str, ...]:
+    """A file's first row; empty for an empty file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    raw = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+    try:
+        line = reader.readLine()
+    finally:
+        reader.close()
+    return tuple(next(csv_module.reader([line.lstrip("\ufeff")]), ())) if line else ()
+
+
 def read_csv(spark: SparkSession, paths, schema: str) -> DataFrame:
-    """CSV files, or all *.csv below folders, every column a string, in the file's own order of columns.
+    """CSV files, or all *.csv below folders, every column a string; each file's own header names its columns.
 
-    The header names the columns; a row of another length than its header fails.
+    Only first lines come to the driver, read by a few threads; files of one header are read as one table, and a plan
+    has as many scans as there are different headers.  A row of another length than its header fails when it is
+    read.  Columns that a file lacks are null, others are left out; empty files have no rows.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
     wanted = [f.split()[0] for f in schema.split(", ")]
+    files = _files(spark, [paths] if isinstance(paths, str) else list(paths))
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(lambda path: _header(spark, path), files))
     out = None
-    for path in paths:
-        reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
-        if not path.lower().endswith(".csv"):
-            reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        rows = reader.csv(path)
-        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    for header in dict.fromkeys(h for h in headers if h):
+        if len(set(header)) < len(header):
+            raise ValueError(f"a header names a column twice: {','.join(header)}")
+        own = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+        reader = spark.read.schema(own).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+        rows = reader.csv([path.toString() for path, h in zip(files, headers) if h == header])
+        rows = rows.select(*[F.col(c) if c in header else F.lit(None).cast("string").alias(c) for c in wanted])
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def reports(wide: DataFrame, fuels=schemas.FUELS, least: float = LEAST_PRICE) -> DataFrame:
@@ -35,11 +74,15 @@ def reports(wide: DataFrame, fuels=schemas.FUELS, least: float = LEAST_PRICE) ->
     """
     parts = ", ".join(f"'{f}', {f}, {f}change" for f in fuels)
     rows = wide.selectExpr("date", "station_uuid", f"stack({len(fuels)}, {parts}) AS (fuel, price, change)")
-    at = F.coalesce(F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ssx")), F.try_to_timestamp("date", F.lit("yyyy-MM-dd HH:mm:ssxxx")), F.try_to_timestamp("date"))
+    # A time with an offset is an instant, shown in UTC whatever the session's zone; without one it is taken as it stands.
+    offset = F.col("date").rlike(r"\d(?:[+-]\d{2}(?::?\d{2})?|Z)$") & F.col("date").contains(":")
+    instant = F.coalesce(*[F.try_to_timestamp("date", F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ssx", "yyyy-MM-dd HH:mm:ssxxx")], F.try_to_timestamp("date"))
+    utc = F.timestamp_add("SECOND", F.unix_seconds(instant), F.lit("1970-01-01").cast("timestamp_ntz"))
+    at = F.when(offset, utc).otherwise(F.substring(F.col("date").try_cast("timestamp_ntz").cast("string"), 1, 19).try_cast("timestamp_ntz"))
     station = F.lower("station_uuid")
     return rows.filter((F.col("change") == "1") & (F.col("price").try_cast("double") >= least)).select(
         F.sha2(F.concat_ws("|", station, "fuel", "date", "price"), 256).alias("id"),
-        F.date_trunc("second", at).cast("timestamp_ntz").alias("date"),
+        at.alias("date"),
         station.alias("station"),
         "fuel",
         F.col("price").cast("double").alias("price"),
@@ -59,7 +102,7 @@ def stations(rows: DataFrame) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, paths, fuels=schemas.FUELS) -> DataFrame:
-    return reports(read_csv(spark, paths, schemas.REPORT_CSV), fuels)
+    return reports(read_csv(spark, paths, schemas.report_csv(fuels)), fuels)
 
 
 def read_stations(spark: SparkSession, paths) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 @dataclass(frozen=True)
 class ImportResult:
+    """Rows of the input that came in, that were there already, and that changed a stored one."""
+
     inserted: int = 0
-    modified: int = 0
-    failed: int = 0
+    skipped: int = 0
+    updated: int = 0
 
     def __add__(self, other: "ImportResult") -> "ImportResult":
-        return ImportResult(self.inserted + other.inserted, self.modified + other.modified, self.failed + other.failed)
+        return ImportResult(self.inserted + other.inserted, self.skipped + other.skipped, self.updated + other.updated)
 
 
 # merges, as functions of tables
@@ -55,11 +57,16 @@ def upsert_stations(old: DataFrame, new: DataFrame, strict: bool = False) -> Dat
     return rows.select(*columns).unionByName(old.join(new.select("id"), "id", "left_anti"))
 
 
-def result_of(old: DataFrame, new: DataFrame, key: list[str]) -> ImportResult:
-    """How many new rows a merge inserts, and how many it modifies."""
-    marked = new.select(*key).join(old.select(*key, F.lit(1).alias("had")).distinct(), key, "left")
-    row = marked.agg(F.count_if(F.col("had").isNull()).alias("inserted"), F.count_if(F.col("had").isNotNull()).alias("modified")).collect()[0]
-    return ImportResult(row["inserted"], row["modified"])
+def counted(old: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """One row: how many new rows are inserted, skipped as all their fields are there already, and updated."""
+    had = old.select(*key, F.struct(*fields).alias("had")).dropDuplicates(key)
+    marked = new.select(*key, F.struct(*fields).alias("has")).join(had, key, "left")
+    same = F.col("had").eqNullSafe(F.col("has"))
+    return marked.agg(F.count_if(F.col("had").isNull()).alias("inserted"), F.count_if(F.col("had").isNotNull() & same).alias("skipped"), F.count_if(F.col("had").isNotNull() & ~same).alias("updated"))
+
+
+def result_of(old: DataFrame, new: DataFrame, key: list[str], fields: list[str]) -> ImportResult:
+    return ImportResult(**counted(old, new, key, fields).collect()[0].asDict())
 
 
 def assert_unique(rows: DataFrame, key: list[str]) -> None:
@@ -104,10 +111,6 @@ class Store:
             self._delete(f"{self.root}/{name}/v{old}")
         return self.read(name)
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        rows.write.mode("append").parquet(f"{self.root}/{name}/v{versions[-1] if versions else 1}")
-
     def clear(self, name: str) -> None:
         if self.exists(name):
             self.write(name, self.read(name).limit(0))
@@ -125,3 +128,63 @@ class Store:
         if not fs.exists(where):
             return []
         return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n.startswith(prefix) and self.exists(n))
+
+    def by_day(self, name: str) -> "DayTable":
+        return DayTable(self, name)
+
+
+class DayTable:
+    """A table of rows with a column `day`, kept as a folder for each day, of which a write touches only its own days.
+
+    A write is a folder w<number> with its days below; without a _SUCCESS marker it doesn't count, so one that breaks off
+    leaves the table as it was.  After `replace` a day's rows are those of its newest write, and older ones go; after
+    `append` they are those of all writes.
+    """
+
+    def __init__(self, store: Store, name: str):
+        self.store, self.root = store, f"{store.root}/{name}"
+
+    def _writes(self) -> dict[int, list[str]]:
+        """The days of each finished write."""
+        fs, where = self.store._fs(self.root)
+        out: dict[int, list[str]] = {}
+        for s in fs.listStatus(where) if fs.exists(where) else []:
+            found = s.getPath()
+            number = found.getName()[1:]
+            if found.getName()[:1] == "w" and number.isdigit():
+                inside = [x.getPath().getName() for x in fs.listStatus(found)]
+                if "_SUCCESS" in inside:
+                    out[int(number)] = [x.removeprefix("part=") for x in inside if x.startswith("part=")]
+        return out
+
+    def days(self) -> list[str]:
+        return sorted({d for days in self._writes().values() for d in days})
+
+    def read(self, days: list[str] | None = None, schema: str | None = None) -> DataFrame:
+        """The rows of all or of the given days."""
+        paths = [f"{self.root}/w{n}/part={d}" for n, found in self._writes().items() for d in found if days is None or d in set(days)]
+        if paths:
+            return self.store.spark.read.parquet(*paths)
+        any_ = next((f"{self.root}/w{n}/part={d}" for n, found in self._writes().items() for d in found), None)
+        if any_:
+            return self.store.spark.read.parquet(any_).limit(0)
+        if schema is None:
+            raise FileNotFoundError(self.root)
+        return self.store.spark.createDataFrame([], schema)
+
+    def append(self, rows: DataFrame) -> list[str]:
+        """Rows beside those that are there; the days that were written."""
+        writes = self._writes()
+        at = max(writes, default=0) + 1
+        rows.withColumn("part", F.date_format("day", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/w{at}")
+        return self._writes().get(at, [])
+
+    def replace(self, rows: DataFrame) -> None:
+        """Rows in place of all rows of their days."""
+        before = self._writes()
+        written = set(self.append(rows))
+        for n, found in before.items():
+            for day in written & set(found):
+                self.store._delete(f"{self.root}/w{n}/part={day}")
+            if set(found) <= written:
+                self.store._delete(f"{self.root}/w{n}")

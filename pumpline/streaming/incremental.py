@@ -2,74 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pumpline.functions import lists
 from pumpline.operators import daily, latest
-from pumpline.sources.store import Store, merge_fields, replace_matching
+from pumpline.sources.store import Store, replace_matching
 
 
 def upserted(rows: DataFrame, reports: DataFrame) -> DataFrame:
-    """Daily rows (station, fuel, day, prices, openingPrice, ...) after at most one report each is appended.
+    """Daily rows (station, fuel, day, prices, openingPrice, ...) after reports are appended, in order of date and id.
 
-    A row without a report stays; a report without a row makes one, with empty defaults.  The report goes behind the
+    A row without reports stays; reports without a row make one, with empty defaults.  Each report goes behind the
     list even if it is older, and its price becomes the closing price; of equal extremes the first stays.
     """
-    new = reports.select("station", "fuel", daily.day_of("date").alias("day"), F.struct("id", "date", "price").alias("report"))
+    new = reports.groupBy("station", "fuel", daily.day_of("date").alias("day")).agg(lists.by_date(F.collect_list(F.struct("id", "date", "price"))).alias("reports"))
     both = rows.join(new, ["station", "fuel", "day"], "full_outer")
-    had, report = F.col("report").isNotNull(), F.col("report")
-    prices = F.coalesce("prices", F.array().cast(rows.schema["prices"].dataType))
-    listed = F.when(had, lists.appended(prices, "report")).otherwise(prices)
-    out = both.withColumn("prices", listed).withColumns({
-        "closingPrice": F.when(had, report["price"]).otherwise(F.col("closingPrice")),
-        "lowestPrice": F.when(had, lists.replaced_if("lowestPrice", "report", False)).otherwise(F.col("lowestPrice")),
-        "highestPrice": F.when(had, lists.replaced_if("highestPrice", "report", True)).otherwise(F.col("highestPrice")),
-    })
-    out = out.withColumn("isNew", F.size("prices") == F.when(had, 1).otherwise(-1)).drop("report")
-    return out
-
-
-def opened(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """New rows get the opening price of the latest earlier day, in their first entry too; then all averages are made again."""
-    before = daily.opening_as_of(rows.filter("isNew").select("station", "fuel", "day"), (known if known is not None else rows.filter(~F.col("isNew"))))
+    kept = {c: rows.schema[c].dataType for c in ("prices", "closingPrice", "lowestPrice", "highestPrice")}
+    prices = F.coalesce("prices", F.array().cast(kept["prices"]))
+    start = F.struct(prices.alias("prices"), *[F.col(c) for c in kept if c != "prices"])
+
+    def step(s, r):
+        after = {"prices": lists.appended(s["prices"], r), "closingPrice": r["price"], "lowestPrice": lists.replaced_if(s["lowestPrice"], r, False), "highestPrice": lists.replaced_if(s["highestPrice"], r, True)}
+        return F.struct(*[after[c].cast(t).alias(c) for c, t in kept.items()])
+
+    after = F.when(F.col("reports").isNull(), start).otherwise(F.aggregate("reports", start, step))
+    out = both.withColumn("isTouched", F.col("reports").isNotNull()).withColumn("isNew", F.col("prices").isNull()).withColumn("after", after)
+    return out.withColumns({c: F.col(f"after.{c}") for c in kept}).drop("after", "reports")
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """New rows get the opening price of the latest earlier day, in their first entry too; touched rows' averages are made again."""
+    before = daily.opening_as_of(rows.filter("isNew").select("station", "fuel", "day"), rows)
     out = rows.join(before.withColumnRenamed("openingPrice", "found"), ["station", "fuel", "day"], "left")
     opening = F.when(F.col("isNew"), F.col("found")).otherwise(F.col("openingPrice"))
     out = out.withColumn("openingPrice", opening)
+    if "openingPriceKnown" in out.columns:
+        out = out.withColumn("openingPriceKnown", F.col("isNew") | F.col("openingPriceKnown"))
     out = out.withColumn("prices", F.when(F.col("isNew") & F.col("openingPrice").isNotNull(), lists.opening_in_first("prices", "openingPrice")).otherwise(F.col("prices")))
-    return out.withColumn("weightedAveragePrice", lists.weighted_average("prices", "day", "openingPrice")).drop("found", "isNew")
+    average = F.when(F.col("isTouched"), lists.weighted_average("prices", "day", "openingPrice")).otherwise(F.col("weightedAveragePrice"))
+    return out.withColumn("weightedAveragePrice", average).drop("found", "isNew")
 
 
 def reported(rows: DataFrame, reports: DataFrame) -> DataFrame:
-    """Daily rows after one report per station, product and day at most."""
+    """All daily rows after live reports; `isTouched` marks those that a report changed or made, which a caller gets back."""
     return opened(upserted(rows, reports))
 
 
-def process(store: Store, batch: DataFrame, fuels=None) -> None:
+def refreshed(stations: DataFrame, changed: DataFrame, depth: int | None = latest.DEPTH) -> DataFrame:
+    """Stations (id, latestPrice, latestPrices, ...) with changed daily rows in their lists of latest rows.
+
+    Only stations of the changed rows are read again; a changed row stands in place of that of its day.
+    """
+    value = F.struct(*[c for c in changed.columns if c != "station"])
+    of_fuel = changed.select("station", "fuel", F.struct("day", value.alias("value")).alias("v")).groupBy("station", "fuel").agg(F.transform(F.array_sort(F.collect_list("v")), lambda x: x["value"]).alias("values"))
+    fresh = of_fuel.groupBy(F.col("station").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("fuel", "values"))).alias("fresh"))
+    kind = fresh.schema["fresh"].dataType
+    rows = stations if "latestPrices" in stations.columns else stations.withColumn("latestPrices", F.lit(None).cast(kind))
+    rows = rows.join(fresh, "id", "full_outer")
+    none, empty = F.create_map().cast(kind), F.array().cast(kind.valueType)
+    fold = lambda _, old, new: F.aggregate(F.coalesce(new, empty), F.coalesce(old, empty), lambda acc, x: lists.latest_of(acc, x, depth))
+    merged = F.map_zip_with(F.coalesce("latestPrices", none), F.coalesce("fresh", none), fold)
+    rows = rows.withColumn("latestPrices", F.when(F.col("fresh").isNull(), F.col("latestPrices")).otherwise(merged))
+    return rows.withColumn("latestPrice", F.transform_values("latestPrices", lambda _, x: F.get(x, F.lit(0)))).drop("fresh")
+
+
+def process(store: Store, batch: DataFrame, fuels=None) -> DataFrame:
     """A micro-batch: new reports join the stored ones, and the daily rows that they touch are made again from all reports.
 
-    A report that is there already (by id) is taken once, so a batch that is run again changes nothing.  The rows of
-    a touched station and product from the first touched day on are made again, as a day's closing price opens the next.
+    A report that is there already (by id) is taken once, so a batch that is run again changes nothing.  Reports and
+    daily rows are kept by day.  Read and written are the days of the batch, and days on which a touched station and
+    product has a row whose opening price a touched day's closing price is; of other days only closing prices of touched
+    stations are read.  The stations' lists take the new rows in; their table is written whole.  Returns the touched rows.
     """
-    batch = batch.dropDuplicates(["id"])
+    batch = batch.dropDuplicates(["id"]).withColumn("day", daily.day_of("date"))
     if fuels:
         batch = batch.filter(F.col("fuel").isin(list(fuels)))
-    known = store.read("reports", batch_schema(batch))
+    batch = batch.persist()
+    try:
+        return _processed(store, batch)
+    finally:
+        batch.unpersist()
+
+
+def _processed(store: Store, batch: DataFrame) -> DataFrame:
+    reports, rows = store.by_day("reports"), store.by_day("daily")
+    shown = lambda df: sorted(r[0] for r in df.select(F.date_format("day", "yyyy-MM-dd")).distinct().collect())
+    touched = shown(batch)  # as many as the batch has days
+    known = reports.read(touched, schema_text(batch))
     fresh = batch.join(known.select("id"), "id", "left_anti").select(*known.columns)
-    reports = store.write("reports", known.unionByName(fresh))
-    first = batch.groupBy("station", "fuel").agg(F.min(daily.day_of("date")).alias("from"))
-    # Also the latest day before the first touched one: its closing price is the opening one.
-    touched = reports.join(first, ["station", "fuel"], "left_semi")
-    made = daily.daily_prices(touched).join(first, ["station", "fuel"]).filter(F.col("day") >= F.col("from")).drop("from")
-    old = store.read("daily") if store.exists("daily") else made.limit(0)
-    rows = store.write("daily", replace_matching(old.select(*made.columns), made, ["station", "fuel", "day"]))
-    current = latest.per_station(rows.join(batch.select("station").distinct(), "station", "left_semi"))
-    stored = store.read("stations") if store.exists("stations") else current.limit(0)
-    store.write("stations", merge_fields(stored, current, ["id"]))
-
-
-def batch_schema(batch: DataFrame) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batch.schema.fields)
+    reports.append(fresh)
+    keys = batch.groupBy("station", "fuel").agg(F.min("day").alias("from"))
+    empty = daily.daily_prices(batch.limit(0))
+    stored = rows.read(schema=schema_text(empty))
+    closings = stored.select("station", "fuel", "day", "closingPrice").join(keys, ["station", "fuel"])
+    # The first stored day behind each touched one opens with its closing price.
+    marks = closings.select("station", "fuel", "day", F.lit(0).alias("hit")).unionByName(batch.select("station", "fuel", "day", F.lit(1).alias("hit")).distinct())
+    marks = marks.groupBy("station", "fuel", "day").agg(F.max("hit").alias("hit"))
+    order = Window.partitionBy("station", "fuel").orderBy("day")
+    again = marks.withColumn("behind", F.lag("hit").over(order)).filter("hit = 1 or behind = 1").select("station", "fuel", "day").persist()
+    days = shown(again)
+    made = daily.by_day(reports.read(days).join(again, ["station", "fuel", "day"], "left_semi"))
+    others = closings.join(again, ["station", "fuel", "day"], "left_anti").select("station", "fuel", "day", "closingPrice")
+    opening = daily.opening_as_of(made.select("station", "fuel", "day"), made.select("station", "fuel", "day", "closingPrice").unionByName(others))
+    made = daily.with_averages(made.join(opening, ["station", "fuel", "day"])).select(*empty.columns)
+    of_days = rows.read(days, schema_text(empty))
+    rows.replace(replace_matching(of_days.select(*empty.columns), made, ["station", "fuel", "day"]))
+    again.unpersist()
+    changed = rows.read(days).join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi").select(*empty.columns)
+    stations = store.read("stations") if store.exists("stations") else None
+    if stations is None:
+        stations = batch.sparkSession.createDataFrame([], "id string")
+    store.write("stations", refreshed(stations, changed))
+    return changed
+
+
+def schema_text(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
 
 def start(reports: DataFrame, root: str, checkpoint: str, late: str | None = None, **trigger) -> StreamingQuery:

@@ -10,15 +10,15 @@ from pumpline.plans import imports
 from pumpline.sources import csv
 from pumpline.sources.store import ImportResult, Store, assert_unique, keep_existing, merge_fields, replace_matching, upsert_stations
 
-A, B = "0E18D0D3-ED38-4E7F-A18E-507A78AD901D", "278130B1-E062-4A0F-80CC-19E486B4C024"
+A, B = "AAAAAAAA-0000-4000-8000-00000000000A", "BBBBBBBB-0000-4000-8000-00000000000B"
 REPORTS = f"""date,station_uuid,diesel,e5,e10,dieselchange,e5change,e10change
-2024-11-19 03:07:29+01,{A},1.569,-0.001,0.499,1,1,1
-2024-11-19 06:07:29+01,{A},1.629,1.7,,1,0,1
-2024-11-20 06:07:29,{A},1.529,1.701,abc,1,2,1
-2024-11-20 06:07:29,{B},0.5,0.5,0.5,1,1,1
+2024-02-19 04:10:11+01,{A},1.569,-0.001,0.499,1,1,1
+2024-02-19 07:10:11+01,{A},1.629,1.7,,1,0,1
+2024-02-20 07:10:11,{A},1.529,1.701,abc,1,2,1
+2024-02-20 07:10:11,{B},0.5,0.5,0.5,1,1,1
 """
 STATIONS = f"""uuid,name,brand,street,house_number,post_code,city,latitude,longitude
-{A},TEST STATION,Test,TESTSTRASSE,1,12345,MUSTERSTADT,48.1807,11.4609
+{A},NORTH PUMPS,North,MILL LANE,7,54321,RIVERTON,51.25,7.5
 {B},other,O,x,2,10179,y,91,0
 """
 
@@ -27,6 +27,8 @@ STATIONS = f"""uuid,name,brand,street,house_number,post_code,city,latitude,longi
 def files(tmp_path):
     (tmp_path / "reports" / "deep").mkdir(parents=True)
     (tmp_path / "reports" / "deep" / "a.csv").write_text(REPORTS)
+    (tmp_path / "reports" / "b.csv").write_text("dieselchange,diesel,date,station_uuid,e5,e5change\n0,1.111,2024-02-20 08:00:00,C,1.7,1\n")
+    (tmp_path / "reports" / "empty.csv").write_text("")
     (tmp_path / "reports" / "note.txt").write_text("no csv")
     (tmp_path / "stations.csv").write_text(STATIONS)
     return tmp_path
@@ -37,16 +39,37 @@ def test_reports(spark, files):
     got = sorted((r.station, r.fuel, r.date, r.price) for r in rows)
     a, b = A.lower(), B.lower()
     assert got == sorted([
-        (a, "diesel", datetime(2024, 11, 19, 2, 7, 29), 1.569),
-        (a, "diesel", datetime(2024, 11, 19, 5, 7, 29), 1.629),
-        (a, "diesel", datetime(2024, 11, 20, 6, 7, 29), 1.529),
-        *[(b, f, datetime(2024, 11, 20, 6, 7, 29), 0.5) for f in schemas.FUELS],
+        (a, "diesel", datetime(2024, 2, 19, 3, 10, 11), 1.569),
+        (a, "diesel", datetime(2024, 2, 19, 6, 10, 11), 1.629),
+        (a, "diesel", datetime(2024, 2, 20, 7, 10, 11), 1.529),
+        ("c", "e5", datetime(2024, 2, 20, 8), 1.7),  # another file, with its columns in another order
+        *[(b, f, datetime(2024, 2, 20, 7, 10, 11), 0.5) for f in schemas.FUELS],
     ])
 
 
+@pytest.mark.parametrize("line", ["x", "x,y,z"])
+def test_rows_of_another_length_than_their_header_fail(spark, tmp_path, line):
+    (tmp_path / "a.csv").write_text(f"date,station_uuid\n{line}\n")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        csv.read_csv(spark, str(tmp_path), "date string, station_uuid string").collect()
+
+
+def test_no_files(spark, tmp_path):
+    assert csv.read_csv(spark, str(tmp_path), "date string").count() == 0
+
+
+def test_times_do_not_depend_on_the_zone_of_the_session(spark, files):
+    want = sorted((r.station, r.fuel, r.date) for r in csv.read_reports(spark, str(files / "reports")).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert sorted((r.station, r.fuel, r.date) for r in csv.read_reports(spark, str(files / "reports")).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_stations(spark, files):
     rows = {r.id: r for r in csv.read_stations(spark, str(files / "stations.csv")).collect()}
-    assert rows[A.lower()].name == "Test Station" and rows[A.lower()].location.coordinates == [11.4609, 48.1807]
+    assert rows[A.lower()].name == "North Pumps" and rows[A.lower()].location.coordinates == [7.5, 51.25]
     assert rows[B.lower()].location is None
 
 
@@ -54,7 +77,7 @@ def test_commands(spark, files):
     store = Store(spark, str(files / "store"))
     assert imports.import_stations(spark, store, str(files / "stations.csv")) == ImportResult(2, 0)
     assert imports.import_stations(spark, store, str(files / "stations.csv")) == ImportResult(0, 2)
-    assert imports.import_reports(spark, store, str(files / "reports")) == ImportResult(5)
+    assert imports.import_reports(spark, store, str(files / "reports")) == ImportResult(6, 1)
     rows = {(r.station.id, r.fuel, r.day.day): r for r in store.read("daily").collect()}
     second = rows[A.lower(), "diesel", 20]
     assert (second.openingPrice, second.prices[0].previousPrice) == (1.629, 1.629)
@@ -63,7 +86,7 @@ def test_commands(spark, files):
     latest = {r.id: r for r in store.read("stations").collect()}
     assert latest[A.lower()].latestPrice["diesel"].closingPrice == 1.529 and len(latest[A.lower()].latestPrices["diesel"]) == 2
     # what is there stays, and a later import's opening price comes from it
-    (files / "more.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-11-20 09:00:00,{A},9.9,9.9,9.9,1,0,0\n2024-11-22 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
+    (files / "more.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-02-20 09:00:00,{A},9.9,9.9,9.9,1,0,0\n2024-02-22 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
     assert imports.import_reports(spark, store, str(files / "more.csv")) == ImportResult(1, 1)
     rows = {(r.station.id, r.fuel, r.day.day): r for r in store.read("daily").collect()}
     assert rows[A.lower(), "diesel", 20].closingPrice == 1.529 and rows[A.lower(), "diesel", 22].openingPrice == 1.529
@@ -77,7 +100,7 @@ def test_recovery(spark, files):
     store = Store(spark, str(files / "store"))
     imports.import_stations(spark, store, str(files / "stations.csv"))
     store.write("staged_reports", csv.read_reports(spark, str(files / "reports")))
-    assert imports.import_reports(spark, store, recover=True) == ImportResult(5)
+    assert imports.import_reports(spark, store, recover=True) == ImportResult(6, 1)
 
 
 def test_merges(spark):

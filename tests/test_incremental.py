@@ -40,6 +40,46 @@ def test_report(spark, rows, price, day, count, previous, opening, average, lowe
     assert (row.lowestPrice.id, row.highestPrice.id) == (lowest, highest)
 
 
+def test_several_reports_of_a_group_at_once(spark, rows):
+    """As if one came after the other, and a new day opens with what the day before closes with."""
+    made = [("a", datetime(2024, 11, 19, 6), "s", "diesel", 1.7), ("b", datetime(2024, 11, 19, 5), "s", "diesel", 1.5), ("c", datetime(2024, 11, 20, 1), "s", "diesel", 1.4), ("d", datetime(2024, 11, 20, 2), "s", "diesel", 1.7)]
+    out = {r.day.day: r for r in incremental.reported(rows, spark.createDataFrame(made, REPORT)).collect()}
+    assert [p.id for p in out[19].prices] == ["first", "b", "a"] and out[19].closingPrice == 1.7
+    assert (out[19].lowestPrice.id, out[19].highestPrice.id) == ("b", "a")
+    assert [(p.id, p.previousPrice) for p in out[20].prices] == [("c", 1.7), ("d", 1.4)] and out[20].openingPrice == 1.7
+    one = rows
+    for i in (1, 0, 2, 3):
+        one = incremental.reported(one, spark.createDataFrame([made[i]], REPORT)).drop("isTouched")
+    assert {r.day.day: r.asDict(True) for r in one.collect()} == {d: {k: v for k, v in r.asDict(True).items() if k != "isTouched"} for d, r in out.items()}
+
+
+def test_refreshed_stations(spark, rows):
+    late = spark.createDataFrame([("new", datetime(2024, 11, 20, 6), "s", "diesel", 1.1)], REPORT)
+    first = incremental.refreshed(spark.createDataFrame([("s", "n"), ("t", "m")], "id string, name string"), rows)
+    changed = incremental.reported(rows, late).filter("isTouched").select(*rows.columns)
+    again = {r.id: r for r in incremental.refreshed(first, changed, depth=1).collect()}
+    assert again["s"].latestPrice["diesel"].closingPrice == 1.1 and len(again["s"].latestPrices["diesel"]) == 1
+    assert again["s"].name == "n" and again["t"].latestPrices is None
+    both = {r.id: r for r in incremental.refreshed(first, changed).collect()}
+    assert [x.closingPrice for x in both["s"].latestPrices["diesel"]] == [1.1, 1.569]
+
+
+def test_a_batch_writes_its_days_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    at = lambda i, d, h, p, s="s": (i, datetime(2024, 1, d, h), s, "e5", p)
+    process = lambda *rows: incremental.process(store, spark.createDataFrame(rows, REPORT))
+    process(at("a", 1, 1, 1.0), at("b", 2, 1, 1.1), at("c", 5, 1, 1.2), at("d", 3, 1, 2.0, "t"))
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "daily").glob("w*/part=*/*.parquet")}
+    changed = process(at("e", 2, 3, 1.5))  # the day behind it opens with 1.5 now
+    assert sorted(r.day.day for r in changed.collect()) == [2, 5]
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "store" / "daily").glob("w*/part=*/*.parquet")}
+    assert len(set(before) & set(after)) == 2  # days 1 and 3
+    rows = {(r.station, r.day.day): r for r in store.by_day("daily").read().collect()}
+    assert rows["s", 5].openingPrice == 1.5 and len(rows["s", 2].prices) == 2 and rows["t", 3].closingPrice == 2.0
+    process(at("e", 2, 3, 1.5))
+    assert {(r.station, r.day.day): r for r in store.by_day("daily").read().collect()} == rows
+
+
 def test_stream_equals_batch(spark, tmp_path):
     made = [(str(i), datetime(2024, 1, 1 + i % 5, i % 23, i % 60, i), f"s{i % 3}", "e5", 1.0 + (i * 7 % 11) / 10) for i in range(40)]
     for k in range(2):
@@ -49,7 +89,7 @@ def test_stream_equals_batch(spark, tmp_path):
         incremental.start(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint")).awaitTermination(180)
     store = Store(spark, str(tmp_path / "store"))
     key = lambda x: (x[0], x[1])
-    assert sorted(pick_safe(store.read("daily")), key=key) == sorted(pick_safe(daily.daily_prices(spark.createDataFrame(made, REPORT))), key=key)
+    assert sorted(pick_safe(store.by_day("daily").read()), key=key) == sorted(pick_safe(daily.daily_prices(spark.createDataFrame(made, REPORT))), key=key)
     assert {r.id for r in store.read("stations").collect()} == {"s0", "s1", "s2"}
 
 

@@ -26,7 +26,7 @@ def value(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-@pytest.mark.parametrize("name", catalog.NAMES)
+@pytest.mark.parametrize("name", [*catalog.NAMES, *catalog.WRITING])
 def test_query(spark, duck, name):
     mine = catalog.queries()[name](spark, DIR)
     theirs = duck.sql(catalog.oracle_sql()[name])
@@ -40,4 +40,4 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
-    assert set(catalog.NAMES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert {*catalog.NAMES, *catalog.WRITING} <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
