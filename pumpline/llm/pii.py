@@ -9,10 +9,13 @@ network, so equal values get equal pseudonyms in every document and different va
 * card numbers: the digits but the last, which is then the Luhn digit.  IBAN: all after the check digits,
   which are then computed.  Social security numbers: walked along the permutation's cycle to the next
   valid one.  Phone numbers: the national digits, where a first digit from 2 to 9 stays in that range.
-* dates: the day's number within its window of 65,536 days; addresses of four numbers: their 32 bits;
-  both by the same network over two halves of 8 or 16 bits.
+* dates: the day's number among those of 1900 to 2099, or among all others up to 9999, by the same network over two
+  digits of a mixed radix; walked on to the next day that the written form can show: as many digits for day and
+  month, and day first only where it can't be read as month first.
+* addresses of four numbers: their 32 bits; those with leading zeros within numbers of the same numbers of digits, walked on
+  to the next with a leading zero.
 * e-mail addresses: the part before the @ and the domain but its last label.  Keys of hexadecimal
-  digits: within those digits.
+  digits, of any length: within those digits.  Tokens with a known prefix: the characters behind it.
 
 Texts are scanned by one pattern; only DataFrame functions are used, and rows don't move.  Where digits or capitals
 follow a card number or an IBAN, the pattern takes them in: of what it found, the part up to a separator that is valid
@@ -32,7 +35,10 @@ from pumpline.llm.quality import let
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROUNDS = 8
-WINDOW_DAYS = 65_536
+#: Steps of a walk: a permutation's longest way back into the smallest form (a fifth of all days) is some fifty.
+WALK = 400
+#: Days of 1900 to 2099, and of the other years from 1 to 9999, as products of two factors.
+NEAR, FAR = (17, 4297), (170, 21_053)
 KEY = "pumpline-pseudonyms"
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone", "secret")
 HEAD, TAIL = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -44,8 +50,10 @@ FORMS = {
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4}",
-    "secret": r"[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}",
+    "secret": r"[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,255}+|[rs]k_live_[A-Za-z0-9]{16,255}+|AIza[0-9A-Za-z]{35}",
 }
+#: What a token begins with.
+PREFIX = r"^(?:AKIA|gh[oprsu]_|[rs]k_live_|AIza)"
 #: Characters of an IBAN by country.
 IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20
 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21
@@ -58,8 +66,9 @@ MARKS = [chr(c) for c in range(0xFDD0, 0xFDF0)]
 PATTERN = HEAD + "(?:" + "|".join(f"(?:{FORMS[k]})" for k in KINDS) + ")" + TAIL
 
 
-def _digest(key: str, kind: str, round_: Column, text: Column) -> Column:
-    return F.sha2(F.concat(F.lit(f"{key}|{kind}|"), round_.cast("string"), F.lit("|"), text, F.lit(f"|{key}")), 512)
+def _digest(key: str, kind: str | Column, round_: Column, text: Column) -> Column:
+    name = F.concat(F.lit(f"{key}|"), kind, F.lit("|")) if isinstance(kind, Column) else F.lit(f"{key}|{kind}|")
+    return F.sha2(F.concat(name, round_.cast("string"), F.lit("|"), text, F.lit(f"|{key}")), 512)
 
 
 def _moved(text: Column, digest: Column, alphabets: list[str], way: int) -> Column:
@@ -99,22 +108,28 @@ def permuted(text: Column, kind: str, key: str, alphabets: list[str], inverse: b
     return let(text, go)
 
 
-def permuted_number(value: Column, kind: str, key: str, bits: int, inverse: bool = False) -> Column:
-    """A bijection on 0 .. 4**bits - 1, by two halves of so many bits."""
-    size = 1 << bits
+def permuted_number(value: Column, kind: str | Column, key: str, size: tuple[Column | int, Column | int], inverse: bool = False) -> Column:
+    """A bijection on 0 .. a * b - 1 for size (a, b), by its two digits of that radix."""
     way, steps = (-1, F.sequence(F.lit(ROUNDS - 1), F.lit(0))) if inverse else (1, F.sequence(F.lit(0), F.lit(ROUNDS - 1)))
+    a, b = (x.cast("bigint") if isinstance(x, Column) else F.lit(x).cast("bigint") for x in size)
 
-    def turn(x: Column, other: Column, r: Column) -> Column:
-        return F.pmod(x + F.conv(F.substring(_digest(key, kind, r, other.cast("string")), 1, 8), 16, 10).cast("bigint") * way, F.lit(size).cast("bigint"))
+    def turn(x: Column, other: Column, r: Column, most: Column) -> Column:
+        return F.pmod(x + F.conv(F.substring(_digest(key, kind, r, other.cast("string")), 1, 8), 16, 10).cast("bigint") * way, most)
 
     def go(v: Column) -> Column:
-        start = F.struct(F.floor(v / size).cast("bigint").alias("a"), F.pmod(v, F.lit(size).cast("bigint")).alias("b"))
-        step = lambda s, r: F.when(r % 2 == 0, F.struct(turn(s["a"], s["b"], r).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), turn(s["b"], s["a"], r).alias("b")))
-        return let(F.aggregate(steps, start, step), lambda s: s["a"] * size + s["b"])
+        start = F.struct(F.floor(v / b).cast("bigint").alias("a"), F.pmod(v, b).alias("b"))
+        step = lambda s, r: F.when(r % 2 == 0, F.struct(turn(s["a"], s["b"], r, a).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), turn(s["b"], s["a"], r, b).alias("b")))
+        return let(F.aggregate(steps, start, step), lambda s: s["a"] * b + s["b"])
 
     return let(value.cast("bigint"), go)
 
 
+def walked(value: Column, step, fits) -> Column:
+    """The first of step(value), step(step(value)), ... that fits: a bijection on the values that fit, if step is one."""
+    on = lambda s, _: F.when(s["done"], s).otherwise(let(step(s["v"]), lambda v: F.struct(v.alias("v"), fits(v).alias("done"))))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(value.alias("v"), F.lit(False).alias("done")), on)["v"]
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
@@ -151,8 +166,7 @@ def _is_ssn(d: Column) -> Column:
 
 def _ssn(m: Column, key: str, inverse: bool) -> Column:
     step = lambda d: permuted(d, "ssn", key, [DIGITS], inverse)
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(40)), step(_digits(m)), lambda d, _: F.when(_is_ssn(d), d).otherwise(step(d)))
-    return let(walked, lambda v: _laid_out(m, v, "0-9"))
+    return let(walked(_digits(m), step, _is_ssn), lambda v: _laid_out(m, v, "0-9"))
 
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
@@ -178,7 +192,27 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
     parts = F.split(m, "\\.")
     number = F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, p: n * 256 + p.cast("bigint"))
     shown = lambda v: F.concat_ws(".", *[F.pmod(F.floor(v / (256**k)), F.lit(256)).cast("bigint").cast("string") for k in (3, 2, 1, 0)])
-    return let(permuted_number(number, "ip", key, 16, inverse), shown)
+
+    def zeros(p: Column) -> Column:
+        """Within numbers of as many digits."""
+        at = [F.get(p, F.lit(i)) for i in range(4)]
+        most = [F.when(F.length(x) == 1, 10).when(F.length(x) == 2, 100).otherwise(256).cast("bigint") for x in at]
+        value = ((at[0].cast("bigint") * most[1] + at[1].cast("bigint")) * most[2] + at[2].cast("bigint")) * most[3] + at[3].cast("bigint")
+        digits = lambda v: [F.floor(v / (most[1] * most[2] * most[3])), F.pmod(F.floor(v / (most[2] * most[3])), most[1]), F.pmod(F.floor(v / most[3]), most[2]), F.pmod(v, most[3])]
+        text = lambda v: F.concat_ws(".", *[F.lpad(d.cast("bigint").cast("string"), F.length(x), F.lit("0")) for d, x in zip(digits(v), at)])
+        step = lambda v: permuted_number(v, "ip-zeros", key, (most[0] * most[1], most[2] * most[3]), inverse)
+        return let(walked(value, step, lambda v: text(v).rlike(LEADING)), text)
+
+    return F.when(m.rlike(LEADING), let(parts, zeros)).otherwise(let(permuted_number(number, "ip", key, (1 << 16, 1 << 16), inverse), shown))
+
+
+#: A number with a leading zero among those of an address.
+LEADING = r"(?:^|\.)0\d"
+
+
+def _day_first(m: Column) -> Column:
+    """Whether a slashed date can only be read as day first."""
+    return m.contains("/") & F.try_to_date(m, "M/d/yyyy").isNull()
 
 
 def _day_of(m: Column) -> Column:
@@ -190,11 +224,49 @@ def _day_of(m: Column) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """A slashed date is read as month first where that is a date, and written as month first again."""
-    number = F.datediff(_day_of(m), F.lit("1900-01-01").cast("date")).cast("bigint")
-    window = lambda n: n - F.pmod(n, F.lit(WINDOW_DAYS).cast("bigint"))
-    moved = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), (window(n) + permuted_number(F.pmod(n, F.lit(WINDOW_DAYS).cast("bigint")), "date", key, 8, inverse)).cast("int"))
-    return let(let(number, moved), lambda d: F.when(m.contains("-"), F.date_format(d, "yyyy-MM-dd")).when(m.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+    """A slashed date is read as month first where that is a date; the new one is written as the old one was."""
+    zero = F.lit("0001-01-01").cast("date")
+    first, days = -zero_day("1900-01-01"), NEAR[0] * NEAR[1]
+
+    def of_day(n: Column) -> Column:
+        """n: days since the first of the year 1."""
+        def moved(s: Column) -> Column:
+            near = s["near"]
+            size = tuple(F.when(near, F.lit(x)).otherwise(F.lit(y)) for x, y in zip(NEAR, FAR))
+            new = permuted_number(s["v"], F.when(near, F.lit("date")).otherwise(F.lit("date-far")), key, size, inverse)
+            return let(new, lambda v: F.when(near, v + first).when(v < first, v).otherwise(v + days))
+
+        near = n.between(first, first + days - 1)
+        return let(F.struct(near.alias("near"), F.when(near, n - first).when(n < first, n).otherwise(n - days).alias("v")), moved)
+
+    day = lambda n: F.date_add(zero, n.cast("int"))
+    narrow = lambda x, group: F.length(F.regexp_extract(m, x, group)) == 1
+    dotted, slashed, back = m.contains("."), m.contains("/"), _day_first(m)
+    # Whether day and month are written with one digit.
+    head, next_ = narrow(r"^(\d+)\D", 1) & ~m.contains("-"), narrow(r"^\d+\D(\d+)\D", 1) & ~m.contains("-")
+    short_day, short_month = F.when(dotted | back, head).otherwise(next_), F.when(dotted | back, next_).otherwise(head)
+
+    def fits(n: Column) -> Column:
+        return let(day(n), lambda d: (~short_day | (F.dayofmonth(d) < 10)) & (~short_month | (F.month(d) < 10)) & (~back | (F.dayofmonth(d) > 12)))
+
+    def shown(d: Column) -> Column:
+        number = lambda x, short: F.when(short, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0"))
+        of_day_, of_month, year = number(F.dayofmonth(d), short_day), number(F.month(d), short_month), F.lpad(F.year(d).cast("string"), 4, "0")
+        return (
+            F.when(dotted, F.concat_ws(".", of_day_, of_month, year))
+            .when(slashed & back, F.concat_ws("/", of_day_, of_month, year))
+            .when(slashed, F.concat_ws("/", of_month, of_day_, year))
+            .otherwise(F.concat_ws("-", year, of_month, of_day_))
+        )
+
+    return let(let(walked(F.datediff(_day_of(m), zero).cast("bigint"), of_day, fits), day), shown)
+
+
+def zero_day(day: str) -> int:
+    """Days from the given one back to the first of the year 1, as a number below 0."""
+    from datetime import date
+
+    return 1 - date.fromisoformat(day).toordinal()
 
 
 def _email(m: Column, key: str, inverse: bool) -> Column:
@@ -205,7 +277,9 @@ def _email(m: Column, key: str, inverse: bool) -> Column:
 
 def _secret(m: Column, key: str, inverse: bool) -> Column:
     low, high = (permuted(m, "secret", key, [a], inverse) for a in (DIGITS + "abcdef", DIGITS + "ABCDEF"))
-    return F.when(m.startswith("AKIA"), F.concat(F.lit("AKIA"), permuted(F.substring(m, F.lit(5), F.length(m)), "secret", key, [DIGITS + UPPER], inverse))).when(m.rlike("[a-f]"), low).otherwise(high)
+    prefix = F.regexp_extract(m, PREFIX, 0)
+    token = F.concat(prefix, permuted(F.substring(m, F.length(prefix) + 1, F.length(m)), "secret", key, [DIGITS, LOWER, UPPER], inverse))
+    return F.when(m.rlike(PREFIX), token).when(m.rlike("[a-f]"), low).otherwise(high)
 
 
 def _is_iban(m: Column) -> Column:
@@ -265,7 +339,7 @@ def _found(m: Column, key: str, inverse: bool) -> Column:
         ("ssn", whole("ssn") & _is_ssn(_digits(m)), _ssn),
         ("card", _is_card(m), _card),
         ("phone", whole("phone") & F.length(_digits(m)).between(7, 15), _phone),
-        ("secret", whole("secret") & m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), _secret),
+        ("secret", whole("secret") & (m.rlike(PREFIX) | (m.rlike("[0-9]") & m.rlike("[A-Fa-f]"))), _secret),
     ]
     out = None
     for kind, valid, make in cases:
