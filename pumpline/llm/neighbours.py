@@ -1,16 +1,18 @@
 """Operator 6: approximate nearest neighbours by low-dimensional stable projections and kd-trees.
 
-Method.  Unit vectors are projected by a Gaussian matrix to PROJECTED dimensions, where the square of a
+Method.  Vectors are scaled to a largest component of 1 - so multiples of one another become equal and tie exactly - and to
+unit vectors, which a Gaussian matrix projects to PROJECTED dimensions, where the square of a
 projected distance over that of the true one is chi-square distributed.  A kd-tree fitted on a bounded sample
 of projections cuts that space into cells; every vector is put into its cell, cells of many vectors are dealt
 into shards of bounded size, and each shard is indexed by a kd-tree of its own.  A search visits
 leaves and points in the order of their projected distance and verifies them on the full vectors,
 until the chi-square test says that a vector nearer than the current k-th best would, with probability
-CONFIDENCE, have been projected nearer than the next one.
+CONFIDENCE, have been projected nearer than the next one.  So a neighbour is missed with probability 1 - CONFIDENCE at most
+each; nearer ones more seldom.
 
 A query first searches one shard of its own cell, which bounds its k-th distance; it is then sent only to those
 shards whose cell the test doesn't rule out.  Within a task the points of a shard are held and the queries
-stream past.  Equal vectors are searched as one that stands for the smallest ids (k + 1 of them suffice for the
+stream past; a shard that very many queries go to is given to as many tasks, each with a part of the queries.  Equal vectors are searched as one that stands for the smallest ids (k + 1 of them suffice for the
 k nearest), which windows limit before they shuffle; equal queries are searched once and joined back.
 
 Defined results: rows without an id, and vectors that are null, zero, of another length than most, or hold
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pumpline.llm.shared import written
 
-PROJECTED = 12
-CONFIDENCE = 0.99
+PROJECTED = 24
+CONFIDENCE = 0.9
 #: Vectors that the cells are fitted on, vectors of a shard, and the most cells.
 SAMPLE = 20_000
-SHARD = 8192
+SHARD = 16_384
 CELLS = 4096
+#: Queries of a shard that a task takes.
+QUERIES = 4096
 LEAF = 64
 CHUNK = 256
 
@@ -128,42 +132,45 @@ def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 
 class Shard:
-    """The vectors of a shard with a kd-tree over their projections."""
+    """The vectors of a shard with a kd-tree over their projections; ids: of each vector the sorted ids that it stands for."""
 
-    def __init__(self, rows: list[tuple], matrix: np.ndarray):
-        self.ids = [r[0] for r in rows]
-        raw = np.array([r[1] for r in rows], np.float64)
-        self.raw, self.norm = raw, np.sqrt((raw * raw).sum(axis=1))
+    def __init__(self, raw: np.ndarray, ids: list[list[int]], matrix: np.ndarray):
+        self.raw, self.ids, self.norm = raw, ids, np.sqrt((raw * raw).sum(axis=1))
+        self.first = np.array([x[0] for x in ids], np.int64)
         self.unit = raw / self.norm[:, None]
         self.low_d = self.unit @ matrix
-        splits = kd_cells(self.low_d, max(1, len(rows) // LEAF))
+        splits = kd_cells(self.low_d, max(1, len(raw) // LEAF))
         leaf = cell_of(self.low_d, splits)
         n = len(splits) + 1
         order = np.argsort(leaf, kind="stable")
         ends = np.searchsorted(leaf[order], np.arange(n + 1))
-        self.leaves = [order[ends[i] : ends[i + 1]] for i in range(n)]
+        self.leaves = [x for i in range(n) if len(x := order[ends[i] : ends[i + 1]])]
         # tight boxes of what is in each leaf
-        self.low = np.array([self.low_d[x].min(axis=0) if len(x) else np.full(matrix.shape[1], np.inf) for x in self.leaves])
-        self.high = np.array([self.low_d[x].max(axis=0) if len(x) else np.full(matrix.shape[1], np.inf) for x in self.leaves])
+        self.low = np.array([self.low_d[x].min(axis=0) for x in self.leaves])
+        self.high = np.array([self.low_d[x].max(axis=0) for x in self.leaves])
+        self.verified = 0
 
-    def search(self, vector: list[float], matrix: np.ndarray, k: int, bound: float, ratio: float) -> list[tuple[int, float]]:
-        """The k nearest (position, cosine) found; bound: the square of a distance within which k others are known."""
-        raw = np.array(vector, np.float64)
+    def search(self, raw: np.ndarray, matrix: np.ndarray, k: int, bound: float, ratio: float) -> list[tuple[int, float]]:
+        """The k nearest (position, cosine) found, equal ones by their smallest id; bound: the square of a distance within which k others are known."""
         norm = math.sqrt((raw * raw).sum())
         unit = raw / norm
         q = unit @ matrix
         away = box_distance(q, self.low, self.high)
         near = np.argsort(away, kind="stable")
-        best: list[tuple[float, int]] = []
+        best: list[tuple[float, int, int]] = []
         at, pending_i, pending_d = 0, np.empty(0, np.int64), np.empty(0)
         while True:
-            kth = min(bound, best[k - 1][0]) if len(best) >= k else bound
+            kth = min(bound, 2 + 2 * best[k - 1][0]) if len(best) >= k else bound
             # open the leaves that may hold the next projected neighbours
-            while at < len(near) and (len(pending_d) < CHUNK or away[near[at]] <= pending_d[0]) and away[near[at]] <= ratio * kth:
+            opened_i, opened_d = [pending_i], [pending_d]
+            size, least = len(pending_d), pending_d[0] if len(pending_d) else math.inf
+            while at < len(near) and (size < CHUNK or away[near[at]] <= least) and away[near[at]] <= ratio * kth:
                 x = self.leaves[near[at]]
                 d = ((self.low_d[x] - q) ** 2).sum(axis=1)
-                pending_i, pending_d = np.concatenate([pending_i, x]), np.concatenate([pending_d, d])
+                opened_i.append(x), opened_d.append(d)
+                size, least = size + len(x), min(least, float(d.min()))
                 at += 1
+            pending_i, pending_d = np.concatenate(opened_i), np.concatenate(opened_d)
             order = np.argsort(pending_d, kind="stable")
             pending_i, pending_d = pending_i[order], pending_d[order]
             if not len(pending_d) or pending_d[0] > ratio * kth:
@@ -171,46 +178,61 @@ class Shard:
             take = min(CHUNK, int(np.searchsorted(pending_d, ratio * kth, side="right")))
             x = pending_i[:take]
             pending_i, pending_d = pending_i[take:], pending_d[take:]
-            true = 2 - 2 * (self.unit[x] @ unit)
-            best = sorted([*best, *((float(d), int(i)) for d, i in zip(true, x) if d <= kth + 1e-9)])[: 2 * k]
-        found = [i for _, i in best]
-        scores = (self.raw[found] * raw).sum(axis=1) / (self.norm[found] * norm) if found else []
-        return list(zip(found, map(float, scores)))
+            self.verified += len(x)
+            x = x[2 - 2 * (self.unit[x] @ unit) <= kth + 1e-9]
+            scores = (self.raw[x] * raw).sum(axis=1) / (self.norm[x] * norm)
+            best = sorted([*best, *zip((-scores).tolist(), self.first[x].tolist(), x.tolist())])[:k]
+        return [(i, -score) for score, _, i in best]
 
 
-def _search(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """(query, vec_id, score) of rows (cell, shard, kind, key, vector, ids, bound): points have kind 0 and come first."""
+def _search(points: DataFrame, queries: DataFrame, length: int, k: int) -> DataFrame:
+    """(query, vec_id, score) of points (cell, shard, vector, ids) and queries (cell, shard, key, vector, bound)."""
     ratio = chi_square_bound(CONFIDENCE, PROJECTED)
     schema = "query bigint, vec_id bigint, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = projection(length)
-        key, points, shard = None, [], None
+        key, vectors, ids, shard = None, [], [], None
         for batch in batches:
             out: list[tuple] = []
-            for cell, deal, kind, name, vector, ids, bound in zip(*[c.to_pylist() for c in batch.columns]):
-                if (cell, deal) != key:
-                    key, points, shard = (cell, deal), [], None
-                if kind == 0:
-                    points.append((ids, vector))
+            groups = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            kinds, names, bounds = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(7).to_numpy()
+            flat = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            edges = np.flatnonzero((np.diff(groups, axis=0) != 0).any(axis=1) | (np.diff(kinds) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if a == b:
                     continue
-                if not points:
+                if tuple(groups[a]) != key:
+                    key, vectors, ids, shard = tuple(groups[a]), [], [], None
+                if kinds[a] == 0:
+                    vectors.append(flat[a:b].copy())
+                    ids += batch.column(6).slice(a, b - a).to_pylist()
                     continue
-                shard = shard or Shard(points, matrix)
-                for i, score in shard.search(vector, matrix, k, bound, ratio):
-                    out += [(name, v, score) for v in shard.ids[i]]
+                if not vectors:
+                    continue
+                shard = shard or Shard(np.concatenate(vectors), ids, matrix)
+                for j in range(a, b):
+                    for i, score in shard.search(flat[j], matrix, k, bounds[j], ratio):
+                        out += [(int(names[j]), v, score) for v in shard.ids[i]]
             columns = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query", "vec_id", "score"])
 
-    return rows.repartition("cell", "shard").sortWithinPartitions("cell", "shard", "kind").mapInArrow(run, schema)
+    place = ["cell", "shard"]
+    parts = queries.groupBy(*place).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    held = points.join(parts, place).select(*place, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("key"), "vector", "ids", F.lit(0.0).alias("bound"))
+    asked = queries.join(parts, place).select(*place, F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "key", "vector", F.array().cast("array<bigint>").alias("ids"), "bound")
+    return held.unionByName(asked).repartition(*place, "part").sortWithinPartitions(*place, "part", "kind").mapInArrow(run, schema)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector) of the rows that take part."""
+    """(vec_id, vector) of the rows that take part, scaled to a largest component of 1 or -1."""
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), x.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return rows.filter(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
+    rows = rows.filter(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
+    most = F.array_max(F.transform("vector", F.abs))
+    # `+ 0.0` makes one zero of both signs
+    return rows.withColumn("most", most).select("vec_id", F.transform("vector", lambda v: F.try_divide(v, F.col("most")) + 0.0).alias("vector"))
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -251,10 +273,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     sizes = {r["cell"]: max(1, math.ceil(r["count"] / SHARD)) for r in placed.groupBy("cell").count().collect()}  # at most CELLS
     table = spark.createDataFrame([(int(c), int(s)) for c, s in sizes.items()], "cell bigint, shards int")
     placed = placed.join(F.broadcast(table), "cell").withColumn("shard", F.pmod(F.hash("key"), F.col("shards")).cast("int"))
-    points = placed.select("cell", "shard", F.lit(0).alias("kind"), "key", "vector", "ids", F.lit(0.0).alias("bound"))
+    points = placed.select("cell", "shard", "vector", "ids")
     queries = placed.filter("asked").select("cell", "shard", "key", "vector")
-    none = F.array().cast("array<bigint>").alias("ids")
-    at_home = _search(points.unionByName(queries.select("cell", "shard", F.lit(1).alias("kind"), "key", "vector", none, F.lit(4.0).alias("bound"))), length, k + 1)
+    at_home = _search(points, queries.withColumn("bound", F.lit(4.0)), length, k + 1)
     at_home = written(_best(at_home, k + 1), "home")
     # The bound holds if k + 1 neighbours were found at home; its square is 2 - 2 cos.
     bounds = at_home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
@@ -276,10 +297,11 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                             if (c, s) != (home, deal):
                                 take.append(i), cells.append(c), shards.append(s)
                 t = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(shards, pa.int32()), part.column(2).take(t), part.column(3).take(t), part.column(4).take(t)], ["cell", "shard", "key", "vector", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(shards, pa.int32()), part.column(2).take(t), part.column(4).take(t)], ["cell", "shard", "key", "bound"])
 
-    routed = bounded.select("cell", "shard", "key", "vector", "bound").mapInArrow(route, "cell bigint, shard int, key bigint, vector array<double>, bound double")
-    away = _search(points.unionByName(routed.select("cell", "shard", F.lit(1).alias("kind"), "key", "vector", none, "bound")), length, k + 1)
+    # Routes are written without the vectors, which join by the query's key.
+    routed = written(bounded.select("cell", "shard", "key", "vector", "bound").mapInArrow(route, "cell bigint, shard int, key bigint, bound double"), "routes")
+    away = _search(points, routed.join(queries.select("key", "vector"), "key"), length, k + 1)
     found = _best(at_home.select("query", "vec_id", "score").unionByName(away), k + 1).select("query", "vec_id", "score")
     keys = placed.filter("asked").select("h", "vector", F.col("key").alias("query"))
     of_query = asked.select("h", "vector", F.col("vec_id").alias("query_id")).join(keys, ["h", "vector"]).select("query_id", "query")

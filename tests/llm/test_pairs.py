@@ -115,8 +115,10 @@ def brute_neighbours(rows, every, k):
     return out
 
 
-def test_op6_neighbours(spark, monkeypatch):
+@pytest.mark.parametrize("queries", [4096, 3])
+def test_op6_neighbours(spark, monkeypatch, queries):
     monkeypatch.setattr(neighbours, "SHARD", 100)
+    monkeypatch.setattr(neighbours, "QUERIES", queries)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.standard_normal(8)], i) for i in range(900)]
     rows += [(i, [1.0] * 8, 0) for i in range(900, 1200)]
@@ -133,6 +135,43 @@ def test_op6_neighbours(spark, monkeypatch):
     assert all(abs(x[2] - 1) < 1e-12 for x in got[900])
 
 
+def test_op6_ties_go_to_the_smaller_id(spark):
+    """Multiples of one vector, and different vectors that are equally near."""
+    rows = [(i, [1.0 * (i + 1), 2.0 * (i + 1), 0.0, 0.5 * (i + 1)], 0) for i in range(120)]
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(vectors(spark, rows)).collect())
+    assert got == [(q, k + 1, v) for q in (0, 50, 100) for k, v in enumerate([x for x in range(6) if x != q][:5])]
+    around = [(0, [1.0, 0.0, 0.0, 0.0], 0), *((i, [1.0, *(0.25 * (1 if (i - 1) // 2 == j else 0) * (-1) ** i for j in range(3))], 0) for i in range(1, 7))]
+    assert [r.vec_id for r in sorted(neighbours.nearest(vectors(spark, around)).collect(), key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
+def test_op6_verifies_few_of_clustered_vectors():
+    rng = np.random.default_rng(8)
+    raw = np.repeat(rng.standard_normal((40, 64)), 100, axis=0) + 0.2 * rng.standard_normal((4000, 64))
+    matrix, ratio = neighbours.projection(64), neighbours.chi_square_bound(neighbours.CONFIDENCE, neighbours.PROJECTED)
+    shard = neighbours.Shard(raw, [[i] for i in range(len(raw))], matrix)
+    cosines, hit = shard.unit @ shard.unit.T, 0
+    for i in range(0, 4000, 50):
+        found = {j for j, _ in shard.search(raw[i], matrix, 6, 4.0, ratio)}
+        hit += len(found & set(np.argsort(-cosines[i])[:6].tolist())) - 1
+    assert hit >= 0.9 * 5 * 80 and shard.verified < 0.1 * 80 * 4000
+
+
+def test_op6_recall_on_the_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    raw = {r.vec_id: np.array(r.embedding, float) for r in df.collect() if r.embedding is not None}
+    ids = sorted(raw)
+    unit = np.array([raw[i] / np.linalg.norm(raw[i]) for i in ids])
+    hit, got = 0, collections.defaultdict(set)
+    for r in neighbours.nearest(df).collect():
+        got[r.query_id].add(r.vec_id)
+        a, b = raw[r.query_id], raw[r.vec_id]
+        assert r.score == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
+    for q in got:
+        cosines = unit @ (raw[q] / np.linalg.norm(raw[q]))
+        hit += len({ids[j] for j in np.argsort(-cosines)[:6]} - {q} & got[q])
+    assert hit >= 0.9 * sum(map(len, got.values()))
+
+
 def test_op6_few_rows(spark):
     assert neighbours.nearest(vectors(spark, [])).count() == 0
     rows = neighbours.nearest(vectors(spark, [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [-1.0, 0.0], 1)])).collect()
