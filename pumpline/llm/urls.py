@@ -7,9 +7,11 @@ Method.  Runs of digits and long hexadecimal strings in a path's segments become
 are counted once, with their labels.  Then the tree of each host is walked level by level:
 
 * A node whose children are many for its number of urls has a variable segment, which becomes `*`.
-* Of the other children, those with the same kind of labels (rejected, allowed, both, none) are compared with all of
-  them together: the counts of what follows, in 8 hashed buckets and one for the path's end, enter a
-  chi-square test, and the branches that it doesn't tell apart are merged.
+* The other children fall into families by what follows them most often, in 8 hashed buckets and one for the
+  path's end.  Each is compared with its family by a chi-square test of these counts; those that it doesn't tell apart
+  are merged, whatever their labels, so that labels carry over to branches without any.
+
+A shape that is alone in its node keeps the rest of its path, and leaves the walk; it ends when all have left, at any depth.
 
 A template's purity is its share of rejected labels, smoothed towards its host's, which is smoothed towards the
 overall one.  Templates of at least REJECT purity are rejected.
@@ -31,8 +33,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pumpline.llm.shared import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what is below the last counts as one segment.
-DEPTH = 6
 #: A variable segment: at least so many values, and more than so large a share of the urls.
 MANY, SHARE = 20, 0.1
 BUCKETS = 8
@@ -75,38 +75,44 @@ def _by_rules(rules, host: Column, path: Column) -> tuple[Column, Column]:
 def shape_of(path: Column) -> Column:
     """The path's segments with marks for numbers and long hexadecimal strings."""
     mark = lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)(?<![0-9a-z])(?=[0-9a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "<x>"), "[0-9]+", "<n>")
-    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), mark)
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("<more>")))
-    return F.when(F.size(parts) > DEPTH, deep).otherwise(parts)
-
-
-def _label_kind(b: Column, a: Column) -> Column:
-    return F.when((b > 0) & (a > 0), "both").when(b > 0, "rejected").when(a > 0, "allowed").otherwise("none")
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), mark)
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """(host, shape, template, n, b, a) of columns host, shape and label (true: to be rejected)."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     tree = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count(F.col("label")).alias("b"), count(~F.col("label")).alias("a")).withColumn("template", F.lit(""))
+    columns, done, level = tree.columns, None, 0
     tree = written(tree, "urls")
-    depth = tree.agg(F.max(F.size("shape"))).collect()[0][0] or 0
     buckets = [f"k{i}" for i in range(BUCKETS + 1)]
-    for level in range(depth):
-        rows = tree.withColumn("part", F.get("shape", F.lit(level))).withColumn("next", F.get("shape", F.lit(level + 1)))
+    while True:
+        # What is alone in its node, or ends here, is done; the rest of its path is part of its template.
+        nodes = tree.groupBy("host", "template").agg(F.count("*").alias("shapes"), F.sum("n").alias("all"))
+        counted = tree.join(nodes, ["host", "template"])
+        rest = F.concat("template", F.array_join(F.transform(F.slice("shape", level + 1, F.greatest(F.size("shape") - level, F.lit(0))), lambda s: F.concat(F.lit("/"), s)), ""))
+        over = (F.col("shapes") == 1) | (F.size("shape") <= level)
+        ended = counted.filter(over).withColumn("template", rest).select(*columns)
+        done = ended if done is None else done.unionByName(ended)
+        alive = written(counted.filter(~over).withColumn("part", F.get("shape", F.lit(level))).withColumn("next", F.get("shape", F.lit(level + 1))), "alive")
+        if not alive.limit(1).count():
+            return written(done, "templates")
         at = F.when(F.col("next").isNull(), BUCKETS).otherwise(F.pmod(F.xxhash64("next"), F.lit(BUCKETS)))
-        alive = rows.filter(F.col("part").isNotNull())
-        children = alive.groupBy("host", "template", "part").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("a").alias("a"), *[F.sum(F.when(at == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(buckets)])
-        children = written(children.withColumn("labels", _label_kind(F.col("b"), F.col("a"))), "children")
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"))
-        variable = nodes.filter((F.col("kinds") >= MANY) & (F.col("kinds") > F.col("all") * SHARE)).select("host", "template", F.lit(True).alias("variable"))
-        pools = children.groupBy("host", "template", "labels").agg(F.count("*").alias("branches"), F.sum("n").alias("pool"), *[F.sum(k).alias(f"p{k}") for k in buckets])
+        children = alive.groupBy("host", "template", "part").agg(F.max("all").alias("all"), F.sum("n").alias("n"), *[F.sum(F.when(at == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(buckets)])
+        most = F.greatest(*buckets)
+        family = F.lit(BUCKETS)
+        for i in reversed(range(BUCKETS)):
+            family = F.when(F.col(f"k{i}") == most, i).otherwise(family)
+        children = written(children.withColumn("family", family), "children")
+        kinds = children.groupBy("host", "template").agg(F.count("*").alias("kinds"))
+        pools = children.groupBy("host", "template", "family").agg(F.count("*").alias("branches"), F.sum("n").alias("pool"), *[F.sum(k).alias(f"p{k}") for k in buckets])
         chi = sum((F.when(F.col(f"p{k}") == 0, 0.0).otherwise(F.pow(F.col(k) - F.col("n") * F.col(f"p{k}") / F.col("pool"), 2) / (F.col("n") * F.col(f"p{k}") / F.col("pool"))) for k in buckets), F.lit(0.0))
-        judged = children.join(variable, ["host", "template"], "left").join(pools, ["host", "template", "labels"])
-        name = F.when(F.col("variable"), "*").when((F.col("branches") > 1) & (chi <= SIMILAR), F.concat(F.lit("{"), F.col("labels"), F.lit("}"))).otherwise(F.col("part"))
+        judged = children.join(kinds, ["host", "template"]).join(pools, ["host", "template", "family"])
+        variable = (F.col("kinds") >= MANY) & (F.col("kinds") > F.col("all") * SHARE)
+        name = F.when(variable, "*").when((F.col("branches") > 1) & (chi <= SIMILAR), F.concat(F.lit("{"), F.col("family"), F.lit("}"))).otherwise(F.col("part"))
         named = judged.select("host", "template", "part", name.alias("name"))
         moved = alive.join(named, ["host", "template", "part"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
-        tree = written(moved.select(*tree.columns).unionByName(rows.filter(F.col("part").isNull()).select(*tree.columns)), "urls")
-    return tree
+        tree = written(moved.select(*columns), "urls")
+        level += 1
 
 
 def rejected(tree: DataFrame, smoothing: float = SMOOTHING, reject: float = REJECT) -> DataFrame:
