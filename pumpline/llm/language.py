@@ -1,13 +1,15 @@
 """Operator 8: language by compression.
 
-Method: for each language a raw-content zstandard dictionary is made of labelled texts.  A text is
+Method: for each language raw-content zstandard dictionaries are made of labelled texts.  A text is
 lower-cased and cut into blocks; each block is compressed with each language's dictionary, and the
 language whose blocks are the smallest in all is chosen.  `rejected` says that the next language was
 within a narrow margin of it.
 
-The dictionaries are fitted on a bounded sample: per language, of the labelled rows with the smallest
-hashes, SAMPLE_TEXTS texts with up to SAMPLE_CHARS characters each, up to DICTIONARY_BYTES in all.  Rows
-whose crc32(id as text) mod 5 is 0 are held out of it.  Prediction reads the whole text and nothing else.
+The dictionaries are fitted on a bounded sample of rows: per language, of the labelled rows, the SAMPLE_TEXTS with the
+smallest hashes, their texts whole.  They make one dictionary, or several of PART bytes where they are longer; a block
+counts with the size that the best of them gives.  Rows whose crc32(id as text) mod 5 is 0 are held out.  Prediction
+reads the whole text and nothing else.  Every language that a labelled row has is learned; where the
+dictionaries of all don't fit into a worker together, texts are read once for each group of languages that does.
 
 Defined results: `und` with score 0 for null texts and those without a letter, and for all texts if
 nothing was labelled; equal sizes go to the language with more labelled rows, then the smaller name;
@@ -26,12 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pumpline.llm.arrow import byte_slices
+from pumpline.llm.shared import written
 
-SAMPLE_TEXTS = 300
-SAMPLE_CHARS = 1000
-DICTIONARY_BYTES = 110_000
-#: The most languages that are learned: those with the most labelled rows.
-LANGUAGES = 200
+#: Rows of a language that its dictionaries are made of: the sample's only bound.
+SAMPLE_TEXTS = 100
+#: Bytes of a dictionary, and of the dictionaries that a worker holds at once (one language at least).
+PART, HELD = 1 << 20, 24 << 20
 BLOCK = 2048
 LEVEL = 9
 #: Below this difference, as a share of the text's bytes, the choice counts as rejected.
@@ -44,60 +46,105 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, dictionary content), the language with the most labelled rows first."""
+def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[bytes]]]:
+    """(language, contents of its dictionaries), the language with the most labelled rows first."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), 5) != 0))
-    found = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    if not found:
-        return []
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
     # Of a large language, only rows whose hash is under a bound that leaves about four times the sample are looked at.
-    share = F.create_map(*[x for r in found for x in (F.lit(r["l"]), F.lit(min(1.0, 4 * SAMPLE_TEXTS / r["count"])))])
-    rows = rows.withColumn("h", F.xxhash64("i", "t")).filter(F.pmod("h", F.lit(1_000_003)) < F.coalesce(share[F.col("l")], F.lit(0.0)) * 1_000_003)
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= SAMPLE_TEXTS)
-    texts: dict[str, list[str]] = {}
-    for r in first.select("l", "r", F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("l", "r").toLocalIterator():
-        texts.setdefault(r["l"], []).append(r["t"].lower())
-    return [(r["l"], "\n".join(texts[r["l"]]).encode()[:DICTIONARY_BYTES]) for r in found if r["l"] in texts]
+    near = rows.withColumn("h", F.xxhash64("i", "t")).join(counts, "l").filter(F.pmod("h", F.lit(1_000_003)) * F.col("n") < F.lit(4 * SAMPLE_TEXTS * 1_000_003))
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= SAMPLE_TEXTS)
+    texts: dict[str, list[bytes]] = {}
+    for r in first.select("l", "n", "r", "t").orderBy(F.desc("n"), "l", "r").toLocalIterator():
+        texts.setdefault(r["l"], []).append(r["t"].lower().encode())
+    whole = ((lang, b"\n".join(found)) for lang, found in texts.items())
+    return [(lang, [raw[i : i + PART] for i in range(0, len(raw), PART)] or [b""]) for lang, raw in whole]
+
+
+def groups_of(learned: list[tuple[str, list[bytes]]]) -> list[list[int]]:
+    """Places of languages that a worker holds together."""
+    out, size = [[]], 0
+    for i, (_, parts) in enumerate(learned):
+        own = sum(map(len, parts))
+        if out[-1] and size + own > HELD:
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += own
+    return out
 
 
-@lru_cache(maxsize=4)
-def _compressors(learned: tuple) -> list:
+def _compressors(parts: list[bytes]) -> list:
     import zstandard
 
     out = []
-    for _, content in learned:
+    for content in parts:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         out.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
-def classify(text: str | None, learned: tuple) -> tuple[str, float, bool]:
-    """(language, score, rejected) of one text."""
-    if not text or not learned or not LETTER.search(text):
-        return UNKNOWN, 0.0, True
+@lru_cache(maxsize=1)
+def _held(group: tuple) -> list[list]:
+    return [_compressors(list(parts)) for parts in group]
+
+
+def block_sizes(text: str | None, held: list[list]) -> list[int] | None:
+    """The text's compressed bytes by language; null without a letter."""
+    if not text or not LETTER.search(text):
+        return None
     raw = text.lower().encode()
     blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    sizes = [sum([len(c.compress(b)) for b in blocks]) for c in _compressors(learned)]
+    return [sum([min([len(c.compress(b)) for c in parts]) if len(parts) > 1 else len(parts[0].compress(b)) for b in blocks]) for parts in held]
+
+
+def verdict(sizes: list[int] | None, length: int, names: list[str]) -> tuple[str, float, bool]:
+    """(language, score, rejected) from a text's compressed sizes and its bytes."""
+    if not sizes:
+        return UNKNOWN, 0.0, True
     best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
     # Differences in bits as log-odds, at a quarter of their weight: compressors spend some on their own tables.
     score = 1 / sum(math.exp(min(0.0, (sizes[best] - s) * 8 * math.log(2) / 4)) for s in sizes)
     second = min((s for i, s in enumerate(sizes) if i != best), default=None)
-    return learned[best][0], score, second is not None and second - sizes[best] < MARGIN * len(raw)
+    return names[best], score, second is not None and second - sizes[best] < MARGIN * length
 
 
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, whether it was held out, predicted language, score and whether the margin was narrow."""
-    learned = tuple(dictionaries(docs, id_col, text_col, lang_col))  # at most LANGUAGES * DICTIONARY_BYTES
+    learned = dictionaries(docs, id_col, text_col, lang_col)
+    names, groups = [lang for lang, _ in learned], groups_of(learned)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (fold(F.col(id_col), 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("sizes"))
+    for group in groups[:-1]:
+        rows = written(_sized(rows, learned, group), "languages")
+    return _judged(rows, learned, groups[-1], names)
+
+
+def _sized(rows: DataFrame, learned: list, group: list[int]) -> DataFrame:
+    """The rows with the sizes of a group of languages behind those that they have."""
+    sent = tuple(tuple(learned[i][1]) for i in group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in byte_slices(batches, 2):
+            got = [None if s is None or (b := block_sizes(t, _held(sent))) is None else [*s, *b] for t, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(got, pa.list_(pa.int64()))], part.schema.names)
+
+    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, text string, sizes array<bigint>")
+
+
+def _judged(rows: DataFrame, learned: list, group: list[int], names: list[str]) -> DataFrame:
+    """The verdicts, after the last group of languages."""
+    sent = tuple(tuple(learned[i][1]) for i in group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 2):
-            got = [classify(t, learned) for t in part.column(2).to_pylist()]
+            got = []
+            for t, before in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                sizes = None if before is None or not sent else block_sizes(t, _held(sent))
+                got.append(verdict(sizes and [*before, *sizes], len((t or "").lower().encode()), names))
             columns = [part.column(0), part.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col(id_col).cast("bigint"), fold(F.col(id_col), 5) == 0, F.col(text_col).cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

@@ -132,6 +132,71 @@ def test_op8_language(spark, docs):
     assert language.predicted(docs([])).count() == 0
 
 
+def plain_language(text, learned):
+    """The language whose dictionaries compress the text's blocks best."""
+    import zstandard
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und"
+    raw, sizes = text.lower().encode(), []
+    for _, parts in learned:
+        made = [zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for p in parts]
+        sizes.append(sum(min(len(c.compress(raw[i : i + language.BLOCK])) for c in made) for i in range(0, len(raw), language.BLOCK)))
+    return learned[sizes.index(min(sizes))][0]
+
+
+def test_op8_against_plain_compression(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    learned = language.dictionaries(spark.read.parquet(f"{SF}/documents.parquet"))
+    held = [language._compressors(parts) for _, parts in learned]
+    names = [n for n, _ in learned]
+    same = total = 0
+    for r in df.collect():
+        total += 1
+        same += language.verdict(language.block_sizes(r.text, held), len(r.text or ""), names)[0] == plain_language(r.text, learned)
+    assert same >= 0.95 * total  # prepared dictionaries are searched a little differently
+
+
+def test_op8_any_number_of_languages_in_groups(spark, docs, monkeypatch):
+    import random
+    import zlib
+
+    rng = random.Random(3)
+    alphabets = [[chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(30)]
+    word = lambda k: "".join(rng.choice(alphabets[k]) for _ in range(3))
+    rows = [(i, " ".join(word(i % 30) for _ in range(40)), f"l{i % 30:02}", "s", 0) for i in range(600)]
+    whole = {r.doc_id: r for r in language.predicted(docs(rows)).collect()}
+    assert {r.lang_pred for r in whole.values()} == {f"l{k:02}" for k in range(30)}
+    assert sum(whole[i].lang_pred == lang for i, _, lang, *_ in rows) > 0.95 * 600
+    monkeypatch.setattr(language, "HELD", 40_000)
+    monkeypatch.setattr(language, "PART", 1000)
+    learned = language.dictionaries(docs(rows))
+    assert len(language.groups_of(learned)) > 3 and all(len(p) <= 1000 for _, parts in learned for p in parts) and len(learned[0][1]) > 2
+    grouped = {r.doc_id: r for r in language.predicted(docs([*rows, (700, None, None, "s", 0)])).collect()}
+    assert sum(grouped[i].lang_pred == whole[i].lang_pred for i in whole) > 0.97 * 600 and grouped[700].lang_pred == "und"
+
+
+def test_op8_samples_are_whole_texts(spark, docs):
+    text = " ".join(f"w{i}" for i in range(60_000))
+    learned = language.dictionaries(docs([(i, text, "en", "s", 0) for i in (1, 2)]))
+    assert b"".join(learned[0][1]).endswith(b"w59999")
+
+
+def test_op8_long_texts_repeated_rows_and_ties(spark, docs):
+    import zlib
+
+    rows = [(i, "the same words of it again and again", ("bb", "aa")[i % 2], "s", 0) for i in range(400) if zlib.crc32(str(i).encode()) % 5][:200]
+    rows = [r for k, r in enumerate(sorted(rows, key=lambda r: r[2]))]
+    n = min(sum(r[2] == x for r in rows) for x in ("aa", "bb"))
+    even = [r for x in ("aa", "bb") for r in [r for r in rows if r[2] == x][:n]]
+    test = [(1000, "the same words of it " * 50_000, None, "s", 0), (1001, "again and again", None, "s", 0), (1001, "again and again", None, "s", 0)]
+    got = [(r.doc_id, r.lang_pred) for r in language.predicted(docs([*even, *test])).collect() if r.doc_id >= 1000]
+    assert sorted(got) == [(1000, "aa"), (1001, "aa"), (1001, "aa")]
+    more = [(i, "the same words of it again and again", "bb", "s", 0) for i in range(2000, 2600)]
+    got = [(r.doc_id, r.lang_pred) for r in language.predicted(docs([*even, *more, *test])).collect() if 1000 <= r.doc_id < 2000]
+    assert sorted(got) == [(1000, "bb"), (1001, "bb"), (1001, "bb")]
+
+
 def test_op8_learns_from_training_rows_only(spark, docs):
     import zlib
 
