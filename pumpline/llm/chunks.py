@@ -4,12 +4,12 @@ Method: a gear rolling hash (a table value per byte, shifted and added, over the
 text's UTF-8 bytes.  A chunk ends where the hash is smaller than at the 16 positions before and not larger
 than at the 16 after it, so cuts depend on nearby content alone and an insertion moves only the chunks that it
 touches; without a cut a chunk ends after MAX_CHUNK bytes.  Chunks are deduplicated by their 64-bit digest: the
-document with the smallest id that has a chunk keeps it, and in the others it is a copy.  Runs of copies of at
-least MIN_RUN bytes, shortened to whole words, are taken out of the text.  One equal digest of different chunks
+document with the smallest id that has a chunk keeps it, and in the others it is a copy.  Runs of copies,
+shortened to whole words, are taken out of the text where they have MIN_WORDS words and more.  One equal digest of different chunks
 in 2**64 pairs can't make a run: a run takes several chunks in a row.
 
 A run loses up to about 30 bytes and half a chunk at each side of a repeated passage to chunks that reach beyond it;
-those words stay.  Repeats within one document aren't touched.
+those words stay.  So MIN_WORDS is two thirds of the 50 words that a repeated passage is to have.  Repeats within one document aren't touched.
 
 Two shuffles of (digest, document) rows find the copies: the first, pre-aggregated, makes each repeated
 digest's keeper; the second joins them.  The joined digest side has one row per digest, so a digest that very
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pumpline.llm.arrow import byte_slices
 
-MIN_RUN = 128
+MIN_WORDS = 33
 #: Not a multiple of short periods: chunks of a repeated word then take every phase.
 MAX_CHUNK = 127
 SPREAD = 16
@@ -74,39 +74,36 @@ def digests(raw: bytes, at: list[int]) -> list[int]:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, first chunk with it) of columns id and text."""
+    """(digest, doc_id) of columns id and text, each once for a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 1):
-            got, doc, first = [], [], []
+            got, doc = [], []
             for d, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if raw and d is not None:
-                    seen: dict[int, int] = {}
-                    for i, x in enumerate(digests(raw, cuts(raw))):
-                        seen.setdefault(x, i)
-                    got += seen.keys()
-                    first += seen.values()
-                    doc += [d] * len(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int32())], ["digest", "doc_id", "chunk"])
+                    own = dict.fromkeys(digests(raw, cuts(raw)))
+                    got += own
+                    doc += [d] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array(doc, pa.int64())], ["digest", "doc_id"])
 
-    return docs.mapInArrow(run, "digest bigint, doc_id bigint, chunk int")
+    return docs.mapInArrow(run, "digest bigint, doc_id bigint")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with chunks that a document with a smaller id has: the list of the first chunks with them."""
+    """Per document with chunks that a document with a smaller id has: the list of their digests."""
     made = _chunks(docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string").cast("binary")))
     keepers = made.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).filter("keeper < last").select("digest", "keeper")
     found = made.join(keepers, "digest").filter(F.col("doc_id") > F.col("keeper"))
-    return found.groupBy("doc_id").agg(F.collect_list("chunk").alias("chunks"))
+    return found.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"))
 
 
-def runs(raw: bytes, flagged: list[int] | None, min_run: int = MIN_RUN) -> list[tuple[int, int]]:
-    """The byte ranges to take out: runs of flagged chunks, shortened to whole words."""
+def runs(raw: bytes, flagged: list[int] | None, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The byte ranges to take out: runs of flagged chunks, shortened to whole words, of so many words at least."""
     if not flagged:
         return []
     at = cuts(raw)
     of = digests(raw, at)
-    known = {of[i] for i in flagged if i < len(of)}
+    known = set(flagged)
     out: list[tuple[int, int]] = []
     start = None
     for i, x in enumerate([*of, None]):
@@ -115,13 +112,11 @@ def runs(raw: bytes, flagged: list[int] | None, min_run: int = MIN_RUN) -> list[
         elif start is not None:
             a, b = start, at[i]
             start = None
-            if b - a < min_run:
-                continue
             while 0 < a < b and raw[a - 1 : a] not in (b" ", b"\n", b"\t"):
                 a += 1
             while a < b < len(raw) and raw[b : b + 1] not in (b" ", b"\n", b"\t"):
                 b -= 1
-            if b > a:
+            if b > a and len(raw[a:b].split()) >= min_words:
                 out.append((a, b))
     return out
 
@@ -137,11 +132,11 @@ def taken_out(raw: bytes, ranges: list[tuple[int, int]]) -> str:
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     taken = {c.lower() for c in docs.columns}
     name = next(f"copied_{i}" for i in range(len(taken) + 1) if not {f"copied_{i}", f"copied_{i}_id"} & taken)
-    found = copies(docs, id_col, text_col).select(F.col("doc_id").alias(f"{name}_id"), F.col("chunks").alias(name))
+    found = copies(docs, id_col, text_col).select(F.col("doc_id").alias(f"{name}_id"), F.col("digests").alias(name))
     return docs.join(found, F.col(f"`{id_col}`").cast("bigint") == F.col(f"{name}_id"), "left").drop(f"{name}_id"), name
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with all their columns, repeated passages taken out of the text."""
     rows, name = _joined(docs, id_col, text_col)
     where = docs.columns.index(text_col)
@@ -155,14 +150,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i, f in enumerate(flagged):
                     if f and texts[i]:
                         raw = texts[i].encode()
-                        texts[i] = taken_out(raw, runs(raw, f, min_run))
+                        texts[i] = taken_out(raw, runs(raw, f, min_words))
                 columns[where] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, part.schema.names[:-1])
 
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], name).mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Per row: id, number of runs taken out, their characters, their (start, length) in characters, and the text without them."""
     rows, name = _joined(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
 
@@ -171,7 +166,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
             texts, spans = part.column(1).to_pylist(), []
             for i, f in enumerate(part.column(2).to_pylist()):
                 raw = (texts[i] or "").encode()
-                ranges = runs(raw, f, min_run)
+                ranges = runs(raw, f, min_words)
                 if ranges:
                     texts[i] = taken_out(raw, ranges)
                 spans.append([{"start": len(raw[:a].decode()), "length": len(raw[a:b].decode())} for a, b in ranges])

@@ -116,11 +116,82 @@ def test_op7_keepers_against_brute_force(spark):
             keeper.setdefault(x, d)
     for d, raw in texts.items():
         of = chunks.digests(raw, chunks.cuts(raw))
-        expect[d] = {of.index(x) for x in of if keeper[x] < d}
-    got = {r.doc_id: set(r.chunks) for r in chunks.copies(df).collect()}
+        expect[d] = {x for x in of if keeper[x] < d}
+    got = {r.doc_id: set(r.digests) for r in chunks.copies(df).collect()}
     assert got == {d: x for d, x in expect.items() if x}
 
 
+def plain_chunks(raw):
+    """Chunks by the docstring's definition, byte by byte."""
+    gear, n, ends = [int(x) for x in chunks.GEAR], len(raw), [0]
+    h = [sum(gear[raw[i - k]] << k for k in range(min(i + 1, 16))) % (1 << 32) for i in range(n)]
+    marks = [i + 1 for i in range(16, n - 16) if n > 48 and h[i] < min(h[i - 16 : i]) and h[i] <= min(h[i + 1 : i + 17]) and raw[i + 1] & 0xC0 != 0x80]
+    for c in [*marks, n]:
+        while c - ends[-1] > chunks.MAX_CHUNK:
+            at = ends[-1] + chunks.MAX_CHUNK
+            while at > ends[-1] + 1 and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            ends.append(at)
+        if c > ends[-1]:
+            ends.append(c)
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def plain_passages(rows):
+    """(doc_id, number of runs, text) with chunks compared by their bytes."""
+    made, keeper = [(d, plain_chunks((t or "").encode())) for d, t in rows], {}
+    for d, found in made:
+        for c in found if d is not None else []:
+            keeper[c] = min(keeper.get(c, d), d)
+    out = []
+    for (d, text), (_, found) in zip(rows, made):
+        kept, runs, at = [], 0, 0
+        copy = [d is not None and keeper[c] < d for c in found]
+        while at < len(found):
+            end = at
+            while end < len(found) and copy[end] == copy[at]:
+                end += 1
+            part = b"".join(found[at:end])
+            if copy[at]:
+                before, after = b"".join(found[:at]), b"".join(found[end:])
+                a, b = 0, len(part)
+                if before:
+                    while a < b and (before + part)[len(before) + a - 1 : len(before) + a] not in (b" ", b"\n", b"\t"):
+                        a += 1
+                if after:
+                    while b > a and (part + after)[b : b + 1] not in (b" ", b"\n", b"\t"):
+                        b -= 1
+                if len(part[a:b].split()) >= chunks.MIN_WORDS:
+                    runs += 1
+                    part = part[:a] + part[b:]
+            kept.append(part)
+            at = end
+        out.append((d, runs, None if text is None else b"".join(kept).decode()))
+    return out
+
+
+def test_op7_against_brute_force(spark, docs):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    big = max(rows, key=lambda r: len(r[1] or ""))[1]
+    extra = [(10**6, big), (10**6, big[:3000]), (10**6 + 1, "é" * 500 + big[100:4000]), (None, big), (10**6 + 2, None), (10**6 + 3, "")]
+    rows = [*[r for r in rows if len(r[1] or "") < 40_000], *extra]
+    table = docs([(d, t, "en", "s", 0) for d, t in rows], extra=True)
+    key = lambda r: (r[0] is None, r[0], r[1], str(r[2]))
+    assert sorted(((r.doc_id, r.n_runs, r.text) for r in chunks.report(table).collect()), key=key) == sorted(plain_passages(rows), key=key)
+
+
+def test_op7_leaves_passages_of_few_words(spark, docs):
+    import random
+
+    rng = random.Random(9)
+    short, long_ = words(rng, 25), words(rng, 60)
+    texts = [f"{words(rng, 100)} {short} {words(rng, 100)} {long_} {words(rng, 100)}" for _ in range(20)]
+    rows = {r.doc_id: r for r in chunks.report(docs(texts)).collect()}
+    assert all(short in rows[i].text for i in range(20))
+    assert rows[0].n_runs == 0 and all(rows[i].n_runs == 1 and long_ not in rows[i].text for i in range(1, 20))
+
+
 def test_op8_language(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.predicted(df).join(df.select("doc_id", "lang", "text"), "doc_id").collect()
