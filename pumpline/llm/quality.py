@@ -1,10 +1,14 @@
 """Operator 9: quality rules as a short-circuit cascade.
 
-Method: each rule is a condition on the text that rejects it.  On a sample, the rules' verdicts and the
-sizes that their costs depend on are measured; the rules are then put in order greedily, the next one
+Method: each rule is a condition on the text that rejects it.  A sample of rows, taken by their hashes, becomes a
+table; there each rule's verdicts are counted and its cost is measured, as the time that it takes on the
+sampled rows beyond that of the words alone.  The rules are then put in order greedily, the next one
 being that with the most rejections per cost among the rows that the earlier ones pass.  The order is
 compiled into one CASE expression, so a row is not looked at further once a rule rejects it.  Order
-changes the cost only: a text is kept if no rule rejects it.
+changes the cost only: a text is kept if no rule rejects it, so a clock may decide.
+
+`filtered` has all rules in the cascade, few words and repeated ones among them, and makes a count only where the
+cascade comes to it.  `judged` gives out the base counts, so makes them of every row, and has the other rules in the cascade.
 
 Built-in DataFrame functions only.  All counts are made within the row, without a shuffle.
 
@@ -15,17 +19,20 @@ an empty table; other columns aren't read.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pumpline.llm.shared import discard, written
+
 #: What parts words, as the contract has it: space and the control characters 9 to 13.
 BLANKS = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows that costs and selectivities are estimated on.
-SAMPLE_ROWS = 1000
+#: Rows that costs and selectivities are estimated on, about; the most that they may be; how often a clock reads a rule on them.
+SAMPLE_ROWS, MOST_ROWS, READINGS = 1000, 4000, 2
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -57,86 +64,143 @@ def repeated_words(words: Column) -> Column:
     return F.when(last < 1, F.lit(0)).otherwise(let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))))
 
 
-def text_counts(text: Column) -> Column:
-    """A struct of the base counts of a text that isn't null."""
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line, F.lit(" " + BLANKS))) > 0)
-    bare = F.length(text)
+def lines_of(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: F.length(F.trim(line, F.lit(" " + BLANKS))) > 0)
 
-    def build(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("bigint").alias("n_words"),
-            F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).cast("bigint").alias("word_chars"),
-            (bare - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-            repeated_words(words).cast("bigint").alias("n_repeat_words"),
-        )
 
-    return let(words_of(text), build)
+#: A text's counts, each from the text and its words.
+COUNTS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("bigint"),
+    "word_chars": lambda text, words: F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).cast("bigint"),
+    "n_symbols": lambda text, words: (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
+    "n_dup_lines": lambda text, words: let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
+    "n_repeat_words": lambda text, words: repeated_words(words).cast("bigint"),
+}
+#: Gives a count by its name, the text or the words.
+Of = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: a condition on a row with `text` and the base counts; work: its cost for a row's characters and words."""
+    """reject: the condition, from what is known of a text."""
 
     name: str
-    reject: Column
-    work: Callable[[int, int], float]
+    reject: Callable[[Of], Column]
+
+
+#: The base: too few words, too many in repeated windows.
+BASE = (Rule("few_words", lambda of: of("n_words") < 20), Rule("repeated_words", lambda of: of("n_repeat_words") * 100 > of("n_words") * 30))
 
 
 def default_rules() -> list[Rule]:
     """Rules for prose; what most of a clean text is passes each of them by far."""
-    n, letters = F.col("n_words"), F.length(F.translate(F.col("text"), UPPER.lower(), ""))
-    upper = F.length("text") - F.length(F.translate(F.col("text"), UPPER, ""))
-    lower = F.length("text") - letters
+    without = lambda of, chars: F.length(F.translate(of("text"), chars, ""))
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > n, lambda chars, words: 1),
-        Rule("word_length", (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20), lambda chars, words: 1),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 2 > F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x, F.lit(" " + BLANKS))) > 0)), lambda chars, words: 2 * chars),
-        Rule("shouting", upper > lower, lambda chars, words: 40 * chars),
-        Rule("exclamations", (F.length("text") - F.length(F.replace(F.col("text"), F.lit("!"), F.lit("")))) * 2 > n, lambda chars, words: 4 * chars),
-        Rule("alphabetic", F.size(F.filter(words_of(F.col("text")), lambda w: w.rlike(r"\p{L}"))) * 2 < n, lambda chars, words: 20 * chars + 60 * words),
+        Rule("symbols", lambda of: of("n_symbols") * 10 > of("n_words")),
+        Rule("word_length", lambda of: let(of("word_chars"), lambda n: (n < of("n_words") * 2) | (n > of("n_words") * 20))),
+        Rule("duplicate_lines", lambda of: of("n_dup_lines") * 2 > F.size(lines_of(of("text")))),
+        Rule("shouting", lambda of: without(of, UPPER) < without(of, UPPER.lower())),
+        Rule("exclamations", lambda of: (F.length(of("text")) - without(of, "!")) * 2 > of("n_words")),
+        Rule("alphabetic", lambda of: F.size(F.filter(of("words"), lambda w: w.rlike(r"\p{L}"))) * 2 < of("n_words")),
     ]
 
 
-def ordered(rows: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def _from(text: Column, words: Column) -> Of:
+    """Counts made where they are asked for."""
+    return lambda name: text if name == "text" else words if name == "words" else COUNTS[name](text, words)
+
+
+def _stored(text: Column, words: Column) -> Of:
+    """Counts that are columns already."""
+    return lambda name: text if name == "text" else words if name == "words" else F.col(name)
+
+
+def sampled(rows: DataFrame) -> DataFrame:
+    """About SAMPLE_ROWS of the rows, those with the smallest hashes, as a table of one column `text`."""
+    n = rows.count()
+    hashed = F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.lit(1_000_003))
+    share = min(1.0, SAMPLE_ROWS / max(n, 1))
+    # Rows that are equal in all columns share a hash, hence the bound.
+    return written(rows.filter(hashed < share * 1_000_003).select("text").limit(MOST_ROWS).coalesce(1), "sample")
+
+
+def _timed(rows: DataFrame, value: Column) -> float:
+    """Seconds that a value takes on all rows, the least of some readings; the first one, which compiles, doesn't count."""
+    took = []
+    for _ in range(READINGS + 1):
+        began = time.perf_counter()
+        rows.agg(F.count_if(value)).collect()
+        took.append(time.perf_counter() - began)
+    return min(took[1:])
+
+
+def costs(sample: DataFrame, rules: list[Rule]) -> list[float]:
+    """What each rule takes on the sample beyond the words alone, in seconds, a millisecond at least."""
+    alone = _timed(sample, let(words_of(F.col("text")), lambda w: F.size(w) >= 0))
+    asked = lambda rule: let(words_of(F.col("text")), lambda w: rule.reject(_from(F.col("text"), w)))
+    return [max(1e-3, _timed(sample, asked(rule)) - alone) for rule in rules]
+
+
+def ordered(sample: DataFrame, rules: list[Rule], cost: Callable[[DataFrame, list[Rule]], list[float]] = costs) -> list[Rule]:
     """The rules by rejections per cost, each among the sampled rows that the earlier ones pass.
 
-    Only verdicts and sizes of at most `sample_rows` rows come to the driver, read from as few partitions as hold them.
+    sample: a table of few rows with a column text; only their verdicts come to the driver.
     """
-    seen = rows.select(F.length("text").alias("chars"), F.col("n_words").alias("words"), *[F.coalesce(r.reject, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]).limit(sample_rows).collect()
-    left, rest, out = list(seen), list(range(len(rules))), []
+    if not rules:
+        return []
+    verdicts = lambda w: F.array(*[F.coalesce(r.reject(_from(F.col("text"), w)), F.lit(False)) for r in rules])
+    seen = [r["v"] for r in sample.select(let(words_of(F.col("text")), verdicts).alias("v")).collect()]
+    if not seen:
+        return list(rules)
+    of, left, rest, out = cost(sample, rules), seen, list(range(len(rules))), []
     while rest:
-        def rate(i: int) -> float:
-            cost = sum(rules[i].work(r["chars"], r["words"]) for r in left)
-            return sum(r[f"r{i}"] for r in left) / max(cost, 1)
-
-        best = max(rest, key=lambda i: (rate(i), -rules[i].work(1000, 200), -i))
+        best = max(rest, key=lambda i: (sum(v[i] for v in left) / of[i], -of[i], -i))
         out.append(rules[best])
         rest.remove(best)
-        left = [r for r in left if not r[f"r{best}"]]
+        left = [v for v in left if not v[best]]
+    return out
+
+
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def _order(rows: DataFrame, rules: list[Rule]) -> list[Rule]:
+    sample = sampled(rows)
+    out = ordered(sample, rules)
+    discard(sample)
     return out
 
 
-def _with_verdict(docs: DataFrame, rules: list[Rule] | None, text_col: str) -> DataFrame:
-    """The given row as the struct `row`, with its text, base counts, base_failed and kept."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("counts", text_counts(F.col("text"))).select("row", "text", "counts.*")
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
-    chain = F.when(F.col("base_failed"), F.lit(False))
-    for rule in ordered(rows, rules or default_rules()):
-        chain = chain.when(rule.reject, F.lit(False))
-    return rows.withColumn("kept", chain.otherwise(F.lit(True)))
+def _cascade(rules: list[Rule], of: Of) -> Column:
+    """Whether no rule rejects; the later ones are asked only where the earlier ones pass."""
+    chain = None
+    for rule in rules:
+        reject = F.coalesce(rule.reject(of), F.lit(False))
+        chain = F.when(reject, F.lit(False)) if chain is None else chain.when(reject, F.lit(False))
+    return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
 
 
 def judged(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row: id, the base counts, base_failed and kept."""
-    rows = _with_verdict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules, "text")
-    return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    rows = _rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    order = _order(rows, default_rules() if rules is None else rules)
+    text = F.col("text")
+    counts = let(words_of(text), lambda w: F.struct(*[count(text, w).alias(name) for name, count in COUNTS.items()]))
+    rows = rows.withColumn("counts", counts).select("row", "text", "counts.*")
+    failed = F.lit(False)
+    for rule in BASE:
+        failed = failed | rule.reject(_stored(text, words_of(text)))
+    rows = rows.withColumn("base_failed", failed)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(_cascade(order, _stored(text, words_of(text))))
+    return rows.select("row.doc_id", *COUNTS, "base_failed", kept.alias("kept"))
 
 
 def filtered(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is kept."""
-    return _with_verdict(docs, rules, text_col).filter("kept").select("row.*")
+    """The rows, with all their columns, whose text no rule rejects, those of the base among them."""
+    rows = _rows(docs, text_col)
+    order = _order(rows, [*BASE, *(default_rules() if rules is None else rules)])
+    return rows.filter(let(words_of(F.col("text")), lambda w: _cascade(order, _from(F.col("text"), w)))).select("row.*")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -296,10 +296,36 @@ def test_op9_quality(spark, docs):
 
 
 def test_op9_order_is_by_rejections_per_cost(spark, docs):
-    df = quality._with_verdict(docs(["a b c"] * 6 + ["a d e"] * 2), [], "text")
-    make = lambda name, part, cost: quality.Rule(name, F.col("text").contains(part), lambda chars, words: cost)
-    rules = [make("dear", "b", 100), make("cheap", "d", 1), make("none", "zz", 1), make("again", "c", 50)]
-    assert [r.name for r in quality.ordered(df, rules)] == ["cheap", "again", "dear", "none"] or [r.name for r in quality.ordered(df, rules)][:2] == ["cheap", "again"]
+    df = docs(["a b c"] * 6 + ["a d e"] * 2).select("text")
+    make = lambda name, part: quality.Rule(name, lambda of: of("text").contains(part))
+    rules = [make("dear", "b"), make("cheap", "d"), make("none", "zz"), make("again", "c")]
+    cost = lambda sample, rules: [{"dear": 100, "cheap": 1, "none": 1, "again": 50}[r.name] for r in rules]
+    assert [r.name for r in quality.ordered(df, rules, cost)] == ["cheap", "again", "none", "dear"]
+
+
+def test_op9_costs_are_measured(spark, docs):
+    df = docs(["some words and more of them " * 200 + str(i) for i in range(300)]).select("text").coalesce(1)
+    cheap, dear = quality.Rule("cheap", lambda of: of("n_words") < 20), quality.BASE[1]
+    a, b = quality.costs(df, [cheap, dear])
+    assert b > 2 * a
+
+
+def test_op9_sample_is_by_hash_and_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(quality, "MOST_ROWS", 60)
+    many = quality.sampled(docs([f"text {i}" for i in range(400)]))
+    found = [int(r.text.split()[1]) for r in many.collect()]
+    assert 10 < len(found) <= 60 and max(found) > 200
+    same = quality.sampled(docs([(1, "same", "en", "s", 0)] * 300))
+    assert same.count() <= 60
+
+
+def test_op9_any_order_keeps_the_same_rows(spark, docs, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id for r in quality.judged(df).filter("kept").collect()}
+    for turn in (1, -1):
+        monkeypatch.setattr(quality, "_order", lambda rows, rules, turn=turn: rules[::turn])
+        assert {r.doc_id for r in quality.filtered(df).collect()} == want
 
 
 @pytest.mark.parametrize("name", ["op9_quality", "op10_minhash"])
