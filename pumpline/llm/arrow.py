@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +13,25 @@ import pyarrow as pa
 SLICE_BYTES = 8 << 20
 
 
+@lru_cache(maxsize=1)
+def _c_library():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _c_library():
+        _c_library()(0)
+
+
 def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in order, cut so that the column's values of each have about `most` bytes, or one row."""
     gc.set_threshold(200_000, 20, 100)  # workers keep large tables without cycles
+    give_back()
     for batch in batches:
         if batch.num_rows and batch.nbytes > most:
             values = batch.column(column)
@@ -28,3 +46,4 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLIC
                 yield batch.slice(a, b - a)
         else:
             yield batch
+    give_back()

@@ -40,6 +40,8 @@ from pumpline.llm.shared import written
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
 BLOCK = 1024
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 100_000
 _U = np.uint64
 
 
@@ -56,7 +58,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 400_000:
+        if len(self) > KEPT_WORDS:
             self.clear()
         got = self[word] = xxh3_64_intdigest(word)
         return got

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -112,9 +112,7 @@ class WordTable:
 
 class WordModel:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
@@ -133,6 +131,13 @@ class WordModel:
         blank[[9, 10, 11, 12, 13, 32]] = True
         self.blank = blank
 
+    @cached_property
+    def library(self):
+        """The library's own model, made when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def merged(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
         split = [[w] if w.isalpha() else [w[:-1], w[-1]] if w[-1] in ".,!?:;" and w[:-1].isalpha() else PARTS.findall(w) for w in words]

@@ -3,6 +3,7 @@
 import collections
 import dataclasses
 import math
+import random
 import re
 import zlib
 
@@ -288,3 +289,41 @@ def test_pipeline(spark):
     assert {r.doc_id for r in outs[4].collect()} == second
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, outs[4].select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+ODD = [(1, None), (2, ""), (3, "  \n"), (None, "words of a row without an id"), (None, None), (4, "a b"), (4, "a b")]
+
+
+@pytest.mark.parametrize("rows", [[], ODD, "long", "clean"])
+def test_stages_on_odd_tables(spark, docs, rows):
+    """Nulls, empty and long texts, repeated rows and columns with names that operators use themselves."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    if rows == "long":
+        text = prose(30_000)
+        rows = [(1, text), (2, text + " and a little more"), (3, None), (5, f"{prose(100)} {text[1000:9000]}"), (6, "x" * 200_000)]
+    elif rows == "clean":
+        rows = [(i, prose(80)) for i in range(20)] * 2
+    seen = docs([(d, t, "en", "s", 0) for d, t in rows], extra=True)
+    columns, given = seen.columns, collections.Counter(d for d, _ in rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = minhash.written(stage(spark, seen, SF), name)
+        assert seen.columns == columns
+        left = collections.Counter(r.doc_id for r in seen.collect())
+        if name == "quality_rules":
+            expect = {d for d, t in rows if t and len(t.split()) >= 20}
+            assert left == {d: n for d, n in given.items() if d in expect}
+        elif name == "near_duplicates":
+            assert left == {d: n for d, n in given.items() if d in expect and not (len(rows) == 5 and d == 2)}
+            kept = left
+        else:
+            assert left == kept and all(r.n_chars == len(r.text) for r in seen.collect())
+    pieces = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
+    assert collections.Counter(r.doc_id for r in pieces if r.start == 0) == kept
+    # each stage by itself takes the odd rows, too
+    whole = docs([(d, t, "en", "s", 0) for d, t in rows], extra=True)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, whole, SF)
+        assert out.count() >= len(given) if name != "near_duplicates" else out.count() <= len(rows)
