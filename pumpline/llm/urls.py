@@ -126,12 +126,17 @@ def rejected(tree: DataFrame, smoothing: float = SMOOTHING, reject: float = REJE
     return tree.join(bad, ["host", "template"], "left_semi").select("host", "shape")
 
 
-def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: id, host, path, the rule that fits, and the verdict."""
+def by_rules(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: id, host, path, the longest rule that fits, and its verdict; nulls where none does."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = _by_rules(rules, F.col("host"), F.col("path"))
-    rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("shape", shape_of(F.col("path")))
+    return rows.withColumn("rule", rule).withColumn("by_rule", verdict)
+
+
+def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: id, host, path, the rule that fits, and the verdict."""
+    rows = by_rules(pages, rules, id_col, url_col).withColumn("shape", shape_of(F.col("path")))
     tree = templates(rows.select("host", "shape", (F.col("by_rule") == "block").alias("label")))
     bad = rejected(tree).withColumn("bad", F.lit(True))
     out = rows.join(bad, ["host", "shape"], "left")
@@ -140,3 +145,17 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
 
 def op3_urls(spark, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """The rules' part of the query, which SQL can express."""
+    return by_rules(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+RULES_SQL = r"""
+WITH r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT row_number() OVER () AS k, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS by_rule
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k, page_id, host, path
+"""
