@@ -32,7 +32,7 @@ BLANKS = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows that costs and selectivities are estimated on, about; the most that they may be; how often a clock reads a rule on them.
-SAMPLE_ROWS, MOST_ROWS, READINGS = 1000, 4000, 2
+SAMPLE_ROWS, MOST_ROWS, READINGS = 1000, 4000, 1
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
