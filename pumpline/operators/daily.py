@@ -14,7 +14,7 @@ def grouped(reports: DataFrame, colocate: bool = True, zone: str | None = None)
     """A row per station, product and day with the list of its reports.
 
     colocate deals reports by station and product, so that the windows over days that follow need no second
-    shuffle; without it, days of a station that has very many reports are spread.
+    shuffle; without it, days of a station that holds much of all reports are spread over tasks.
     """
     dealt = reports.repartition("station", "fuel") if colocate else reports
     rows = dealt.withColumn("day", day_of("date", zone))
@@ -57,10 +57,19 @@ def _station_key(rows: DataFrame) -> Column:
     return F.col("station.id") if rows.schema["station"].dataType.typeName() == "struct" else F.col("station")
 
 
-def with_opening(rows: DataFrame) -> DataFrame:
-    """The opening price: the closing price of the latest earlier day that the station has for the product."""
-    days = Window.partitionBy(_station_key(rows), "fuel").orderBy("day")
-    return rows.withColumn("openingPrice", F.lag("closingPrice").over(days))
+def with_opening(rows: DataFrame, colocate: bool = True) -> DataFrame:
+    """The opening price: the closing price of the latest earlier day that the station has for the product.
+
+    Without colocate, only keys and closing prices are dealt by station and product; lists stay where they are.
+    """
+    if colocate:
+        days = Window.partitionBy(_station_key(rows), "fuel").orderBy("day")
+        return rows.withColumn("openingPrice", F.lag("closingPrice").over(days))
+    narrow = rows.select(_station_key(rows).alias("of"), "fuel", "day", F.lag("closingPrice").over(Window.partitionBy(_station_key(rows), "fuel").orderBy("day")).alias("openingPrice"))
+    a, b = rows.alias("a"), narrow.alias("b")
+    station = F.col("a.station.id") if rows.schema["station"].dataType.typeName() == "struct" else F.col("a.station")
+    joined = a.join(b, (station == F.col("b.of")) & (F.col("a.fuel") == F.col("b.fuel")) & (F.col("a.day") == F.col("b.day")))
+    return joined.select("a.*", "b.openingPrice")
 
 
 def opening_as_of(probes: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,9 +89,9 @@ def missing_opening(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce(known, F.lit(False)))
 
 
-def priced(rows: DataFrame) -> DataFrame:
+def priced(rows: DataFrame, colocate: bool = True) -> DataFrame:
     """Opening price, previous prices, changes and the day's weighted average."""
-    return with_averages(with_opening(rows))
+    return with_averages(with_opening(rows, colocate))
 
 
 def with_averages(rows: DataFrame) -> DataFrame:
@@ -93,5 +102,5 @@ def with_averages(rows: DataFrame) -> DataFrame:
 
 def daily_prices(reports: DataFrame, stations: DataFrame | None = None, colocate: bool = True, zone: str | None = None) -> DataFrame:
     """All of it: reports to complete daily rows."""
-    rows = priced(by_day(reports, stations, colocate, zone))
+    rows = priced(by_day(reports, stations, colocate, zone), colocate)
     return rows.select("id", "day", "fuel", "station", "prices", "openingPrice", "closingPrice", "lowestPrice", "highestPrice", "weightedAveragePrice")

@@ -30,8 +30,14 @@ def test_grouping_and_windows_share_one_exchange(spark):
     assert exchanges(aggregates.by_day_and_fuel(daily.daily_prices(domain.reports(spark, DIR)))) == 2
 
 
-def test_spread_grouping_needs_a_second_one(spark):
-    assert exchanges(daily.daily_prices(domain.reports(spark, DIR), colocate=False)) == 2
+def test_spread_grouping_moves_lists_once(spark):
+    """A station that holds much of all reports: its days are spread, and only closing prices meet for the openings."""
+    reports = domain.reports(spark, DIR)
+    text = plan(daily.daily_prices(reports, colocate=False))
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning(station" in line]
+    assert moved and all("day" in line.split("hashpartitioning(")[1].split("), ")[0] or "prices" not in line for line in moved)
+    spread, dealt = (sorted(map(str, daily.daily_prices(reports, colocate=c).collect())) for c in (False, True))
+    assert spread == dealt
 
 
 def test_ranks_are_limited_before_the_shuffle(spark):
