@@ -50,9 +50,10 @@ def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(language, contents of its dictionaries), the language with the most labelled rows first."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), 5) != 0))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
+    # A row for each language, as many as the dictionaries that come to the driver below.
+    counts = docs.sparkSession.createDataFrame([(r["l"], r["count"]) for r in rows.groupBy("l").count().collect()], "l string, n bigint")
     # Of a large language, only rows whose hash is under a bound that leaves about four times the sample are looked at.
-    near = rows.withColumn("h", F.xxhash64("i", "t")).join(counts, "l").filter(F.pmod("h", F.lit(1_000_003)) * F.col("n") < F.lit(4 * SAMPLE_TEXTS * 1_000_003))
+    near = rows.withColumn("h", F.xxhash64("i", "t")).join(F.broadcast(counts), "l").filter(F.pmod("h", F.lit(1_000_003)) * F.col("n") < F.lit(4 * SAMPLE_TEXTS * 1_000_003))
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= SAMPLE_TEXTS)
     texts: dict[str, list[bytes]] = {}
     for r in first.select("l", "n", "r", "t").orderBy(F.desc("n"), "l", "r").toLocalIterator():
