@@ -225,14 +225,24 @@ def _search(points: DataFrame, queries: DataFrame, length: int, k: int) -> DataF
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector) of the rows that take part, scaled to a largest component of 1 or -1."""
+    """(vec_id, vector) of the rows that take part, but for their lengths."""
     x = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), x.alias("vector")).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    rows = rows.filter(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
-    most = F.array_max(F.transform("vector", F.abs))
-    # `+ 0.0` makes one zero of both signs
-    return rows.withColumn("most", most).select("vec_id", F.transform("vector", lambda v: F.try_divide(v, F.col("most")) + 0.0).alias("vector"))
+    return rows.filter(~F.exists("vector", bad) & F.exists("vector", lambda v: v != 0))
+
+
+def _scaled(rows: DataFrame, length: int) -> DataFrame:
+    """The rows with their vectors scaled to a largest component of 1 or -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            flat = flat / np.abs(flat).max(axis=1, keepdims=True, initial=0) + 0.0 if len(flat) else flat  # one zero of both signs
+            offsets = pa.array((np.arange(batch.num_rows + 1) * length).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], ["vec_id", "vector"])
+
+    return rows.mapInArrow(run, "vec_id bigint, vector array<double>")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -247,7 +257,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     length = lengths[0]["length"]
-    rows = rows.filter(F.size("vector") == length).withColumn("h", F.xxhash64("vector"))
+    rows = written(_scaled(rows.filter(F.size("vector") == length), length), "scaled").withColumn("h", F.xxhash64("vector"))
     # k + 1 smallest ids of each distinct vector: the window's limit applies before the shuffle.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "vector").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     classes = few.groupBy("h", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
