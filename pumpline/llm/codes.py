@@ -67,6 +67,7 @@ class Tree:
         kind = np.float64 if (2 * most) ** 2 * max(1, x.shape[1]) < 1 << 52 else np.int64  # doubles are exact up to there
         best, index = np.full(len(x), FAR if kind is np.int64 else np.inf, kind), np.full(len(x), len(self.entries))
         x, entries = x.astype(kind), self.entries.astype(kind)
+        squares, own_squares = (x * x).sum(axis=1), (entries * entries).sum(axis=1)
         low, high = np.array(self.low).astype(kind), np.array(self.high).astype(kind)
 
         def bound(node: int, rows: np.ndarray) -> np.ndarray:
@@ -78,10 +79,7 @@ class Tree:
                 return
             if self.children[node] is None:
                 held = self.held[node]
-                d = np.empty((len(rows), len(held)), kind)
-                for i, e in enumerate(held):
-                    off = x[rows] - entries[e]
-                    d[:, i] = (off * off).sum(axis=1)
+                d = squares[rows, None] + own_squares[held] - 2 * (x[rows] @ entries[held].T)  # whole numbers, so exact
                 at = d.argmin(axis=1)  # entries of a leaf are in order of their index
                 d, at = d[np.arange(len(rows)), at], held[at]
                 better = (d < best[rows]) | ((d == best[rows]) & (at < index[rows]))
