@@ -1,19 +1,19 @@
-"""The batch commands: importing reports and stations, and making the aggregates again."""
+"""The batch commands: importing reports and stations, and keeping the aggregates up."""
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from pumpline import schemas
-from pumpline.functions import lists
 from pumpline.operators import aggregates, daily, latest, stations
 from pumpline.sources import csv
-from pumpline.sources.store import ImportResult, Store, assert_unique, keep_existing, merge_fields, replace_matching, result_of, upsert_stations
+from pumpline.sources.closings import Closings
+from pumpline.sources.store import ImportResult, PartTable, Store, merge_fields, replace_matching, result_of, upsert_stations
 
 KEY = ["station_id", "fuel", "day"]
-STAGES = ("staged_reports", "staged_days")
+STAGES = ("staged_rows", "staged_reports", "staged_days")
 
 
 def measured(name: str, step, log=print):
@@ -23,85 +23,134 @@ def measured(name: str, step, log=print):
     return out
 
 
+def staged_rows(spark: SparkSession, store: Store, paths, schema: str) -> tuple[DataFrame, int]:
+    """The files' rows as a staged table, malformed ones in the table `quarantine` by file; how many these are is counted while they are written."""
+    seen = Observation()
+    rows = csv.read_csv(spark, paths, schema, quarantine=True)
+    rows = store.write("staged_rows", rows.observe(seen, F.count_if(F.col("bad").isNotNull()).alias("failed")))
+    failed = int(seen.get.get("failed") or 0)
+    if failed:
+        kind = "stations" if "uuid" in rows.columns else "reports"
+        bad = rows.filter("bad is not null").select("file", "bad", F.lit(kind).alias("kind"))
+        PartTable(store, "quarantine", F.col("kind")).append(bad)
+    return rows.filter("bad is null").drop("bad"), failed
+
+
 def import_stations(spark: SparkSession, store: Store, paths, clear: bool = False, strict: bool = False) -> ImportResult:
+    """Stations of files in place of stored ones; of several rows of a station the last one of the last file counts."""
     if clear:
         store.clear("stations")
-    new = csv.read_stations(spark, paths).dropDuplicates(["id"])
+    rows, failed = staged_rows(spark, store, paths, schemas.STATION_CSV)
+    # Rows of a file that was split come in order of their partitions.
+    last = Window.partitionBy("id").orderBy(F.desc("file"), F.desc("place"))
+    new = csv.stations(rows).withColumn("place", F.monotonically_increasing_id()).withColumn("n", F.row_number().over(last)).filter("n = 1").drop("n", "place", "file")
     old = store.read("stations", schemas.STATION)
     result = result_of(old, new, ["id"], ["name", "brand", "address", "location"])
     store.write("stations", upsert_stations(old, new, strict))
-    return result
+    store.drop("staged_rows")
+    return result + ImportResult(failed=failed)
 
 
 def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool = False, clear: bool = False, fuels=schemas.FUELS, log=lambda _: None) -> ImportResult:
     """Reports to daily rows, aggregates and the stations' latest prices.
 
     Each step's rows are a staged table; `recover` goes on from the newest one that a broken run has left.  Days that
-    are there already stay.  Opening prices also come from days of earlier imports.  Counted are reports: those of
-    days that are new, and as skipped those of days that stay as they were, or whose station is unknown.
+    are there already stay: new rows are appended to their days' parts, of which only keys are read, and closing prices of earlier
+    imports come from their index.  Counted are reports: those of days that are new, and as skipped those of days that stay as they
+    were, or whose station is unknown; malformed rows of files are counted as failed.  The results of each file are in `import_results`.
     """
+    table = store.by_day("daily")
     if clear:
-        store.clear("daily")
-        store.clear("aggregates")
+        for t in (table, Closings(store).days, Closings(store).months, store.by_day("aggregates")):
+            t.clear()
     left = [s for s in STAGES if store.exists(s)] if recover else []
-    result = ImportResult()
+    result, failed = ImportResult(), 0
     if not left and paths:
-        measured("reports", lambda: store.write("staged_reports", csv.read_reports(spark, paths, fuels)), log)
-        left = ["staged_reports"]
+        _, failed = measured("rows", lambda: staged_rows(spark, store, paths, schemas.report_csv(fuels)), log)
+        left = ["staged_rows"]
+    if left and left[-1] == "staged_rows":
+        rows = store.read("staged_rows").filter("bad is null")
+        measured("reports", lambda: store.write("staged_reports", csv.reports(rows, fuels)), log)
+        left.append("staged_reports")
     if left and left[-1] == "staged_reports":
         read, known = store.read("staged_reports"), store.read("stations", schemas.STATION)
         measured("days", lambda: store.write("staged_days", daily.by_day(read, known)), log)
         left.append("staged_days")
     if left:
         days = store.read("staged_days").withColumn("station_id", F.col("station.id"))
-        old = store.read("daily") if store.exists("daily") else None
-        new = measured("daily", lambda: _priced_with(days, old).withColumn("openingPriceKnown", F.lit(True)), log)
-        reports = lambda rows: rows.agg(F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n")).collect()[0]["n"]
-        came = reports(days if old is None else days.join(old.select(*KEY), KEY, "left_anti"))
-        given = store.read("staged_reports").count() if store.exists("staged_reports") else reports(days)
-        result = ImportResult(came, given - came)
-        if old is not None:
-            store.write("daily", keep_existing(old, new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]), KEY))
+        touched = [r[0] for r in days.select(table.part).distinct().collect()]  # as many as the files have days
+        new = days.join(table.read(touched).select(*KEY), KEY, "left_anti") if table.exists() else days
+        new = store.write("staged_new", _priced_with(new, Closings(store)).withColumn("openingPriceKnown", F.lit(True)))
+        came, given = Observation(), F.count(F.lit(1)).alias("n")
+        measured("daily", lambda: table.append(new.observe(came, F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n"))), log)
+        Closings(store).put(new.withColumn("station", F.col("station_id")))
+        came = int(came.get["n"])
+        if store.exists("staged_reports"):
+            of_files = _of_files(store, new)
+            result = ImportResult(came, store.read("staged_reports").agg(given).collect()[0]["n"] - came, failed=failed)
+            PartTable(store, "import_results", F.lit("files")).append(of_files)
         else:
-            store.write("daily", new)
-        for stage in STAGES:
+            result = ImportResult(came, days.agg(F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n")).collect()[0]["n"] - came, failed=failed)
+        for stage in (*STAGES, "staged_new"):
             store.drop(stage)
-    if store.exists("daily"):
-        measured("aggregates", lambda: recompute_aggregates(store), log)
+        table.compact()
+    if table.exists():
+        measured("aggregates", lambda: keep_aggregates(store), log)
         measured("latest", lambda: refresh_stations(store), log)
     return result
 
 
-def _priced_with(days: DataFrame, old: DataFrame | None) -> DataFrame:
-    """New daily rows whose windows also see the rows that are there."""
-    if old is None:
-        return daily.priced(days)
-    seen = old.select(*KEY, "closingPrice").withColumn("openingPrice", F.lit(None).cast("double"))
-    before = daily.opening_as_of(days.select(F.col("station_id").alias("station"), "fuel", "day"), days.select(*KEY, "closingPrice").unionByName(seen.drop("openingPrice")).withColumnRenamed("station_id", "station"))
-    rows = days.join(before.withColumnRenamed("station", "station_id").dropDuplicates(KEY), KEY, "left")
-    rows = rows.withColumn("prices", lists.with_change(lists.with_opening("prices", "openingPrice")))
-    return rows.withColumn("weightedAveragePrice", lists.weighted_average("prices", "day", "openingPrice"))
+def _of_files(store: Store, new: DataFrame) -> DataFrame:
+    """(file, inserted, skipped, failed): a file's reports whose day came in or not, and its malformed rows."""
+    reports = store.read("staged_reports")
+    if "file" not in reports.columns:
+        return store.spark.createDataFrame([], "file string, inserted bigint, skipped bigint, failed bigint")
+    counts = reports.groupBy("file", "station", "fuel", daily.day_of("date").alias("day")).agg(F.count("*").alias("n"))
+    came = new.select(F.col("station_id").alias("station"), "fuel", "day", F.lit(True).alias("came"))
+    counts = counts.join(came, ["station", "fuel", "day"], "left").groupBy("file").agg(F.sum(F.when(F.col("came"), F.col("n")).otherwise(0)).alias("inserted"), F.sum(F.when(F.col("came"), 0).otherwise(F.col("n"))).alias("skipped"))
+    if not store.exists("staged_rows"):
+        return counts.withColumn("failed", F.lit(0).cast("bigint"))
+    failed = store.read("staged_rows").groupBy("file").agg(F.count("bad").alias("failed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return failed.join(counts, "file", "left").select("file", zero("inserted"), zero("skipped"), "failed")
+
+
+def _priced_with(days: DataFrame, closings: Closings) -> DataFrame:
+    """New daily rows whose opening prices also come from the rows that are there."""
+    keys = days.select(F.col("station_id").alias("station"), "fuel", "day", "closingPrice")
+    seen = closings.around(keys).join(keys, ["station", "fuel", "day"], "left_anti")
+    before = daily.opening_as_of(keys.drop("closingPrice"), keys.unionByName(seen))
+    rows = days.join(before.withColumnRenamed("station", "station_id"), KEY)
+    return daily.with_averages(rows)
 
 
-def openings_repaired(rows: DataFrame) -> DataFrame:
+def openings_repaired(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Daily rows whose opening price was never looked for with that of the latest earlier day; known nulls and all else stay.
 
-    Only keys, closing prices and the found opening prices move; lists and averages stay as they are.
+    known: closing prices (station, fuel, day, closingPrice) to look in, else those of the rows.  Only keys, closing prices and
+    the found opening prices move; lists and averages stay as they are.
     """
     station = daily._station_key(rows)
-    flat = rows.select(station.alias("station"), "fuel", "day", "closingPrice")
+    flat = rows.select(station.alias("station"), "fuel", "day", "closingPrice") if known is None else known
     lacking = daily.missing_opening(rows).select(station.alias("station"), "fuel", "day")
     found = daily.opening_as_of(lacking, flat).select("station", "fuel", "day", F.col("openingPrice").alias("found"), F.lit(True).alias("looked")).dropDuplicates(["station", "fuel", "day"])
     a, b = rows.withColumn("repair_station", station).alias("a"), found.alias("b")
     joined = a.join(b, (F.col("a.repair_station") == F.col("b.station")) & (F.col("a.fuel") == F.col("b.fuel")) & (F.col("a.day") == F.col("b.day")), "left")
-    known = F.col("a.openingPriceKnown") if "openingPriceKnown" in rows.columns else F.col("a.openingPrice").isNotNull()
+    known_ = F.col("a.openingPriceKnown") if "openingPriceKnown" in rows.columns else F.col("a.openingPrice").isNotNull()
     opening = F.when(F.col("b.looked"), F.col("b.found")).otherwise(F.col("a.openingPrice"))
-    return joined.select(*[opening.alias(c) if c == "openingPrice" else F.col(f"a.{c}") for c in rows.columns if c != "openingPriceKnown"], (known | F.coalesce("b.looked", F.lit(False))).alias("openingPriceKnown"))
+    return joined.select(*[opening.alias(c) if c == "openingPrice" else F.col(f"a.{c}") for c in rows.columns if c != "openingPriceKnown"], (known_ | F.coalesce("b.looked", F.lit(False))).alias("openingPriceKnown"))
 
 
-def repair_openings(store: Store) -> None:
-    """Opening prices of stored rows that never had one looked for, from all earlier days."""
-    store.write("daily", openings_repaired(store.read("daily")))
+def repair_openings(store: Store) -> list[str]:
+    """Opening prices of stored rows that never had one looked for; reads the index of closing prices, and writes days with such rows only."""
+    table = store.by_day("daily")
+    lacking = daily.missing_opening(table.read())
+    days = sorted(r[0] for r in lacking.select(table.part).distinct().collect())
+    if not days:
+        return []
+    rows = table.read(days)
+    keys = daily.missing_opening(rows).select(daily._station_key(rows).alias("station"), "fuel", "day")
+    return table.replace(openings_repaired(rows, Closings(store).around(keys)))
 
 
 def toggle_favourite(store: Store, station: str) -> bool:
@@ -109,15 +158,29 @@ def toggle_favourite(store: Store, station: str) -> bool:
     return stations.one(store.write("stations", stations.toggled(store.read("stations", schemas.STATION), station.lower())), station).collect()[0]["favorite"]
 
 
+def keep_aggregates(store: Store) -> list[str]:
+    """Aggregates of the days that changed since they were made last, in place of those of the same days; the days.
+
+    The table notes the commit of the daily rows that it was made from, so a run that broke off is made up for by the next.
+    """
+    rows, table = store.by_day("daily"), store.by_day("aggregates")
+    number, seen = rows.manifest().number, table.manifest().seen.get("daily", 0)
+    days = rows.changed_since(seen)
+    gone = sorted(set(table.parts()) - set(rows.parts()))
+    if days or gone:
+        table.replace(aggregates.by_day_and_fuel(rows.read(days)), of=[*days, *gone], seen={"daily": number})
+    return days
+
+
 def recompute_aggregates(store: Store) -> None:
     """Aggregates of all daily rows in place of those of the same day and product."""
-    new = aggregates.by_day_and_fuel(store.read("daily"))
-    old = store.read("aggregates") if store.exists("aggregates") else new.limit(0)
-    rows = store.write("aggregates", replace_matching(old.select(*new.columns), new, ["day", "fuel"]))
-    assert_unique(rows, ["day", "fuel"])
+    rows, table = store.by_day("daily"), store.by_day("aggregates")
+    new = aggregates.by_day_and_fuel(rows.read())
+    old = table.read() if table.exists() else new.limit(0)
+    table.replace(replace_matching(old.select(*new.columns), new, ["day", "fuel"]), seen={"daily": rows.manifest().number})
 
 
 def refresh_stations(store: Store) -> None:
     """The stations' latest prices."""
-    new = latest.per_station(store.read("daily").drop("station_id"))
+    new = latest.per_station(store.by_day("daily").read().drop("station_id"))
     store.write("stations", merge_fields(store.read("stations", schemas.STATION), new, ["id"]))

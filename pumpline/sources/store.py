@@ -3,25 +3,33 @@
 A table `name` below the root has folders v<number>; the newest that holds a _SUCCESS marker is the table.  A
 merge that breaks off leaves the old version in force.  Files are reached by Hadoop's file systems, so the root may
 be any store that Spark reads.
+
+A table of parts (`PartTable`) has a manifest instead, so that a write makes its own days or buckets only.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
 class ImportResult:
-    """Rows of the input that came in, that were there already, and that changed a stored one."""
+    """Rows of the input that came in, that were there already, that changed a stored one, and that were malformed."""
 
     inserted: int = 0
     skipped: int = 0
     updated: int = 0
+    failed: int = 0
 
     def __add__(self, other: "ImportResult") -> "ImportResult":
-        return ImportResult(self.inserted + other.inserted, self.skipped + other.skipped, self.updated + other.updated)
+        return ImportResult(self.inserted + other.inserted, self.skipped + other.skipped, self.updated + other.updated, self.failed + other.failed)
 
 
 # merges, as functions of tables
@@ -75,8 +83,9 @@ def assert_unique(rows: DataFrame, key: list[str]) -> None:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        """buckets: of stations; a store keeps the number that it was made with."""
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -127,64 +136,176 @@ class Store:
         fs, where = self._fs(self.root)
         if not fs.exists(where):
             return []
-        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n.startswith(prefix) and self.exists(n))
+        return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(where)) if n.startswith(prefix) and (self.exists(n) or self.by_day(n).exists()))
+
+    def step(self, name: str) -> None:
+        """Called between the steps of a write; tests break off here."""
+
+    def by_day(self, name: str) -> "PartTable":
+        """A table of rows with a column `day`, by day."""
+        return PartTable(self, name, F.date_format("day", "yyyy-MM-dd"))
+
+    def bucket(self, station: str = "station") -> Column:
+        """The bucket of a station's rows."""
+        return F.format_string("b%04d", F.pmod(F.xxhash64(F.col(station)), F.lit(self.buckets)))
 
-    def by_day(self, name: str) -> "DayTable":
-        return DayTable(self, name)
+    def by_bucket(self, name: str, station: str = "station") -> "PartTable":
+        """A table by buckets of stations."""
+        return PartTable(self, name, self.bucket(station))
 
+    def by_month_and_bucket(self, name: str) -> "PartTable":
+        """A table of rows with columns `station` and `day`, by month and bucket of stations."""
+        return PartTable(self, name, F.concat_ws("-", F.date_format("day", "yyyy-MM"), self.bucket()))
 
-class DayTable:
-    """A table of rows with a column `day`, kept as a folder for each day, of which a write touches only its own days.
 
-    A write is a folder w<number> with its days below; without a _SUCCESS marker it doesn't count, so one that breaks off
-    leaves the table as it was.  After `replace` a day's rows are those of its newest write, and older ones go; after
-    `append` they are those of all writes.
+@dataclass
+class Manifest:
+    """What a table is after a commit: of each part the writes that hold its rows, and the commit that changed them last.
+
+    seen: numbers of other tables' commits that this one has been made from; schema: of the newest write, as JSON.
     """
 
-    def __init__(self, store: Store, name: str):
-        self.store, self.root = store, f"{store.root}/{name}"
-
-    def _writes(self) -> dict[int, list[str]]:
-        """The days of each finished write."""
-        fs, where = self.store._fs(self.root)
-        out: dict[int, list[str]] = {}
-        for s in fs.listStatus(where) if fs.exists(where) else []:
-            found = s.getPath()
-            number = found.getName()[1:]
-            if found.getName()[:1] == "w" and number.isdigit():
-                inside = [x.getPath().getName() for x in fs.listStatus(found)]
-                if "_SUCCESS" in inside:
-                    out[int(number)] = [x.removeprefix("part=") for x in inside if x.startswith("part=")]
-        return out
-
-    def days(self) -> list[str]:
-        return sorted({d for days in self._writes().values() for d in days})
-
-    def read(self, days: list[str] | None = None, schema: str | None = None) -> DataFrame:
-        """The rows of all or of the given days."""
-        paths = [f"{self.root}/w{n}/part={d}" for n, found in self._writes().items() for d in found if days is None or d in set(days)]
-        if paths:
-            return self.store.spark.read.parquet(*paths)
-        any_ = next((f"{self.root}/w{n}/part={d}" for n, found in self._writes().items() for d in found), None)
-        if any_:
-            return self.store.spark.read.parquet(any_).limit(0)
-        if schema is None:
+    number: int = 0
+    writes: dict[str, list[str]] = field(default_factory=dict)
+    changed: dict[str, int] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)
+    schema: str = ""
+
+    def pairs(self) -> set[tuple[str, str]]:
+        return {(w, p) for p, ws in self.writes.items() for w in ws}
+
+
+class PartTable:
+    """A table kept as a folder for each part - a day, a bucket of stations -, of which a write touches its own parts only.
+
+    Rows are written to data/<write>/part=<part>; the write counts from the moment at which the manifest that names it gets its
+    name, by one rename.  What breaks off before leaves the table as it was; what breaks off behind leaves files that nothing names, until
+    `vacuum`.  A reader keeps its version until the next commit but one.  There is one writer at a time: of two, the later
+    rename fails.  After `replace` a part's rows are those of the write, after `append` those of all its writes; a part of many
+    writes is rewritten by `compact`.  Only the commits' folder, which holds two files, is listed for a read.
+    """
+
+    #: Writes of a part before `compact` makes one of them.
+    MOST = 8
+
+    def __init__(self, store: Store, name: str, part: Column):
+        self.store, self.name, self.root, self.part = store, name, f"{store.root}/{name}", part
+
+    def _numbers(self) -> list[int]:
+        fs, where = self.store._fs(f"{self.root}/commits")
+        if not fs.exists(where):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(where)]
+        return sorted(int(n[1:]) for n in found if n[:1] == "m" and n[1:].isdigit())
+
+    def _manifest(self, number: int) -> Manifest:
+        fs, where = self.store._fs(f"{self.root}/commits/m{number}")
+        jvm = self.store.spark.sparkContext._jvm
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(where), "UTF-8"))
+        try:
+            return Manifest(**json.loads(reader.readLine()))
+        finally:
+            reader.close()
+
+    def manifest(self) -> Manifest:
+        numbers = self._numbers()
+        return self._manifest(numbers[-1]) if numbers else Manifest()
+
+    def exists(self) -> bool:
+        return bool(self._numbers())
+
+    def parts(self) -> list[str]:
+        return sorted(self.manifest().writes)
+
+    def changed_since(self, number: int) -> list[str]:
+        """Parts that were written after a commit."""
+        return sorted(p for p, n in self.manifest().changed.items() if n > number)
+
+    def read(self, parts: list[str] | None = None, schema: str | None = None) -> DataFrame:
+        """The rows of all or of the given parts; schema: of a table that was never written."""
+        now = self.manifest()
+        chosen = now.writes if parts is None else [p for p in dict.fromkeys(parts) if p in now.writes]
+        paths = [f"{self.root}/data/{w}/part={p}" for p in chosen for w in now.writes[p]]
+        if not now.schema and schema is None:
             raise FileNotFoundError(self.root)
-        return self.store.spark.createDataFrame([], schema)
+        kind = StructType.fromJson(json.loads(now.schema)) if now.schema else schema
+        return self.store.spark.read.schema(kind).parquet(*paths) if paths else self.store.spark.createDataFrame([], kind)
 
     def append(self, rows: DataFrame) -> list[str]:
-        """Rows beside those that are there; the days that were written."""
-        writes = self._writes()
-        at = max(writes, default=0) + 1
-        rows.withColumn("part", F.date_format("day", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/w{at}")
-        return self._writes().get(at, [])
-
-    def replace(self, rows: DataFrame) -> None:
-        """Rows in place of all rows of their days."""
-        before = self._writes()
-        written = set(self.append(rows))
-        for n, found in before.items():
-            for day in written & set(found):
-                self.store._delete(f"{self.root}/w{n}/part={day}")
-            if set(found) <= written:
-                self.store._delete(f"{self.root}/w{n}")
+        """Rows beside those that are there; the parts that were written."""
+        old = self.manifest()
+        write, parts = self._written(rows, old)
+        if parts:
+            writes = old.writes | {p: [*old.writes.get(p, []), write] for p in parts}
+            self._commit(old, Manifest(old.number + 1, writes, old.changed | dict.fromkeys(parts, old.number + 1), old.seen, rows.schema.json()))
+        return parts
+
+    def replace(self, rows: DataFrame, of: list[str] | None = None, seen: dict[str, int] | None = None) -> list[str]:
+        """Rows in place of all rows of their parts, and of the parts `of`, which go if they have no rows; the parts that changed."""
+        old = self.manifest()
+        write, parts = self._written(rows, old)
+        touched = [*dict.fromkeys([*parts, *(p for p in of or [] if p in old.writes)])]
+        if touched or not old.schema or (seen and old.seen | seen != old.seen):
+            writes = {p: ws for p, ws in old.writes.items() if p not in set(touched)} | {p: [write] for p in parts}
+            changed = {p: n for p, n in old.changed.items() if p in writes} | dict.fromkeys(parts, old.number + 1)
+            self._commit(old, Manifest(old.number + 1, writes, changed, old.seen | (seen or {}), rows.schema.json()))
+        return touched
+
+    def compact(self, most: int | None = None) -> list[str]:
+        """Makes one write of the parts that have more than `most`; their rows don't count as changed."""
+        old = self.manifest()
+        many = [p for p, ws in old.writes.items() if len(ws) > (most or self.MOST)]
+        if many:
+            write, parts = self._written(self.read(many), old)
+            self._commit(old, Manifest(old.number + 1, old.writes | {p: [write] for p in parts}, old.changed, old.seen, old.schema))
+        return many
+
+    def clear(self) -> None:
+        old = self.manifest()
+        if old.writes:
+            self._commit(old, Manifest(old.number + 1, schema=old.schema))
+
+    def vacuum(self) -> int:
+        """Deletes what no manifest names: the remains of what broke off.  Not beside a writer.  How many folders went."""
+        named = {pair for n in self._numbers() for pair in self._manifest(n).pairs()}
+        fs, where = self.store._fs(f"{self.root}/data")
+        gone = 0
+        for write in fs.listStatus(where) if fs.exists(where) else []:
+            name = write.getPath().getName()
+            inside = [x.getPath().getName().removeprefix("part=") for x in fs.listStatus(write.getPath()) if x.isDirectory()]
+            kept = [p for p in inside if (name, p) in named]
+            for path in [f"{self.root}/data/{name}"] if not kept else [f"{self.root}/data/{name}/part={p}" for p in set(inside) - set(kept)]:
+                self.store._delete(path)
+                gone += 1
+        return gone
+
+    def _written(self, rows: DataFrame, old: Manifest) -> tuple[str, list[str]]:
+        write = f"w{old.number + 1}-{uuid.uuid4().hex[:12]}"
+        path = f"{self.root}/data/{write}"
+        # Few files a part, and a large part in several: the rebalance splits by size.
+        dealt = rows.withColumn("part", self.part).hint("rebalance", F.col("part"))
+        dealt.write.partitionBy("part").parquet(path)
+        fs, where = self.store._fs(path)
+        self.store.step(f"{self.name} written")
+        return write, [s.getPath().getName().removeprefix("part=") for s in fs.listStatus(where) if s.isDirectory()]
+
+    def _commit(self, old: Manifest, new: Manifest) -> None:
+        final, draft = f"{self.root}/commits/m{new.number}", f"{self.root}/commits/draft-{uuid.uuid4().hex}"
+        fs, at = self.store._fs(draft)
+        out = fs.create(at)
+        out.write(bytearray(json.dumps(asdict(new)).encode()))
+        out.close()
+        _, to = self.store._fs(final)
+        if fs.exists(to) or not fs.rename(at, to):
+            self.store._delete(draft)
+            raise RuntimeError(f"{final} is there already: another writer was faster")
+        self.store.step(f"{self.name} committed")
+        for number in [n for n in self._numbers() if n < old.number]:
+            before = self._manifest(number)
+            for write, part in before.pairs() - old.pairs() - new.pairs():
+                self.store._delete(f"{self.root}/data/{write}/part={part}")
+            left = {w for w, _ in old.pairs() | new.pairs()}
+            for write in {w for w, _ in before.pairs()} - left:
+                self.store._delete(f"{self.root}/data/{write}")
+            self.store._delete(f"{self.root}/commits/m{number}")
+        self.store.step(f"{self.name} cleaned")

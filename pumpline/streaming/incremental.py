@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pumpline.functions import lists
 from pumpline.operators import daily, latest
+from pumpline.sources.closings import Closings
 from pumpline.sources.store import Store, replace_matching
 
 
@@ -70,10 +71,10 @@ def refreshed(stations: DataFrame, changed: DataFrame, depth: int | None = lates
 def process(store: Store, batch: DataFrame, fuels=None) -> DataFrame:
     """A micro-batch: new reports join the stored ones, and the daily rows that they touch are made again from all reports.
 
-    A report that is there already (by id) is taken once, so a batch that is run again changes nothing.  Reports and
-    daily rows are kept by day.  Read and written are the days of the batch, and days on which a touched station and
-    product has a row whose opening price a touched day's closing price is; of other days only closing prices of touched
-    stations are read.  The stations' lists take the new rows in; their table is written whole.  Returns the touched rows.
+    A report that is there already (by id) is taken once, so a batch that is run again - because it broke off, at whatever
+    step - changes what is lacking and nothing else.  Tables are kept by day or by bucket of stations: read and written are the days of the
+    batch, the days whose opening price is the closing price of one of these, and the buckets of the touched stations in the index of closing
+    prices and in the lists of latest rows (`latest`).  Returns the touched rows.
     """
     batch = batch.dropDuplicates(["id"]).withColumn("day", daily.day_of("date"))
     if fuels:
@@ -86,35 +87,35 @@ def process(store: Store, batch: DataFrame, fuels=None) -> DataFrame:
 
 
 def _processed(store: Store, batch: DataFrame) -> DataFrame:
-    reports, rows = store.by_day("reports"), store.by_day("daily")
+    reports, rows, closings = store.by_day("reports"), store.by_day("daily"), Closings(store)
     shown = lambda df: sorted(r[0] for r in df.select(F.date_format("day", "yyyy-MM-dd")).distinct().collect())
     touched = shown(batch)  # as many as the batch has days
     known = reports.read(touched, schema_text(batch))
-    fresh = batch.join(known.select("id"), "id", "left_anti").select(*known.columns)
-    reports.append(fresh)
-    keys = batch.groupBy("station", "fuel").agg(F.min("day").alias("from"))
-    empty = daily.daily_prices(batch.limit(0))
-    stored = rows.read(schema=schema_text(empty))
-    closings = stored.select("station", "fuel", "day", "closingPrice").join(keys, ["station", "fuel"])
+    reports.append(batch.join(known.select("id"), "id", "left_anti").select(*batch.columns))
+    keys = batch.select(*daily.KEY).distinct()
+    around = closings.around(keys)
     # The first stored day behind each touched one opens with its closing price.
-    marks = closings.select("station", "fuel", "day", F.lit(0).alias("hit")).unionByName(batch.select("station", "fuel", "day", F.lit(1).alias("hit")).distinct())
-    marks = marks.groupBy("station", "fuel", "day").agg(F.max("hit").alias("hit"))
+    marks = around.select(*daily.KEY, F.lit(0).alias("hit")).unionByName(keys.withColumn("hit", F.lit(1))).groupBy(*daily.KEY).agg(F.max("hit").alias("hit"))
     order = Window.partitionBy("station", "fuel").orderBy("day")
-    again = marks.withColumn("behind", F.lag("hit").over(order)).filter("hit = 1 or behind = 1").select("station", "fuel", "day").persist()
-    days = shown(again)
-    made = daily.by_day(reports.read(days).join(again, ["station", "fuel", "day"], "left_semi"))
-    others = closings.join(again, ["station", "fuel", "day"], "left_anti").select("station", "fuel", "day", "closingPrice")
-    opening = daily.opening_as_of(made.select("station", "fuel", "day"), made.select("station", "fuel", "day", "closingPrice").unionByName(others))
-    made = daily.with_averages(made.join(opening, ["station", "fuel", "day"])).select(*empty.columns)
-    of_days = rows.read(days, schema_text(empty))
-    rows.replace(replace_matching(of_days.select(*empty.columns), made, ["station", "fuel", "day"]))
-    again.unpersist()
-    changed = rows.read(days).join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi").select(*empty.columns)
-    stations = store.read("stations") if store.exists("stations") else None
-    if stations is None:
-        stations = batch.sparkSession.createDataFrame([], "id string")
-    store.write("stations", refreshed(stations, changed))
-    return changed
+    again = marks.withColumn("behind", F.lag("hit").over(order)).filter("hit = 1 or behind = 1").select(*daily.KEY).persist()
+    try:
+        days, key = shown(again), list(daily.KEY)
+        made = daily.by_day(reports.read(days, schema_text(batch)).join(again, key, "left_semi"))
+        others = around.join(again, key, "left_anti")
+        opening = daily.opening_as_of(made.select(*key), made.select(*key, "closingPrice").unionByName(others))
+        made = daily.with_averages(made.join(opening, key))
+        made = made.select(*daily.daily_prices(batch.limit(0)).columns)
+        schema = schema_text(made)
+        rows.replace(replace_matching(rows.read(days, schema), made, key))
+        closings.put(rows.read(days, schema).join(again, key, "left_semi"))
+        changed = rows.read(days, schema).join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi")
+        lists = store.by_bucket("latest", "id")
+        buckets = [r[0] for r in batch.select(store.bucket().alias("b")).distinct().collect()]  # as many as there are buckets at most
+        lists.replace(refreshed(lists.read(buckets, "id string") if not lists.exists() else lists.read(buckets), changed))
+        reports.compact()
+        return changed
+    finally:
+        again.unpersist()
 
 
 def schema_text(rows: DataFrame) -> str:

@@ -50,8 +50,46 @@ def test_reports(spark, files):
 @pytest.mark.parametrize("line", ["x", "x,y,z"])
 def test_rows_of_another_length_than_their_header_fail(spark, tmp_path, line):
     (tmp_path / "a.csv").write_text(f"date,station_uuid\n{line}\n")
+    for schema in ("date string, station_uuid string", "date string"):
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+            csv.read_csv(spark, str(tmp_path), schema).collect()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_fields(spark, tmp_path, end):
+    """Commas, doubled quotes and line breaks in quotes; a header in quotes; a malformed row between them."""
+    rows = ['"name","street, part",city', '"The ""Best"" Stop",Mill Lane,x', '"Two', 'Lines",, y ', 'a,b,"c,""d"""', "short,row", "last,one,z"]
+    (tmp_path / "a.csv").write_text(end.join(rows) + end)
+    (tmp_path / "b.csv").write_text("name,city\nplain,here\n")
+    (tmp_path / "c d.csv").write_text('city,name\n"one\ntwo",n\n')
+    schema = "name string, `street, part` string, city string".replace("`street, part`", "street")
+    got = csv.read_csv(spark, str(tmp_path), schema, quarantine=True).collect()
+    good = sorted((r.name, r.city) for r in got if r.bad is None)
+    assert good == sorted([('The "Best" Stop', "x"), (f"Two{chr(10)}Lines", " y "), ("a", 'c,"d"'), ("last", "z"), ("plain", "here"), ("n", "one\ntwo")])
+    assert [(r.bad, r.name, r.file.rsplit("/", 1)[1]) for r in got if r.bad is not None] == [("short,row", None, "a.csv")]
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
-        csv.read_csv(spark, str(tmp_path), "date string, station_uuid string").collect()
+        csv.read_csv(spark, str(tmp_path), schema).collect()
+
+
+def test_results_of_files(spark, files):
+    """Malformed rows go to the quarantine, with their file; results by file."""
+    store = Store(spark, str(files / "store"), buckets=4)
+    (files / "reports" / "bad.csv").write_text(REPORTS.splitlines()[0] + f'\n2024-02-25 09:00:00,{A},1.4,9.9,9.9,1,0,0\ntoo,"few"\n1,2,3,4,5,6,7,8,9\n')
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    assert imports.import_reports(spark, store, str(files / "reports")) == ImportResult(7, 1, 0, 2)
+    name = lambda r: r.file.rsplit("/", 1)[1]
+    results = {name(r): (r.inserted, r.skipped, r.failed) for r in store.by_day("import_results").read().collect()}
+    assert results == {"a.csv": (6, 0, 0), "b.csv": (0, 1, 0), "bad.csv": (1, 0, 2)}
+    assert sorted((name(r), r.bad, r.kind) for r in store.by_day("quarantine").read().collect()) == [("bad.csv", "1,2,3,4,5,6,7,8,9", "reports"), ("bad.csv", 'too,"few"', "reports")]
+
+
+def test_stations_that_are_there_several_times(spark, files):
+    """The last row of the last file counts."""
+    for name, text in (("x1.csv", "first"), ("x2.csv", "second")):
+        (files / name).write_text(STATIONS + f"{A},{text},N,s,1,1,c,1,1\n")
+    store = Store(spark, str(files / "store"))
+    imports.import_stations(spark, store, [str(files / "x1.csv"), str(files / "x2.csv")])
+    assert {r.id: r.name for r in store.read("stations").collect()}[A.lower()] == "Second"
 
 
 def test_no_files(spark, tmp_path):
@@ -78,22 +116,22 @@ def test_commands(spark, files):
     assert imports.import_stations(spark, store, str(files / "stations.csv")) == ImportResult(2, 0)
     assert imports.import_stations(spark, store, str(files / "stations.csv")) == ImportResult(0, 2)
     assert imports.import_reports(spark, store, str(files / "reports")) == ImportResult(6, 1)
-    rows = {(r.station.id, r.fuel, r.day.day): r for r in store.read("daily").collect()}
+    rows = {(r.station.id, r.fuel, r.day.day): r for r in store.by_day("daily").read().collect()}
     second = rows[A.lower(), "diesel", 20]
     assert (second.openingPrice, second.prices[0].previousPrice) == (1.629, 1.629)
     assert rows[A.lower(), "diesel", 19].openingPrice is None
-    assert store.read("aggregates").count() == 4
+    assert store.by_day("aggregates").read().count() == 4
     latest = {r.id: r for r in store.read("stations").collect()}
     assert latest[A.lower()].latestPrice["diesel"].closingPrice == 1.529 and len(latest[A.lower()].latestPrices["diesel"]) == 2
     # what is there stays, and a later import's opening price comes from it
     (files / "more.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-02-20 09:00:00,{A},9.9,9.9,9.9,1,0,0\n2024-02-22 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
     assert imports.import_reports(spark, store, str(files / "more.csv")) == ImportResult(1, 1)
-    rows = {(r.station.id, r.fuel, r.day.day): r for r in store.read("daily").collect()}
+    rows = {(r.station.id, r.fuel, r.day.day): r for r in store.by_day("daily").read().collect()}
     assert rows[A.lower(), "diesel", 20].closingPrice == 1.529 and rows[A.lower(), "diesel", 22].openingPrice == 1.529
     assert store.names("staged") == []
     imports.repair_openings(store)
     imports.import_reports(spark, store, clear=True)
-    assert store.read("daily").count() == 0
+    assert store.by_day("daily").read().count() == 0
 
 
 def test_recovery(spark, files):
@@ -118,6 +156,27 @@ def test_merges(spark):
     assert rows(upsert_stations(stations_, again, strict=True)) == [("i", "m", False)]
 
 
+def test_aggregates_follow_changed_days(spark, files):
+    """After a late import, only its days are aggregated again; all equal the full recomputation."""
+    store = Store(spark, str(files / "store"), buckets=4)
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    imports.import_reports(spark, store, str(files / "reports"))
+    table = store.by_day("aggregates")
+    assert imports.keep_aggregates(store) == [] and table.parts() == ["2024-02-19", "2024-02-20"]
+    before = table.manifest()
+    (files / "late.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-02-20 09:00:00,{B},9.9,9.9,9.9,1,0,0\n2024-02-22 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
+    imports.import_reports(spark, store, str(files / "late.csv"))
+    after = table.manifest()
+    assert {p for p, w in after.writes.items() if before.writes.get(p) != w} == {"2024-02-22"}  # of the 20th, B's row was there
+    kept = sorted(map(str, table.read().collect()))
+    imports.recompute_aggregates(store)
+    assert sorted(map(str, table.read().collect())) == kept and len(kept) == 5
+    # a run that broke off before its aggregates is made up for
+    store.by_day("daily").replace(store.by_day("daily").read(["2024-02-22"]).limit(0), of=["2024-02-22"])
+    imports.keep_aggregates(store)
+    assert table.parts() == ["2024-02-19", "2024-02-20"]
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(f"{i:02}",) for i in range(30)], "id string")
     assert [r.id for r in stations.page(rows, 2).collect()] == [f"{i:02}" for i in range(24, 30)]
