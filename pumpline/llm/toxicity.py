@@ -45,12 +45,13 @@ LEAST_DOCS, LEAST_RATIO = 4, 12.0
 LEVELS = ((1, None), (2, 250), (3, 125))
 ENDS = range(3, 9)
 STEPS = 8
-#: Entries of a worker's cache of tokens, and of a task's counts before it sends them on.
-CACHE, GATHERED = 200_000, 300_000
+#: Entries of a task's counts before it sends them on.
+GATHERED = 300_000
 WORD = re.compile(r"[^\W_]+")
 SYMBOLS = frozenset("#*$%&|<>")
 #: Signs and the letters that they stand for.
 DISGUISES = str.maketrans("013457@$", "oieastas")
+SYMBOL, DISGUISED = re.compile(r"[#*$%&|<>]"), re.compile(r"[013457@$]")
 FORMS = ("shouting", "exclamations", "symbols", "repetition", "disguised")
 #: How many voters of the lexicon fire: 0, 1, ... and all above.
 MANY = 5
@@ -127,41 +128,41 @@ def _ratio(a: Column, b: Column, all_a: int, all_b: int) -> Column:
 
 
 class Reader:
-    """Counts a lexicon's entries in texts; keeps what it knows of tokens."""
+    """Counts a lexicon's entries in texts."""
 
     def __init__(self, lexicon: list[str]):
         self.entries = {x: i for i, x in enumerate(lexicon)}
-        self.known: dict[str, tuple] = {}
-
-    def _token(self, token: str) -> tuple:
-        own = lambda t: [(len(words := WORD.findall(t)), [self.entries[x] for w in words for x in parts_of(w) if x in self.entries])][0]
-        n, ids = own(token.lower())
-        disguised = 0
-        if not token.isalpha() and not ids:
-            disguised = len(own(token.lower().translate(DISGUISES))[1])
-        return n, ids, int(token.isupper() and n > 0), int("!" in token), int(not SYMBOLS.isdisjoint(token)), disguised
+        least = ENDS[0]
+        self.starts, self.ends = {x[1 : 1 + least] for x in lexicon if x[0] == "^"}, {x[-least:] for x in lexicon if x[0] == "$"}
+        self.whole = {x[1:] for x in lexicon if x[0] == "="}
+
+    def _counts(self, words: list[str]) -> dict[int, int]:
+        """How often the words have each entry; most words have neither a beginning nor an end of any, and are done at once."""
+        starts, ends, whole, least, entries = self.starts, self.ends, self.whole, ENDS[0], self.entries
+        found = Counter([w for w in words if w[:least] in starts or w[-least:] in ends or w[:64] in whole])
+        counts: dict[int, int] = {}
+        for w, c in found.items():
+            for x in parts_of(w):
+                i = entries.get(x)
+                if i is not None:
+                    counts[i] = counts.get(i, 0) + c
+        return counts
 
     def read(self, text: str | None) -> tuple[int, dict[int, int], int]:
         """Words, counts of entries, and the forms as bits."""
-        tokens = Counter((text or "").split())
-        n, counts, marks = 0, {}, [0] * 4
-        for token, c in tokens.items():
-            got = self.known.get(token)
-            if got is None:
-                got = self._token(token)
-                if len(token) <= 64:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
-                    self.known[token] = got
-            n += c * got[0]
-            for i in got[1]:
-                counts[i] = counts.get(i, 0) + c
-            if got[2] or got[3] or got[4] or got[5]:
-                for j in range(4):
-                    marks[j] += c * (got[2 + j] > 0)
-        all_ = max(1, sum(tokens.values()))
-        forms = (2 * marks[0] >= all_, 4 * marks[1] >= all_, 4 * marks[2] >= all_, all_ >= 20 and 3 * len(tokens) <= all_, marks[3] > 0)
-        return n, counts, sum(int(f) << j for j, f in enumerate(forms)) if tokens else 0
+        tokens = (text or "").split()
+        if not tokens:
+            return 0, {}, 0
+        lowered = text.lower()
+        words = WORD.findall(lowered)
+        all_, shouted = len(tokens), sum(map(str.isupper, tokens))
+        exclaimed = sum("!" in t for t in tokens) if "!" in text else 0
+        marked = sum(not SYMBOLS.isdisjoint(t) for t in tokens) if SYMBOL.search(text) else 0
+        different = set(tokens)
+        odd = [t for t in map(str.lower, different) if not t.isalpha() and DISGUISED.search(t)] if DISGUISED.search(lowered) else []
+        disguised = any(not self._counts(WORD.findall(t)) and self._counts(WORD.findall(t.translate(DISGUISES))) for t in odd)
+        forms = (2 * shouted >= all_, 4 * exclaimed >= all_, 4 * marked >= all_, all_ >= 20 and 3 * len(different) <= all_, disguised)
+        return len(words), self._counts(words), sum(int(f) << j for j, f in enumerate(forms))
 
 
 def counted(rows: DataFrame, lexicon: list[str], columns: list[str]) -> DataFrame:
