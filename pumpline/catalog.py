@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pumpline.functions import lists, scalars
-from pumpline.operators import aggregates, charts, daily, latest, stations
+from pumpline import schemas
+from pumpline.operators import aggregates, charts, daily, latest, listing, prefixes, stations, summaries
 from pumpline.plans import domain, imports
 from pumpline.sources import csv, inline, scratch, store
 from pumpline.streaming import incremental
@@ -19,6 +20,10 @@ DAY = "2024-01-15"
 RANGE = ("2024-01-05", "2024-01-20")
 #: When reports begin to come in live, and when the first of two imports ends.
 LIVE, NOON = "2024-01-15 12:00:00", "2024-01-10 12:00:00"
+#: Files of a stream's batch.
+FILES = 4
+#: Buckets of stations in the queries' stores.
+BUCKETS = 8
 
 
 def _days(spark, sf) -> DataFrame:
@@ -296,12 +301,123 @@ def stream_daily(spark, sf):
     root = scratch.folder(spark, "stream")
     rows = domain.reports(spark, sf)
     for k in range(2):  # the second batch has late reports of all days
-        rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k).repartition(FILES).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/in")
     incremental.start(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
     return _flat(store.Store(spark, f"{root}/store").by_day("daily").read())
 
 
+class Breaking(store.Store):
+    """A store of which a write breaks off once at each of the given steps."""
+
+    def __init__(self, spark, root: str, steps, buckets: int = BUCKETS):
+        super().__init__(spark, root, buckets)
+        self.steps = list(steps)
+
+    def step(self, name: str) -> None:
+        if name in self.steps:
+            self.steps.remove(name)
+            raise InterruptedError(name)
+
+
+#: Where the batches of a stream break off: before and after a manifest's rename, and after what is old has gone.
+BREAKS = ["reports written", "daily committed", "reports committed", "daily cleaned", "daily written", "closings committed"]
+
+
+def _recovered(spark, sf) -> store.Store:
+    """A store after reports came in two batches, of which each broke off at several steps and was run again."""
+    root, rows = scratch.folder(spark, "recovered"), domain.reports(spark, sf)
+    for k in range(2):
+        batch = rows.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == k)
+        at = Breaking(spark, root, BREAKS[k::2])
+        while True:
+            try:
+                incremental.process(at, batch)
+                break
+            except InterruptedError:
+                continue
+    return store.Store(spark, root, BUCKETS)
+
+
+def stream_recovered(spark, sf):
+    """Daily rows of batches that broke off and were run again: none is lost, none is there twice."""
+    return _flat(_recovered(spark, sf).by_day("daily").read())
+
+
+def stream_aggregates(spark, sf):
+    """Aggregates that follow a stream's changed days: made after the first of two batches, kept up after the second, which has late reports."""
+    at, rows = store.Store(spark, scratch.folder(spark, "aggregates"), BUCKETS), domain.reports(spark, sf)
+    late = (F.dayofmonth("date") % 4 == 0) & (F.col("id").cast("bigint") % 2 == 0)
+    for batch in (rows.filter(~late), rows.filter(late)):
+        incremental.process(at, batch)
+        imports.keep_aggregates(at)
+    return _flat_aggregate(at.by_day("aggregates").read())
+
+
+def csv_errors(spark, sf):
+    """Results of files by folder: reports that came in, reports of unknown stations, malformed rows."""
+    root = scratch.folder(spark, "errors")
+    at = store.Store(spark, f"{root}/store", BUCKETS)
+    imports.import_stations(spark, at, domain.station_files(spark, sf, f"{root}/stations"))
+    imports.import_reports(spark, at, domain.mixed_files(spark, domain.reports(spark, sf), f"{root}/reports"), fuels=domain.FUELS)
+    rows = at.by_day("import_results").read().withColumn("folder", F.element_at(F.split("file", "/"), -2))
+    return rows.groupBy("folder").agg(*[F.sum(c).alias(c) for c in ("inserted", "skipped", "failed")])
+
+
+def csv_quoted(spark, sf):
+    """Reports of files with quotes and malformed rows."""
+    path = domain.mixed_files(spark, domain.reports(spark, sf), scratch.folder(spark, "quoted"))
+    wide = csv.read_csv(spark, path, schemas.report_csv(domain.FUELS), quarantine=True)
+    return csv.reports(wide.filter("bad is null").drop("file", "bad"), domain.FUELS).drop("id")
+
+
+def range_percentiles(spark, sf):
+    """Percentiles of a range of days by product, from kept summaries."""
+    at = store.Store(spark, scratch.folder(spark, "summaries"))
+    at.by_day("daily").append(_days_of_stations(spark, sf))
+    imports.keep_summaries(at)
+    days = [d.strftime("%Y-%m-%d") for d in charts.days_of(RANGE)]
+    rows = summaries.percentiles(at.by_day("summaries").read(days), "fuel")
+    return _rounded(rows.select("fuel", "n", "percentiles.*"), "p50", "p90", "p95", "p99")
+
+
+def postcode_percentiles(spark, sf):
+    """Percentiles of all days by post code, merged from summaries of days and products."""
+    rows = summaries.percentiles(summaries.summarised(_days_of_stations(spark, sf)), "postCode")
+    return _rounded(rows.select("postCode", "n", "percentiles.*"), "p50", "p90", "p95", "p99")
+
+
+def search_indexed(spark, sf):
+    rows = domain.stations(spark, sf)
+    index = prefixes.write(rows, scratch.folder(spark, "words"))
+    return stations.page(prefixes.searched(index, rows, " 00000012"), order=(F.desc("score"), "id")).select("id", "name", "score")
+
+
+def deep_page(spark, sf):
+    """The page in the middle of the stations, and the last one."""
+    found = listing.write(domain.stations(spark, sf).select("id", "name"), scratch.folder(spark, "listing"), parts=BUCKETS)
+    last = found.pages()
+    return found.page((last + 1) // 2).withColumn("which", F.lit("middle")).unionByName(found.page(last).withColumn("which", F.lit("last")))
+
+
+def opening_price_spread(spark, sf):
+    """Opening prices where each station's days are spread over tasks by month."""
+    rows = daily.by_day(domain.reports(spark, sf), colocate=False)
+    return daily.with_opening(rows, colocate=False).select("station", "fuel", "day", "openingPrice", "closingPrice")
+
+
+def chart_filters(spark, sf):
+    """Two charts after a visitor chose a station, a product and days: one takes the days, the other has a fixed one."""
+    from datetime import datetime
+
+    at = datetime.fromisoformat
+    chosen = {"station": STATION, "fuel": FUEL, "day": (at(RANGE[0]), at(RANGE[1]))}
+    first = charts.merged_filter({"fuel": "click", "day": (at("2024-01-01"), at("2024-01-02"))}, chosen)
+    fixed = charts.merged_filter({"day": at(DAY)}, {k: v for k, v in chosen.items() if k != "fuel"})
+    rows = _days(spark, sf)
+    return charts.price_history(charts.filtered(rows, **first)).withColumn("chart", F.lit("range")).unionByName(charts.price_history(charts.filtered(rows, **fixed)).withColumn("chart", F.lit("day")))
+
+
 def csv_reports(spark, sf):
     path = domain.report_files(spark, domain.raw_reports(spark, sf), scratch.folder(spark, "reports"))
     return csv.read_reports(spark, path, domain.FUELS).drop("id")
@@ -323,7 +439,7 @@ def _imported(spark, sf) -> tuple[store.Store, list]:
 
 
 def import_days(spark, sf):
-    rows = _imported(spark, sf)[0].read("daily")
+    rows = _imported(spark, sf)[0].by_day("daily").read()
     return _flat(rows.withColumn("station", F.col("station.id")))
 
 
@@ -333,7 +449,7 @@ def import_counts(spark, sf):
 
 
 def import_aggregates(spark, sf):
-    rows = _imported(spark, sf)[0].read("aggregates")
+    rows = _imported(spark, sf)[0].by_day("aggregates").read()
     return _rounded(rows.select("day", "fuel", "lowestPrice", "highestPrice", "weightedAveragePrice"), "weightedAveragePrice")
 
 
@@ -398,12 +514,15 @@ def zone_days(spark, sf):
 
 
 def paginator_links(spark, sf):
-    rows = [(current, i, n) for current in range(1, 10) for i, n in enumerate(stations.links(current, 9, 1))]
-    return spark.createDataFrame(rows, "current int, place int, page int")
+    """Links of every page of the stations."""
+    return stations.page_links(domain.stations(spark, sf), 1)
 
 
 def inline_rows(spark, sf):
-    return inline.sample_station(spark).select("id", "name", F.col("address.city").alias("city"), F.get("location.coordinates", F.lit(0)).alias("longitude"))
+    """Literal notes at the stations' rows, and a literal station among these."""
+    rows = store.upsert_stations(domain.stations(spark, sf), inline.sample_station(spark))
+    notes = inline.documents(spark, [("7", "seven"), ("10", "ten"), ("x", "nowhere")], "id string, note string")
+    return rows.join(notes, "id", "left").select("id", "name", F.col("address.city").alias("city"), F.get("location.coordinates", F.lit(0)).alias("longitude"), "note")
 
 
 def merged_lists(spark, sf):
@@ -425,10 +544,10 @@ daily_aggregates_exact postcode_aggregates percentile_label compound_latest late
 last_30_station_fuel stations_page favourites_page favourite_toggle station_by_id postcode_page page_count search stations_normalised
 merge_keep_existing merge_replace merge_fields chart_price_history chart_price_changes chart_difference_to_average chart_extreme_times
 chart_cheapest_times chart_expensive_times chart_day_overview chart_aggregated_overview chart_aggregated_history
-chart_difference_to_cheapest incremental_daily incremental_extremes live_latest formatting stations_upsert stations_upsert_strict
+chart_difference_to_cheapest chart_filters opening_price_spread postcode_percentiles incremental_daily incremental_extremes live_latest formatting stations_upsert stations_upsert_strict
 upsert_counts opening_repair station_formats zone_days paginator_links inline_rows merged_lists""".split()
 #: Those that write files or tables on their way.
-WRITING = """csv_reports csv_stations import_days import_counts import_aggregates import_latest stream_daily stored_toggle store_tables""".split()
+WRITING = """csv_reports csv_stations csv_errors csv_quoted stream_recovered stream_aggregates range_percentiles search_indexed deep_page import_days import_counts import_aggregates import_latest stream_daily stored_toggle store_tables""".split()
 
 
 def queries() -> dict:
@@ -478,6 +597,16 @@ _IMPORTED = _D.replace("SELECT CAST(event_id AS VARCHAR) AS id, event_id AS k, t
     "WHERE value >= 0.5)", f"JOIN customer ON c_custkey = user_id WHERE value >= 0.5 AND NOT (ts >= TIMESTAMP '{NOON}' AND (user_id, event_type, date_trunc('day', ts)) IN (SELECT (user_id, event_type, date_trunc('day', ts)) FROM events WHERE value >= 0.5 AND ts < TIMESTAMP '{NOON}')))"
 )
 
+
+def _percentiles(key: str, where: str) -> str:
+    """Each group's values in order, cut into 64 runs at most; every run's middle value as often as the run is long."""
+    return f"""WITH {_D}, {_ST}, v AS (SELECT day, fuel, postCode, average AS x FROM d JOIN st ON station = id WHERE {where}),
+p AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY day, fuel, postCode ORDER BY x) - 1 AS r FROM v WINDOW g AS (PARTITION BY day, fuel, postCode)),
+u AS (SELECT day, fuel, postCode, (r * least(64, n)) // n AS run, list(x ORDER BY x) AS xs FROM p GROUP BY ALL),
+e AS (SELECT {key}, xs[(len(xs) - 1) // 2 + 1] AS x, unnest(xs) FROM u)
+SELECT {key}, count(*) AS n, {", ".join(f"round(quantile_cont(x, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99))} FROM e GROUP BY {key}"""
+
+
 SQL = {
     "report_filter": f"WITH {_R} SELECT id, date, station, fuel, price FROM r",
     "daily_group": f"WITH {_R} SELECT station, fuel, day, CAST(row_number() OVER (PARTITION BY station, fuel, day ORDER BY date, id) - 1 AS INTEGER) AS position, id, date, price FROM r",
@@ -536,10 +665,20 @@ SQL = {
     "opening_repair": f"WITH {_D} SELECT {_KEY}, CASE WHEN day(day) % 3 = 1 THEN NULL ELSE opening END AS openingPrice, true AS openingPriceKnown, average FROM d",
     "station_formats": f"WITH {_SF} SELECT id, 'Long Road ' || houseNumber || chr(10) || postCode || ' ' || city AS address, latitude, longitude, latitude IS NOT NULL AS is_point FROM sf",
     "zone_days": f"WITH {_R} SELECT station, fuel, CAST(date_trunc('day', date + INTERVAL 2 HOUR) AS TIMESTAMP) AS day, CAST(count(*) AS INTEGER) AS n FROM r GROUP BY ALL",
-    "paginator_links": "WITH p AS (SELECT c, n FROM range(1, 10) a(c), range(1, 10) b(n) WHERE n IN (1, 9) OR abs(n - c) <= 1), "
+    "paginator_links": "WITH k AS (SELECT CAST(ceil(count(*) / 24) AS BIGINT) AS m FROM customer), p AS (SELECT c, n, m FROM k, range(1, m + 1) a(c), range(1, m + 1) b(n) WHERE n IN (1, m) OR abs(n - c) <= 1), "
     + "g AS (SELECT c, n AS page, n AS w FROM p UNION ALL SELECT c, NULL, n - 0.5 FROM (SELECT c, n, lag(n) OVER (PARTITION BY c ORDER BY n) AS m FROM p) WHERE n - m > 1) "
     + "SELECT CAST(c AS INTEGER) AS current, CAST(row_number() OVER (PARTITION BY c ORDER BY w) - 1 AS INTEGER) AS place, CAST(page AS INTEGER) AS page FROM g",
-    "inline_rows": "SELECT '00000000-0000-4000-8000-000000000001' AS id, 'Corner Station' AS name, 'Springfield' AS city, 13.4::DOUBLE AS longitude",
+    "inline_rows": f"WITH {_ST} SELECT id, name, city, NULL::DOUBLE AS longitude, CASE id WHEN '7' THEN 'seven' WHEN '10' THEN 'ten' END AS note FROM st UNION ALL SELECT '00000000-0000-4000-8000-000000000001', 'Corner Station', 'Springfield', 13.4::DOUBLE, NULL",
+    "stream_recovered": f"WITH {_D} SELECT {_FLAT} FROM d",
+    "stream_aggregates": f"WITH {_A} SELECT day, fuel, {_ROUNDED} FROM a",
+    "csv_errors": f"WITH {_R}, f AS (SELECT CASE WHEN k % 5 = 0 THEN 'mixed' WHEN hour(date) % 2 = 0 THEN 'even' ELSE 'odd' END AS folder, k % 10 = 0 AS bad, c_custkey IS NOT NULL AS known FROM r LEFT JOIN customer ON c_custkey = station::INT) SELECT folder, count(*) FILTER (known AND NOT bad) AS inserted, count(*) FILTER (NOT known AND NOT bad) AS skipped, count(*) FILTER (bad) AS failed FROM f GROUP BY folder",
+    "csv_quoted": f"WITH {_R} SELECT date_trunc('second', date)::TIMESTAMP AS date, station, fuel, price FROM r WHERE k % 10 <> 0",
+    "range_percentiles": _percentiles("fuel", f"day BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"),
+    "postcode_percentiles": _percentiles("postCode", "true"),
+    "search_indexed": f"WITH {_ST} SELECT id, name, CAST(score AS INTEGER) AS score FROM (SELECT *, " + " + ".join(f"coalesce(regexp_matches(lower({c}), '(^|[^\\pL\\pN])00000012'), false)::INT" for c in ("name", "city", "postCode")) + " AS score FROM st) WHERE score > 0 ORDER BY score DESC, id LIMIT 24",
+    "deep_page": f"WITH {_ST}, x AS (SELECT id, name, (row_number() OVER (ORDER BY id) - 1) // 24 + 1 AS page, CAST(ceil(count(*) OVER () / 24) AS BIGINT) AS last FROM st) SELECT id, name, 'middle' AS which FROM x WHERE page = (last + 1) // 2 UNION ALL SELECT id, name, 'last' FROM x WHERE page = last",
+    "opening_price_spread": f"WITH {_O} SELECT {_KEY}, opening AS openingPrice, closing AS closingPrice FROM o",
+    "chart_filters": f"WITH {_D}, x AS (SELECT day, fuel, opening AS openingPrice, closing AS closingPrice, lowest, highest, average AS weightedAveragePrice FROM d WHERE station = '{STATION}') SELECT *, 'range' AS chart FROM x WHERE {_IN} UNION ALL SELECT *, 'day' FROM x WHERE day = TIMESTAMP '{DAY}'",
     "merged_lists": f"WITH {_R}, x AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY date, id) - 1 AS i FROM r) SELECT {_KEY}, CAST(i AS INTEGER) AS place, id, CASE WHEN i < 2 THEN price * 2 ELSE price END AS price, CASE WHEN i < 2 THEN id ELSE 'none' END AS note FROM x",
     "csv_reports": f"WITH {_R} SELECT date_trunc('second', date)::TIMESTAMP AS date, station, fuel, price FROM r",
     "csv_stations": f"WITH {_SF} SELECT id, name, brand, 'Long Road' AS street, houseNumber, postCode, city, longitude, latitude, false AS favorite FROM sf",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +32,12 @@ def filtered(rows: DataFrame, station: str | None = None, fuel: str | None = Non
     return rows
 
 
+def days_of(span) -> list[date]:
+    """The days of a range, given by its first and last one as dates, times or texts."""
+    first, last = (datetime.fromisoformat(str(d)).date() for d in span)
+    return [first + timedelta(days=i) for i in range((last - first).days + 1)]
+
+
 def _midnight(d):
     return F.lit(datetime(d.year, d.month, d.day) if isinstance(d, date) else d).cast("timestamp_ntz")
 

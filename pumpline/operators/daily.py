@@ -60,27 +60,39 @@ def _station_key(rows: DataFrame) -> Column:
 def with_opening(rows: DataFrame, colocate: bool = True) -> DataFrame:
     """The opening price: the closing price of the latest earlier day that the station has for the product.
 
-    Without colocate, only keys and closing prices are dealt by station and product; lists stay where they are.
+    Without colocate, only keys and closing prices are dealt, by station, product and month; lists stay where they are.
     """
     if colocate:
         days = Window.partitionBy(_station_key(rows), "fuel").orderBy("day")
         return rows.withColumn("openingPrice", F.lag("closingPrice").over(days))
-    narrow = rows.select(_station_key(rows).alias("of"), "fuel", "day", F.lag("closingPrice").over(Window.partitionBy(_station_key(rows), "fuel").orderBy("day")).alias("openingPrice"))
+    keys = rows.select(_station_key(rows).alias("station"), "fuel", "day", "closingPrice")
+    narrow = opening_as_of(keys.drop("closingPrice"), keys, spread=True).withColumnRenamed("station", "of")
     a, b = rows.alias("a"), narrow.alias("b")
     station = F.col("a.station.id") if rows.schema["station"].dataType.typeName() == "struct" else F.col("a.station")
     joined = a.join(b, (station == F.col("b.of")) & (F.col("a.fuel") == F.col("b.fuel")) & (F.col("a.day") == F.col("b.day")))
     return joined.select("a.*", "b.openingPrice")
 
 
-def opening_as_of(probes: DataFrame, known: DataFrame) -> DataFrame:
+def opening_as_of(probes: DataFrame, known: DataFrame, spread: bool = False) -> DataFrame:
     """Opening prices of probes (station, fuel, day) from another table's closing prices, strictly earlier days only.
 
-    The two are put in one order; a probe takes the last closing price before it.  No pairs are made.
+    The two are put in one order; a probe takes the last closing price before it.  No pairs are made.  spread deals them by
+    month as well, for a station that holds much of all rows: a month's last closing price goes on to the next months that have
+    probes, so only one row a month of a station and product meets in one task.
     """
     cols = ["station", "fuel", "day"]
     both = probes.select(*cols, F.lit(None).cast("double").alias("closingPrice"), F.lit(0).alias("kind")).unionByName(known.select(*cols, "closingPrice", F.lit(1).alias("kind")))
-    before = Window.partitionBy("station", "fuel").orderBy("day", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("openingPrice", F.last("closingPrice", ignorenulls=True).over(before)).filter("kind = 0").select(*cols, "openingPrice")
+    last = lambda keys, day: F.last("closingPrice", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(day, "kind").rowsBetween(Window.unboundedPreceding, -1))
+    if not spread:
+        return both.withColumn("openingPrice", last(cols[:2], "day")).filter("kind = 0").select(*cols, "openingPrice")
+    both = both.withColumn("month", F.date_trunc("month", "day"))
+    keys = ["station", "fuel", "month"]
+    within = both.withColumn("inMonth", last(keys, "day")).filter("kind = 0").select(*cols, "month", "inMonth")
+    closing = F.max_by("closingPrice", F.when(F.col("closingPrice").isNotNull(), F.col("day")))
+    months = both.groupBy(*keys).agg(closing.alias("closingPrice"), F.min("kind").alias("kind"))
+    before = Window.partitionBy("station", "fuel").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = months.withColumn("carried", F.last("closingPrice", ignorenulls=True).over(before)).filter("kind = 0").select(*keys, "carried")
+    return within.join(carried, keys).select(*cols, F.coalesce("inMonth", "carried").alias("openingPrice"))
 
 
 def missing_opening(rows: DataFrame) -> DataFrame:

@@ -32,6 +32,17 @@ def links(current: int, last: int, around: int = 2) -> list[int | None]:
     return out
 
 
+def page_links(rows: DataFrame, around: int = 2, per_page: int = PER_PAGE) -> DataFrame:
+    """(current, place, page): the links of every page of a listing, as `links` has them; a null page is a gap."""
+    last = F.ceil(F.count("*") / per_page).cast("int")
+    pages = rows.agg(last.alias("last")).filter("last > 0").select("last", F.explode(F.sequence(F.lit(1), "last")).alias("current"))
+    near = F.sequence(F.greatest(F.lit(1), F.col("current") - around), F.least(F.col("last"), F.col("current") + around))
+    shown = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1), F.col("last")), near)))
+    before = lambda x, i: (i > 0) & (x - F.get(shown, i - 1) > 1)
+    with_gaps = F.flatten(F.transform(shown, lambda x, i: F.when(before(x, i), F.array(F.lit(None).cast("int"), x)).otherwise(F.array(x))))
+    return pages.select("current", F.posexplode(with_gaps).alias("place", "page"))
+
+
 def one(stations: DataFrame, station: str) -> DataFrame:
     return stations.filter(F.col("id") == station.lower())
 

@@ -44,6 +44,24 @@ def report_files(spark: SparkSession, rows: DataFrame, path: str) -> str:
     return path
 
 
+def mixed_files(spark: SparkSession, rows: DataFrame, path: str) -> str:
+    """Report files of which some have fields in quotes and rows that lack columns: folders `even`, `odd` and `mixed`.
+
+    Every fifth report, by id, is in `mixed`; of these, those with an even id lack their last column.
+    """
+    key = F.col("id").cast("bigint")
+    report_files(spark, rows.filter(key % 5 != 0), path)
+    own = rows.filter(key % 5 == 0)
+    price = lambda f: F.when(F.col("fuel") == f, F.concat(F.lit('"'), F.col("price").cast("string"), F.lit('"'))).otherwise("")
+    flag = lambda f: F.when(F.col("fuel") == f, "1").otherwise("0")
+    fields = [F.date_format(F.col("date").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit('"'), F.col("station"), F.lit('"')), *[price(f) for f in FUELS], *[flag(f) for f in FUELS]]
+    line = F.when(key % 2 == 0, F.concat_ws(",", *fields[:-1])).otherwise(F.concat_ws(",", *fields))
+    header = ",".join(["date", "station_uuid", *FUELS, *(f"{f}change" for f in FUELS)])
+    # Lines as the only column, whose name is the header; the separator occurs nowhere.
+    own.select(line.alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "\u0002").csv(f"{path}/mixed")
+    return path
+
+
 def station_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as rows of station files; some points are out of range."""
     rows = stations(spark, sf_dir)

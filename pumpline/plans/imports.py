@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from pumpline import schemas
-from pumpline.operators import aggregates, daily, latest, stations
+from pumpline.operators import aggregates, daily, latest, stations, summaries
 from pumpline.sources import csv
 from pumpline.sources.closings import Closings
 from pumpline.sources.store import ImportResult, PartTable, Store, merge_fields, replace_matching, result_of, upsert_stations
@@ -172,6 +172,17 @@ def keep_aggregates(store: Store) -> list[str]:
     return days
 
 
+def keep_summaries(store: Store) -> list[str]:
+    """Percentile summaries of the days that changed since they were made last; as `keep_aggregates`."""
+    rows, table = store.by_day("daily"), store.by_day("summaries")
+    number, seen = rows.manifest().number, table.manifest().seen.get("daily", 0)
+    days = rows.changed_since(seen)
+    gone = sorted(set(table.parts()) - set(rows.parts()))
+    if days or gone:
+        table.replace(summaries.summarised(rows.read(days)), of=[*days, *gone], seen={"daily": number})
+    return days
+
+
 def recompute_aggregates(store: Store) -> None:
     """Aggregates of all daily rows in place of those of the same day and product."""
     rows, table = store.by_day("daily"), store.by_day("aggregates")

@@ -96,3 +96,76 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def pick_safe(df):
     return [(r.station, str(r.day), r.openingPrice, r.closingPrice, r.weightedAveragePrice, len(r.prices)) for r in df.collect()]
+
+
+STEPS = [f"{t} {s}" for t in ("reports", "daily", "closings", "closing_months", "latest") for s in ("written", "committed", "cleaned")]
+
+
+@pytest.mark.parametrize("steps", [STEPS[i::3] for i in range(3)], ids=lambda s: ", ".join(s))
+def test_batches_that_break_off_and_run_again(spark, tmp_path, steps):
+    """Whatever step breaks off, readers see each row once, and after another run all is as if nothing had happened."""
+    from pumpline.catalog import Breaking
+
+    made = [(str(i), datetime(2024, 1 + i % 3, 1 + i % 5, i % 23, i % 60), f"s{i % 3}", "e5", 1.0 + (i * 7 % 11) / 10) for i in range(40)]
+    first, second = (spark.createDataFrame(made[k::2], REPORT) for k in range(2))
+    incremental.process(Store(spark, str(tmp_path), 4), first)
+    at = Breaking(spark, str(tmp_path), steps, buckets=4)
+    while True:
+        try:
+            incremental.process(at, second)
+            break
+        except InterruptedError:
+            keys = [(r.station, r.fuel, r.day) for r in at.by_day("daily").read().collect()]
+            assert len(keys) == len(set(keys)) and at.by_day("reports").read().count() in (20, 40)
+    assert not at.steps
+    key = lambda x: (x[0], x[1])
+    want = sorted(pick_safe(daily.daily_prices(spark.createDataFrame(made, REPORT))), key=key)
+    assert sorted(pick_safe(at.by_day("daily").read()), key=key) == want
+    days = at.by_month_and_bucket("closings").read().collect()
+    assert sorted((r.station, str(r.day), r.closingPrice) for r in days) == [(s, d, c) for s, d, _, c, _, _ in want]
+    at.by_day("daily").vacuum()
+    assert sorted(pick_safe(at.by_day("daily").read()), key=key) == want
+
+
+def test_files_of_a_batch_do_not_grow_with_stored_days(spark, tmp_path):
+    """The index of closing prices: files that are read for the neighbours of a report's day."""
+    from pumpline.sources.closings import Closings
+
+    counts = []
+    for years in (1, 6):
+        store = Store(spark, str(tmp_path / str(years)), 4)
+        rows = spark.createDataFrame([("s", "e5", datetime(2010 + y, m, d), y + m / 100 + d / 10000) for y in range(years) for m in (1, 5, 9) for d in (3, 20)], "station string, fuel string, day timestamp_ntz, closingPrice double")
+        Closings(store).put(rows)
+        keys = spark.createDataFrame([("s", "e5", datetime(2010, 5, 10)), ("s", "e5", datetime(2010, 7, 1)), ("t", "e5", datetime(2010, 5, 1))], "station string, fuel string, day timestamp_ntz")
+        around = Closings(store).around(keys)
+        counts.append(len(around.inputFiles()))
+        found = {str(r.day)[:10]: round(r.openingPrice, 6) for r in daily.opening_as_of(keys.filter("station = 's'"), around).collect()}
+        assert found == {"2010-05-10": 0.0503, "2010-07-01": 0.052}
+        later = sorted(str(r.day)[:10] for r in around.collect() if r.day > datetime(2010, 7, 1))
+        assert later[0] == "2010-09-03"  # the day behind it that opens with its closing price
+    assert counts[0] == counts[1]
+
+
+def test_appended_parts_are_compacted(spark, tmp_path):
+    """After many batches a day is held by few writes, and few folders are listed."""
+    table = Store(spark, str(tmp_path)).by_day("reports")
+    for i in range(20):
+        table.append(spark.createDataFrame([(i, datetime(2024, 1, 1 + i % 2))], "id int, day timestamp_ntz"))
+        table.compact(4)
+    assert table.read().count() == 20 and max(map(len, table.manifest().writes.values())) <= 5
+    assert len(list((tmp_path / "reports" / "commits").glob("m*"))) == 2 and len(list((tmp_path / "reports" / "data").glob("w*"))) <= 14
+    number = table.manifest().number
+    table.append(spark.createDataFrame([(99, datetime(2024, 1, 2))], "id int, day timestamp_ntz"))
+    assert table.changed_since(number) == ["2024-01-02"]
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    a, rows = store.by_day("t"), spark.createDataFrame([(1, datetime(2024, 1, 1))], "id int, day timestamp_ntz")
+    a.append(rows)
+    before = a.manifest()
+    a.append(rows)
+    a.manifest = lambda: before
+    with pytest.raises(RuntimeError, match="another writer"):
+        a.append(rows)
+    assert store.by_day("t").read().count() == 2
