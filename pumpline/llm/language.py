@@ -5,11 +5,11 @@ lower-cased and cut into blocks; each block is compressed with each language's d
 language whose blocks are the smallest in all is chosen.  `rejected` says that the next language was
 within a narrow margin of it.
 
-The dictionaries are fitted on a bounded sample of rows: per language, of the labelled rows, the SAMPLE_TEXTS with the
-smallest hashes, their texts whole.  They make one dictionary, or several of PART bytes where they are longer; a block
+The dictionaries are fitted on a bounded sample of rows: per language, of the different labelled rows, the SAMPLE_TEXTS with the
+smallest hashes, their texts whole and of SAMPLE_BYTES together at most.  They make one dictionary, or several of PART bytes where they are longer; a block
 counts with the size that the best of them gives.  Rows whose crc32(id as text) mod 5 is 0 are held out.  Prediction
 reads the whole text and nothing else.  Every language that a labelled row has is learned; where the
-dictionaries of all don't fit into a worker together, texts are read once for each group of languages that does.
+dictionaries of all don't fit into a worker together, texts are read once for each group of languages that does; the driver holds one group at a time.
 
 Defined results: `und` with score 0 for null texts and those without a letter, and for all texts if
 nothing was labelled; equal sizes go to the language with more labelled rows, then the smaller name;
@@ -19,6 +19,7 @@ an empty table; other columns aren't read.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pumpline.llm.arrow import byte_slices
-from pumpline.llm.shared import written
+from pumpline.llm.shared import discard, written
 
-#: Rows of a language that its dictionaries are made of: the sample's only bound.
-SAMPLE_TEXTS = 100
+#: Different rows of a language that its dictionaries are made of, and their bytes: the sample's only bounds.
+SAMPLE_TEXTS, SAMPLE_BYTES = 100, 4 << 20
 #: Bytes of a dictionary, and of the dictionaries that a worker holds at once (one language at least).
 PART, HELD = 1 << 20, 24 << 20
 BLOCK = 2048
@@ -46,33 +47,42 @@ def fold(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, list[bytes]]]:
-    """(language, contents of its dictionaries), the language with the most labelled rows first."""
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(l, n, r, t): per language the number of labelled rows, and its SAMPLE_TEXTS different rows with the smallest hashes, numbered."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
-    rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), 5) != 0))
-    # A row for each language, as many as the dictionaries that come to the driver below.
-    counts = docs.sparkSession.createDataFrame([(r["l"], r["count"]) for r in rows.groupBy("l").count().collect()], "l string, n bigint")
-    # Of a large language, only rows whose hash is under a bound that leaves about four times the sample are looked at.
-    near = rows.withColumn("h", F.xxhash64("i", "t")).join(F.broadcast(counts), "l").filter(F.pmod("h", F.lit(1_000_003)) * F.col("n") < F.lit(4 * SAMPLE_TEXTS * 1_000_003))
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))).filter(F.col("r") <= SAMPLE_TEXTS)
-    texts: dict[str, list[bytes]] = {}
-    for r in first.select("l", "n", "r", "t").orderBy(F.desc("n"), "l", "r").toLocalIterator():
-        texts.setdefault(r["l"], []).append(r["t"].lower().encode())
-    whole = ((lang, b"\n".join(found)) for lang, found in texts.items())
-    return [(lang, [raw[i : i + PART] for i in range(0, len(raw), PART)] or [b""]) for lang, raw in whole]
-
-
-def groups_of(learned: list[tuple[str, list[bytes]]]) -> list[list[int]]:
-    """Places of languages that a worker holds together."""
-    out, size = [[]], 0
-    for i, (_, parts) in enumerate(learned):
-        own = sum(map(len, parts))
-        if out[-1] and size + own > HELD:
-            out.append([])
-            size = 0
-        out[-1].append(i)
-        size += own
-    return out
+    rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), 5) != 0)).withColumn("h", F.xxhash64("i", "t"))
+    # Texts stay where they are until it is known which are taken; rows that repeat are one.
+    different = rows.groupBy("l", "h").agg(F.count("*").alias("n"))
+    counts = different.groupBy("l").agg(F.sum("n").alias("n"))
+    first = different.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("r") <= SAMPLE_TEXTS)
+    texts = rows.join(first, ["l", "h"]).groupBy("l", "r").agg(F.min("t").alias("t"))
+    return texts.join(counts, "l").select("l", "n", "r", "t")
+
+
+def groups_of(learned: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """(language, contents of its dictionaries) in groups that a worker holds together, languages with the most rows first.
+
+    The driver holds one group: a language has at most SAMPLE_BYTES, in whole texts; if none of its texts is that short, the beginning of one.
+    """
+    group: list[tuple[str, list[bytes]]] = []
+    held = 0
+    rows = learned.orderBy(F.desc("n"), "l", "r").select("l", "t")
+    for lang, own in itertools.groupby(rows.toLocalIterator(), key=lambda r: r["l"]):
+        texts, size, long = [], 0, None
+        for raw in (r["t"].lower().encode() for r in own):
+            if size + len(raw) < SAMPLE_BYTES:
+                texts.append(raw)
+                size += len(raw) + 1
+            elif long is None:
+                long = raw[:SAMPLE_BYTES]
+        whole = b"\n".join(texts) if texts or long is None else long
+        if group and held + len(whole) > HELD:
+            yield group
+            group, held = [], 0
+        group.append((lang, [whole[i : i + PART] for i in range(0, len(whole), PART)] or [b""]))
+        held += len(whole)
+    if group:
+        yield group
 
 
 def _compressors(parts: list[bytes]) -> list:
@@ -113,17 +123,24 @@ def verdict(sizes: list[int] | None, length: int, names: list[str]) -> tuple[str
 
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, whether it was held out, predicted language, score and whether the margin was narrow."""
-    learned = dictionaries(docs, id_col, text_col, lang_col)
-    names, groups = [lang for lang, _ in learned], groups_of(learned)
+    learned = written(samples(docs, id_col, text_col, lang_col), "samples")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (fold(F.col(id_col), 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("sizes"))
-    for group in groups[:-1]:
-        rows = written(_sized(rows, learned, group), "languages")
-    return _judged(rows, learned, groups[-1], names)
-
-
-def _sized(rows: DataFrame, learned: list, group: list[int]) -> DataFrame:
+    names: list[str] = []
+    before, group, made = None, [], []
+    for group in groups_of(learned):
+        if before is not None:
+            rows = written(_sized(rows, before), "languages")
+            discard(*made)
+            made = [rows]
+        names += [lang for lang, _ in group]
+        before = group
+    discard(learned)
+    return _judged(rows, group, names)
+
+
+def _sized(rows: DataFrame, group: list[tuple[str, list[bytes]]]) -> DataFrame:
     """The rows with the sizes of a group of languages behind those that they have."""
-    sent = tuple(tuple(learned[i][1]) for i in group)
+    sent = tuple(tuple(parts) for _, parts in group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 2):
@@ -133,9 +150,9 @@ def _sized(rows: DataFrame, learned: list, group: list[int]) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, text string, sizes array<bigint>")
 
 
-def _judged(rows: DataFrame, learned: list, group: list[int], names: list[str]) -> DataFrame:
+def _judged(rows: DataFrame, group: list[tuple[str, list[bytes]]], names: list[str]) -> DataFrame:
     """The verdicts, after the last group of languages."""
-    sent = tuple(tuple(learned[i][1]) for i in group)
+    sent = tuple(tuple(parts) for _, parts in group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 2):
