@@ -41,16 +41,17 @@ WALK = 400
 NEAR, FAR = (17, 4297), (170, 21_053)
 KEY = "pumpline-pseudonyms"
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone", "secret")
-HEAD, TAIL = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+#: What stands before and behind a value; a date may have a time behind it.
+HEAD, TAIL = r"(?<![\p{L}\p{N}_])", r"(?:(?![\p{L}\p{N}_])|(?<=\d{4}-\d{2}-\d{2})(?=[Tt]\d{2}:?\d{2}))"
 FORMS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-](?:[A-Za-z0-9.-]*[A-Za-z0-9-])?\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "ip": r"(?<!\d\.)\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
     "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4}",
-    "secret": r"[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,255}+|[rs]k_live_[A-Za-z0-9]{16,255}+|AIza[0-9A-Za-z]{35}",
+    "secret": r"[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36,}+|[rs]k_live_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z]{35}",
 }
 #: What a token begins with.
 PREFIX = r"^(?:AKIA|gh[oprsu]_|[rs]k_live_|AIza)"
