@@ -115,10 +115,16 @@ def _stored(text: Column, words: Column) -> Of:
     return lambda name: text if name == "text" else words if name == "words" else F.col(name)
 
 
+def _hashable(rows: DataFrame) -> list[Column]:
+    """The row's columns that have a hash: maps and variants have none."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema["row"].dataType.fields} if "row" in rows.columns else {}
+    return [F.col(f"row.`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+
+
 def sampled(rows: DataFrame) -> DataFrame:
     """About SAMPLE_ROWS of the rows, those with the smallest hashes, as a table of one column `text`."""
     n = rows.count()
-    hashed = F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.lit(1_000_003))
+    hashed = F.pmod(F.xxhash64("text", *_hashable(rows)), F.lit(1_000_003))
     share = min(1.0, SAMPLE_ROWS / max(n, 1))
     # Rows that are equal in all columns share a hash, hence the bound.
     return written(rows.filter(hashed < share * 1_000_003).select("text").limit(MOST_ROWS).coalesce(1), "sample")

@@ -39,6 +39,21 @@ def test_op5_pseudonyms(spark, docs):
     assert pii.report(docs([])).count() == 0
 
 
+def test_op5_values_of_any_length_and_times(spark, docs):
+    """Domains of many labels, long local parts and tokens, dates before a time; whatever is found comes back by the inverse."""
+    mail, long = "a.b@c1.c2.c3.c4.c5.c6.c7.c8.c9.com", "x" * 100 + "@" + "y" * 80 + ".museum"
+    token, live = "ghp_" + "aB3" * 140, "sk_live_" + "Zz9" * 200
+    texts = [f"to {mail}.", f"{long}, ok", token, f"key {live};", "at 2024-01-31T10:00 and 2024-01-31t10:00:05Z", "2024-01-31Tea", "see a@b..com, @x.com, a@b", "é.b@c.com é@c.org", "a.b " * 200_000 + mail]
+    there = pii.rewritten(docs(texts))
+    rows = {r.doc_id: r.text for r in there.collect()}
+    assert mail not in rows[0] and rows[0].endswith(".com.") and len(rows[0]) == len(texts[0])
+    assert long not in rows[1] and rows[1].endswith(".museum, ok") and token not in rows[2] and rows[2].startswith("ghp_") and live not in rows[3]
+    assert "2024-01-31" not in rows[4] and rows[4].count("T10:00") == 1 and rows[4].endswith("t10:00:05Z")
+    assert rows[5] == texts[5] and rows[6] == texts[6] and "b@c.com" not in rows[7] and "é@c.org" not in rows[7]
+    assert rows[8][: 4 * 200_000] == texts[8][: 4 * 200_000] and rows[8].endswith(rows[0][3:-1])
+    assert [r.text for r in pii.rewritten(there, inverse=True).orderBy("doc_id").collect()] == texts
+
+
 def test_op5_is_undone_by_its_inverse(spark, docs):
     df = docs(PII, extra=True)
     there = pii.rewritten(df)
@@ -192,6 +207,11 @@ def test_op7_leaves_passages_of_few_words(spark, docs):
     assert rows[0].n_runs == 0 and all(rows[i].n_runs == 1 and long_ not in rows[i].text for i in range(1, 20))
 
 
+def test_op9_rows_with_maps(spark):
+    rows = spark.createDataFrame([(i, "word and more words here " * 8, {"a": 1}) for i in range(30)] + [(99, None, None)], "doc_id long, text string, extra map<string,int>")
+    assert quality.filtered(rows).columns == rows.columns and quality.judged(rows).count() == 31
+
+
 def test_op8_language(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.predicted(df).join(df.select("doc_id", "lang", "text"), "doc_id").collect()
@@ -203,6 +223,28 @@ def test_op8_language(spark, docs):
     assert language.predicted(docs([])).count() == 0
 
 
+def learned_of(df):
+    return [x for group in language.groups_of(language.samples(df)) for x in group]
+
+
+def test_op8_languages_of_repeated_rows_and_very_many_labels(spark, monkeypatch):
+    """A language whose rows are all equal is learned as any other; labels come in groups; texts beyond the bound of bytes are cut once."""
+    schema = "doc_id long, text string, lang string"
+    spanish = " ".join(f"ñandú{k} llueve{k * k} ciénaga" for k in range(40))
+    rows = [(i, f"the {i} of and to which {i * 7} there", "en") for i in range(200)] + [(1, spanish, "xx")] * 3000
+    learned = dict(learned_of(spark.createDataFrame(rows, schema)))
+    assert set(learned) == {"en", "xx"} and learned["xx"] == [spanish.encode()]
+    got = language.predicted(spark.createDataFrame([*rows, (9999, spanish[50:300], None)], schema)).filter("doc_id = 9999").first()
+    assert got.lang_pred == "xx"
+    many = [(i, f"text {i} {'abc' * (i % 50)}", f"l{i % 2000}") for i in range(4000)]
+    monkeypatch.setattr(language, "HELD", 10_000)
+    groups = list(language.groups_of(language.samples(spark.createDataFrame(many, schema))))
+    assert sum(map(len, groups)) > 1900 and all(sum(len(p) for _, ps in g for p in ps) <= 10_000 for g in groups)
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 100)
+    long = dict(learned_of(spark.createDataFrame([(1, "x" * 500, "a"), (2, "y" * 60, "b"), (3, "z" * 60, "b"), (4, "w" * 500, "b")], schema)))
+    assert [len(b"".join(long[k])) for k in "ab"] == [100, 60]
+
+
 def plain_language(text, learned):
     """The language whose dictionaries compress the text's blocks best."""
     import zstandard
@@ -218,7 +260,7 @@ def plain_language(text, learned):
 
 def test_op8_against_plain_compression(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    learned = language.dictionaries(spark.read.parquet(f"{SF}/documents.parquet"))
+    learned = learned_of(spark.read.parquet(f"{SF}/documents.parquet"))
     held = [language._compressors(parts) for _, parts in learned]
     names = [n for n, _ in learned]
     same = total = 0
@@ -241,15 +283,15 @@ def test_op8_any_number_of_languages_in_groups(spark, docs, monkeypatch):
     assert sum(whole[i].lang_pred == lang for i, _, lang, *_ in rows) > 0.95 * 600
     monkeypatch.setattr(language, "HELD", 40_000)
     monkeypatch.setattr(language, "PART", 1000)
-    learned = language.dictionaries(docs(rows))
-    assert len(language.groups_of(learned)) > 3 and all(len(p) <= 1000 for _, parts in learned for p in parts) and len(learned[0][1]) > 2
+    learned = learned_of(docs(rows))
+    assert len(list(language.groups_of(language.samples(docs(rows))))) > 3 and all(len(p) <= 1000 for _, parts in learned for p in parts) and len(learned[0][1]) > 2
     grouped = {r.doc_id: r for r in language.predicted(docs([*rows, (700, None, None, "s", 0)])).collect()}
     assert sum(grouped[i].lang_pred == whole[i].lang_pred for i in whole) > 0.97 * 600 and grouped[700].lang_pred == "und"
 
 
 def test_op8_samples_are_whole_texts(spark, docs):
     text = " ".join(f"w{i}" for i in range(60_000))
-    learned = language.dictionaries(docs([(i, text, "en", "s", 0) for i in (1, 2)]))
+    learned = learned_of(docs([(i, text, "en", "s", 0) for i in (1, 2)]))
     assert b"".join(learned[0][1]).endswith(b"w59999")
 
 
