@@ -217,6 +217,14 @@ def merge_fields(spark, sf):
     return store.merge_fields(rows, new, ["id"])
 
 
+def merge_bucketed(spark, sf):
+    """As merge_fields, with stations that are stored by their id: only the new rows move."""
+    at = store.Store(spark, scratch.folder(spark, "bucketed"), BUCKETS).bucketed("stations", ["id"])
+    at.write(domain.stations(spark, sf).select("id", "name", "favorite"))
+    new = latest.latest(_days(spark, sf)).filter(F.col("fuel") == FUEL).select(F.col("station").alias("id"), F.col("day").alias("latestDay"), F.col("closingPrice").alias("latestPrice"))
+    return at.write(store.merge_fields(at.read(), new, ["id"]))
+
+
 def _chart(spark, sf, fuel: str | None = FUEL) -> DataFrame:
     from datetime import datetime
 
@@ -547,7 +555,7 @@ chart_cheapest_times chart_expensive_times chart_day_overview chart_aggregated_o
 chart_difference_to_cheapest chart_filters opening_price_spread postcode_percentiles incremental_daily incremental_extremes live_latest formatting stations_upsert stations_upsert_strict
 upsert_counts opening_repair station_formats zone_days paginator_links inline_rows merged_lists""".split()
 #: Those that write files or tables on their way.
-WRITING = """csv_reports csv_stations csv_errors csv_quoted stream_recovered stream_aggregates range_percentiles search_indexed deep_page import_days import_counts import_aggregates import_latest stream_daily stored_toggle store_tables""".split()
+WRITING = """csv_reports csv_stations csv_errors csv_quoted stream_recovered stream_aggregates range_percentiles search_indexed deep_page merge_bucketed import_days import_counts import_aggregates import_latest stream_daily stored_toggle store_tables""".split()
 
 
 def queries() -> dict:
@@ -644,6 +652,7 @@ SQL = {
     "merge_keep_existing": f"WITH {_D}, x AS ({_HALF.format(k=0)}), y AS ({_ZERO}) SELECT * FROM x UNION ALL SELECT * FROM y WHERE ({_KEY}) NOT IN (SELECT ({_KEY}) FROM x)",
     "merge_replace": f"WITH {_D}, x AS ({_HALF.format(k=0)}), y AS ({_ZERO}) SELECT * FROM y UNION ALL SELECT * FROM x WHERE ({_KEY}) NOT IN (SELECT ({_KEY}) FROM y)",
     "merge_fields": f"WITH {_O}, {_ST}, x AS (SELECT station, max(day) AS latestDay, arg_max(closing, day) AS latestPrice FROM g WHERE fuel = '{FUEL}' GROUP BY station) SELECT coalesce(station, id) AS id, name, favorite, latestDay, latestPrice FROM st FULL JOIN x ON station = id",
+    "merge_bucketed": f"WITH {_O}, {_ST}, x AS (SELECT station, max(day) AS latestDay, arg_max(closing, day) AS latestPrice FROM g WHERE fuel = '{FUEL}' GROUP BY station) SELECT coalesce(station, id) AS id, name, favorite, latestDay, latestPrice FROM st FULL JOIN x ON station = id",
     "chart_price_history": f"WITH {_D} SELECT day, fuel, opening AS openingPrice, closing AS closingPrice, lowest, highest, average AS weightedAveragePrice FROM d WHERE {_IN} AND station = '{STATION}'",
     "chart_price_changes": f"WITH {_L} SELECT day, fuel, date, price, previous AS previousPrice, price - previous AS change FROM l WHERE {_IN} AND station = '{STATION}'",
     "chart_difference_to_average": f"WITH {_L} SELECT CAST(hour(date) AS INTEGER) AS hour, round(avg(price - average), 6) AS difference, count(*) AS reports FROM l WHERE {_IN} GROUP BY ALL",

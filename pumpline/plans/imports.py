@@ -28,7 +28,7 @@ def staged_rows(spark: SparkSession, store: Store, paths, schema: str) -> tuple[
     seen = Observation()
     rows = csv.read_csv(spark, paths, schema, quarantine=True)
     rows = store.write("staged_rows", rows.observe(seen, F.count_if(F.col("bad").isNotNull()).alias("failed")))
-    failed = int(seen.get.get("failed") or 0)
+    failed = 0 if rows.isEmpty() else int(seen.get["failed"])  # nothing is observed where there is nothing
     if failed:
         kind = "stations" if "uuid" in rows.columns else "reports"
         bad = rows.filter("bad is not null").select("file", "bad", F.lit(kind).alias("kind"))
@@ -82,9 +82,11 @@ def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool =
         new = days.join(table.read(touched).select(*KEY), KEY, "left_anti") if table.exists() else days
         new = store.write("staged_new", _priced_with(new, Closings(store)).withColumn("openingPriceKnown", F.lit(True)))
         came, given = Observation(), F.count(F.lit(1)).alias("n")
-        measured("daily", lambda: table.append(new.observe(came, F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n"))), log)
-        Closings(store).put(new.withColumn("station", F.col("station_id")))
-        came = int(came.get["n"])
+        parts = measured("daily", lambda: table.append(new.observe(came, F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n"))), log)
+        # Of all staged days, so that a run that broke off behind the append is made up for.
+        stored = table.read(touched).join(days.select(*KEY), KEY, "left_semi")
+        Closings(store).put(stored.select(F.col("station_id").alias("station"), "fuel", "day", "closingPrice"))
+        came = int(came.get["n"]) if parts else 0  # nothing is observed where there is nothing
         if store.exists("staged_reports"):
             of_files = _of_files(store, new)
             result = ImportResult(came, store.read("staged_reports").agg(given).collect()[0]["n"] - came, failed=failed)

@@ -9,6 +9,7 @@ A table of parts (`PartTable`) has a manifest instead, so that a write makes its
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -153,6 +154,10 @@ class Store:
         """A table by buckets of stations."""
         return PartTable(self, name, self.bucket(station))
 
+    def bucketed(self, name: str, key: list[str], buckets: int | None = None) -> "BucketTable":
+        """A table whose rows are stored by their key."""
+        return BucketTable(self, name, key, buckets)
+
     def by_month_and_bucket(self, name: str) -> "PartTable":
         """A table of rows with columns `station` and `day`, by month and bucket of stations."""
         return PartTable(self, name, F.concat_ws("-", F.date_format("day", "yyyy-MM"), self.bucket()))
@@ -235,7 +240,7 @@ class PartTable:
         """Rows beside those that are there; the parts that were written."""
         old = self.manifest()
         write, parts = self._written(rows, old)
-        if parts:
+        if parts or not old.schema:
             writes = old.writes | {p: [*old.writes.get(p, []), write] for p in parts}
             self._commit(old, Manifest(old.number + 1, writes, old.changed | dict.fromkeys(parts, old.number + 1), old.seen, rows.schema.json()))
         return parts
@@ -309,3 +314,47 @@ class PartTable:
                 self.store._delete(f"{self.root}/data/{write}")
             self.store._delete(f"{self.root}/commits/m{number}")
         self.store.step(f"{self.name} cleaned")
+
+
+class BucketTable:
+    """A table bucketed and sorted by its key, in versions: a merge exchanges the new rows only, the stored ones stay where they are.
+
+    A version is a folder of Parquet files, one or more for each bucket; it counts from its _SUCCESS on.  The bucketing is told to the session's
+    catalog, under a name that the folder gives, so a new session knows it as well.
+    """
+
+    def __init__(self, store: Store, name: str, key: list[str], buckets: int | None = None):
+        self.store, self.name, self.key, self.buckets = store, name, key, buckets or store.buckets
+
+    def _path(self, version: int) -> str:
+        return f"{self.store.root}/{self.name}/v{version}"
+
+    def _table(self, version: int) -> str:
+        return f"pumpline_{hashlib.sha256(self._path(version).encode()).hexdigest()[:24]}"
+
+    def exists(self) -> bool:
+        return self.store.exists(self.name)
+
+    def read(self) -> DataFrame:
+        versions = self.store._versions(self.name)
+        if not versions:
+            raise FileNotFoundError(f"{self.store.root}/{self.name}")
+        spark, table = self.store.spark, self._table(versions[-1])
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(self._path(versions[-1])).schema.fields)
+            key = ", ".join(f"`{k}`" for k in self.key)
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self._path(versions[-1])}'")
+        return spark.table(table)
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        """Rows as the new version; the one before it stays until the next."""
+        versions = self.store._versions(self.name)
+        at = (versions[-1] if versions else 0) + 1
+        self.store._delete(self._path(at))
+        # A task for each bucket writes one file.
+        dealt = rows.repartition(self.buckets, *self.key)
+        dealt.write.bucketBy(self.buckets, *self.key).sortBy(*self.key).option("path", self._path(at)).format("parquet").saveAsTable(self._table(at))
+        for old in versions[:-1]:
+            self.store.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
+            self.store._delete(self._path(old))
+        return self.read()

@@ -134,6 +134,14 @@ def test_commands(spark, files):
     assert store.by_day("daily").read().count() == 0
 
 
+def test_an_import_of_no_rows(spark, files):
+    store = Store(spark, str(files / "store"), 4)
+    (files / "none").mkdir()
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    assert imports.import_reports(spark, store, str(files / "none")) == ImportResult()
+    assert imports.import_reports(spark, store, str(files / "reports" / "empty.csv")) == ImportResult()
+
+
 def test_recovery(spark, files):
     store = Store(spark, str(files / "store"))
     imports.import_stations(spark, store, str(files / "stations.csv"))
@@ -141,6 +149,21 @@ def test_recovery(spark, files):
     assert imports.import_reports(spark, store, recover=True) == ImportResult(6, 1)
 
 
+def test_an_import_that_breaks_off_behind_its_append(spark, files):
+    """Recovered, its days are there once, and later imports find their closing prices."""
+    from pumpline.catalog import Breaking
+
+    store = Store(spark, str(files / "store"), 4)
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    broken = Breaking(spark, str(files / "store"), ["daily committed"], 4)
+    with pytest.raises(InterruptedError):
+        imports.import_reports(spark, broken, str(files / "reports"))
+    assert imports.import_reports(spark, store, recover=True) == ImportResult(0, 7) and store.by_day("daily").read().count() == 5
+    (files / "more.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-04-22 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
+    imports.import_reports(spark, store, str(files / "more.csv"))
+    assert store.by_day("daily").read(["2024-04-22"]).first().openingPrice == 1.529
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", 5)], "k int, x string, y int")
     new = spark.createDataFrame([(2, "c", None), (3, "d", 7)], "k int, x string, y int")

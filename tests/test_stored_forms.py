@@ -114,3 +114,33 @@ def test_charts_read_summaries_only(spark, tmp_path):
     assert days == store.by_day("daily").parts() and imports.keep_summaries(store) == []
     chosen = summaries.percentiles(store.by_day("summaries").read(days[:3]), "fuel")
     assert all("/summaries/data/" in f for f in chosen.inputFiles()) and chosen.count() == 5
+
+
+def test_merges_into_buckets_leave_stored_rows_in_place(spark, tmp_path):
+    from pumpline.sources.store import Store, keep_existing, merge_fields, replace_matching
+
+    table = Store(spark, str(tmp_path)).bucketed("rows", ["k"], 4)
+    stored = table.write(spark.createDataFrame([(i, f"old{i}", i) for i in range(100)], "k int, x string, y int"))
+    new = spark.createDataFrame([(i, f"new{i}", None) for i in range(90, 120)], "k int, x string, y int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for merge, size in ((merge_fields, 120), (keep_existing, 120), (replace_matching, 120)):
+            merged = merge(stored, new, ["k"])
+            lines = plan(merged).split("== Initial Plan ==")[0].splitlines()
+            depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+            scans = [i for i, line in enumerate(lines) if "FileScan parquet" in line and "Bucketed: true" in line]
+            assert scans
+            if merge is merge_fields:
+                for i in scans:  # nothing above a scan of stored rows deals them anew
+                    above, at = [], depth(lines[i])
+                    for line in reversed(lines[:i]):
+                        if depth(line) < at:
+                            at = depth(line)
+                            above.append(line)
+                    assert not any("Exchange" in line for line in above)
+            assert merged.count() == size
+        assert table.write(merge_fields(table.read(), new, ["k"])).filter("k = 95").first() == (95, "new95", 95)
+        again = Store(spark.newSession(), str(tmp_path)).bucketed("rows", ["k"], 4).read()
+        assert again.count() == 120
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
