@@ -35,6 +35,8 @@ from pumpline.llm.shared import discard, written
 SAMPLE_TEXTS, SAMPLE_BYTES = 100, 4 << 20
 #: Bytes of a dictionary, and of the dictionaries that a worker holds at once (one language at least).
 PART, HELD = 1 << 20, 24 << 20
+#: Parts of a language in which its rows are limited first.
+SALTS = 64
 BLOCK = 2048
 LEVEL = 9
 #: Below this difference, as a share of the text's bytes, the choice counts as rejected.
@@ -48,15 +50,18 @@ def fold(id_col: Column, n: int) -> Column:
 
 
 def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(l, n, r, t): per language the number of labelled rows, and its SAMPLE_TEXTS different rows with the smallest hashes, numbered."""
+    """(l, n, r, t), a written table: per language the number of labelled rows, and its SAMPLE_TEXTS different rows with the smallest hashes, numbered."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (fold(F.col("i"), 5) != 0)).withColumn("h", F.xxhash64("i", "t"))
-    # Texts stay where they are until it is known which are taken; rows that repeat are one.
-    different = rows.groupBy("l", "h").agg(F.count("*").alias("n"))
-    counts = different.groupBy("l").agg(F.sum("n").alias("n"))
-    first = different.select("l", "h").withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("r") <= SAMPLE_TEXTS)
-    texts = rows.join(first, ["l", "h"]).groupBy("l", "r").agg(F.min("t").alias("t"))
-    return texts.join(counts, "l").select("l", "n", "r", "t")
+    # Rows that repeat are one; a language that many rows have is limited in parts first.
+    different = written(rows.groupBy("l", "h").agg(F.count("*").alias("n")), "labels")
+    best = lambda df, keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("r") <= SAMPLE_TEXTS)
+    first = best(best(different.withColumn("s", F.pmod("h", F.lit(SALTS))), ["l", "s"]), ["l"])
+    # A table whose size is known: where it is small, texts stay where they are.
+    first = written(first.join(different.groupBy("l").agg(F.sum("n").alias("all")), "l").select("l", "h", "r", F.col("all").alias("n")), "chosen")
+    texts = written(rows.join(first, ["l", "h"]).groupBy("l", "n", "r").agg(F.min("t").alias("t")), "samples")
+    discard(different, first)
+    return texts
 
 
 def groups_of(learned: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -123,7 +128,7 @@ def verdict(sizes: list[int] | None, length: int, names: list[str]) -> tuple[str
 
 def predicted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, whether it was held out, predicted language, score and whether the margin was narrow."""
-    learned = written(samples(docs, id_col, text_col, lang_col), "samples")
+    learned = samples(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), (fold(F.col(id_col), 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<bigint>").alias("sizes"))
     names: list[str] = []
     before, group, made = None, [], []
