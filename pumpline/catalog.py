@@ -439,7 +439,7 @@ def csv_stations(spark, sf):
 def _imported(spark, sf) -> tuple[store.Store, list]:
     """A store after stations, reports up to a day's noon, and then all reports were imported."""
     root = scratch.folder(spark, "import")
-    at, reports = store.Store(spark, f"{root}/store"), domain.reports(spark, sf)
+    at, reports = store.Store(spark, f"{root}/store", BUCKETS), domain.reports(spark, sf)
     results = [imports.import_stations(spark, at, domain.station_files(spark, sf, f"{root}/stations"))]
     for name, rows in (("first", reports.filter(F.col("date") < F.lit(NOON).cast("timestamp_ntz"))), ("all", reports)):
         results.append(imports.import_reports(spark, at, domain.report_files(spark, rows, f"{root}/{name}"), fuels=domain.FUELS))

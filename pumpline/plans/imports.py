@@ -7,10 +7,11 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from pumpline import schemas
-from pumpline.operators import aggregates, daily, latest, stations, summaries
+from pumpline.operators import aggregates, daily, stations, summaries
 from pumpline.sources import csv
 from pumpline.sources.closings import Closings
 from pumpline.sources.store import ImportResult, PartTable, Store, merge_fields, replace_matching, result_of, upsert_stations
+from pumpline.streaming import incremental
 
 KEY = ["station_id", "fuel", "day"]
 STAGES = ("staged_rows", "staged_reports", "staged_days")
@@ -61,7 +62,7 @@ def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool =
     """
     table = store.by_day("daily")
     if clear:
-        for t in (table, Closings(store).days, Closings(store).months, store.by_day("aggregates")):
+        for t in (table, Closings(store).days, Closings(store).months, store.by_day("aggregates"), store.by_day("summaries"), store.by_bucket("latest", "id")):
             t.clear()
     left = [s for s in STAGES if store.exists(s)] if recover else []
     result, failed = ImportResult(), 0
@@ -193,7 +194,26 @@ def recompute_aggregates(store: Store) -> None:
     table.replace(replace_matching(old.select(*new.columns), new, ["day", "fuel"]), seen={"daily": rows.manifest().number})
 
 
+def keep_latest(store: Store) -> list[str]:
+    """The lists of latest rows of stations that have rows on days that changed since they were made last; the days.
+
+    Rows of changed days take their places in the lists; lists of other stations aren't read.
+    """
+    rows, lists = store.by_day("daily"), store.by_bucket("latest", "id")
+    number, seen = rows.manifest().number, lists.manifest().seen.get("daily", 0)
+    days = rows.changed_since(seen)
+    if not days:
+        return []
+    changed = rows.read(days)
+    changed = changed.withColumn("station", daily._station_key(changed)).drop("station_id")
+    buckets = [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
+    old = lists.read(buckets) if lists.exists() else lists.read(buckets, "id string")
+    lists.replace(incremental.refreshed(old, changed), seen={"daily": number})
+    return days
+
+
 def refresh_stations(store: Store) -> None:
-    """The stations' latest prices."""
-    new = latest.per_station(store.by_day("daily").read().drop("station_id"))
+    """The stations' latest prices, from the lists that follow changed days."""
+    keep_latest(store)
+    new = store.by_bucket("latest", "id").read(schema="id string")
     store.write("stations", merge_fields(store.read("stations", schemas.STATION), new, ["id"]))

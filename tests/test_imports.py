@@ -134,6 +134,23 @@ def test_commands(spark, files):
     assert store.by_day("daily").read().count() == 0
 
 
+def test_latest_lists_follow_changed_days(spark, files):
+    """After several imports the lists equal those that are made from all daily rows; only touched buckets are written."""
+    from pumpline.operators import latest
+
+    store = Store(spark, str(files / "store"), 4)
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    imports.import_reports(spark, store, str(files / "reports"))
+    before = store.by_bucket("latest", "id").manifest()
+    (files / "late.csv").write_text(REPORTS.splitlines()[0] + f"\n2024-02-18 09:00:00,{A},1.9,9.9,9.9,1,0,0\n2024-02-25 09:00:00,{A},1.4,9.9,9.9,1,0,0\n")
+    imports.import_reports(spark, store, str(files / "late.csv"))
+    shown = lambda df: {r.id: {f: [(str(x.day), x.closingPrice, len(x.prices)) for x in v] for f, v in r.latestPrices.items()} for r in df.collect() if r.latestPrices}
+    kept, whole = store.by_bucket("latest", "id"), latest.per_station(store.by_day("daily").read().drop("station_id"))
+    assert shown(kept.read()) == shown(whole) == shown(store.read("stations"))
+    assert len(shown(whole)[A.lower()]["diesel"]) == 4 and len([p for p, w in kept.manifest().writes.items() if before.writes.get(p) != w]) == 1
+    assert imports.keep_latest(store) == []
+
+
 def test_an_import_of_no_rows(spark, files):
     store = Store(spark, str(files / "store"), 4)
     (files / "none").mkdir()
