@@ -10,8 +10,9 @@ until the chi-square test says that a vector nearer than the current k-th best w
 CONFIDENCE, have been projected nearer than the next one.  So a neighbour is missed with probability 1 - CONFIDENCE at most
 each; nearer ones more seldom.
 
-A query first searches one shard of its own cell, which bounds its k-th distance; it is then sent only to those
-shards whose cell the test doesn't rule out.  Within a task the points of a shard are held and the queries
+A query first searches one shard of its own cell, which bounds its k-th distance.  Then it goes to the other cells in rounds, those with the
+nearest boxes first and twice as many each round; between rounds its bound is tightened, and a cell that the test rules out
+ends it, as all further ones are farther.  So a round ships a query's vector only to shards that may still matter.  Within a task the points of a shard are held and the queries
 stream past; a shard that very many queries go to is given to as many tasks, each with a part of the queries.  Equal vectors are searched as one that stands for the smallest ids (k + 1 of them suffice for the
 k nearest), which windows limit before they shuffle; equal queries are searched once and joined back.
 
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pumpline.llm.shared import written
+from pumpline.llm.shared import discard, written
 
 PROJECTED = 24
 CONFIDENCE = 0.9
@@ -37,6 +38,8 @@ CONFIDENCE = 0.9
 SAMPLE = 20_000
 SHARD = 16_384
 CELLS = 4096
+#: Cells of a query's first round; each further round takes twice as many.
+NEAREST_CELLS = 4
 #: Queries of a shard that a task takes.
 QUERIES = 4096
 LEAF = 64
@@ -105,26 +108,6 @@ def cell_of(points: np.ndarray, splits: list[tuple]) -> np.ndarray:
     return out
 
 
-def boxes(splits: list[tuple], m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of each cell."""
-    if not splits:
-        return np.full((1, m), -np.inf), np.full((1, m), np.inf)
-    n = len(splits) + 1
-    low, high = np.full((n, m), -np.inf), np.full((n, m), np.inf)
-    todo = [(0, np.full(m, -np.inf), np.full(m, np.inf))]
-    while todo:
-        at, lo, hi = todo.pop()
-        axis, value, a, b = splits[at]
-        for child, side in ((a, 0), (b, 1)):
-            l2, h2 = lo.copy(), hi.copy()
-            (h2 if side == 0 else l2)[axis] = value
-            if child < 0:
-                low[~child], high[~child] = l2, h2
-            else:
-                todo.append((child, l2, h2))
-    return low, high
-
-
 def box_distance(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Squared distance of a point to each box."""
     gap = np.maximum(np.maximum(low - q, q - high), 0)
@@ -249,6 +232,63 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
+def _cells(placed: DataFrame, length: int) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Cells that hold vectors, their numbers of shards, and the tight boxes around their projections.
+
+    placed: (vector, cell).  A task combines its rows by cell, and what comes to the driver is a row for each of CELLS cells at most.
+    """
+    axes = range(PROJECTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = projection(length)
+        seen: dict[int, list] = {}
+        for batch in batches:
+            flat = np.asarray(batch.column(0).flatten(), np.float64).reshape(-1, length)
+            q, cell = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m, batch.column(1).to_numpy()
+            order = np.argsort(cell, kind="stable")
+            for x in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                n, low, high = seen.get(int(cell[x[0]]), (0, np.inf, -np.inf))
+                seen[int(cell[x[0]])] = [n + len(x), np.minimum(low, q[x].min(axis=0)), np.maximum(high, q[x].max(axis=0))]
+        rows = [(c, n, low.tolist(), high.tolist()) for c, (n, low, high) in seen.items()]
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["cell", "n", "low", "high"])
+
+    parts = placed.select("vector", "cell").mapInArrow(run, "cell bigint, n bigint, low array<double>, high array<double>")
+    lows, highs = F.array(*[F.min(F.col("low")[i]) for i in axes]), F.array(*[F.max(F.col("high")[i]) for i in axes])
+    found = sorted(parts.groupBy("cell").agg(F.sum("n").alias("n"), lows.alias("low"), highs.alias("high")).collect())
+    shards = [max(1, math.ceil(r["n"] / SHARD)) for r in found]
+    return np.array([r["cell"] for r in found], np.int64), shards, np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
+
+
+def _routes(queries: DataFrame, length: int, cells: tuple[np.ndarray, list[int], np.ndarray, np.ndarray], seen: int, width: int) -> DataFrame:
+    """(cell, shard, key, bound): the shards of a round that queries (cell, shard, key, vector, bound) go to, but for their own.
+
+    A query's cells are ordered by the projected distance of their boxes; a round takes those from `seen` on, `width` of them, as far as the
+    stopping test doesn't rule them out.  cells: as `_cells` has them.
+    """
+    live, sizes, lows, highs = cells
+    ratio = chi_square_bound(CONFIDENCE, PROJECTED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = projection(length)
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                flat = np.asarray(part.column(3).flatten(), np.float64).reshape(-1, length)
+                q = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m
+                take, to, shards = [], [], []
+                for i, (home, deal, bound) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist())):
+                    away = box_distance(q[i], lows, highs)
+                    order = np.argsort(away, kind="stable")[seen : seen + width]
+                    for x in order[away[order] <= ratio * bound].tolist():
+                        for s in range(sizes[x]):
+                            if (live[x], s) != (home, deal):
+                                take.append(i), to.append(int(live[x])), shards.append(s)
+                t = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(shards, pa.int32()), part.column(2).take(t), part.column(4).take(t)], ["cell", "shard", "key", "bound"])
+
+    return queries.select("cell", "shard", "key", "vector", "bound").mapInArrow(run, "cell bigint, shard int, key bigint, bound double")
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -280,39 +320,29 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
 
     placed = classes.join(wanted, ["h", "vector"], "left").select("h", "vector", "ids", "asked", F.get("ids", F.lit(0)).alias("key"))
     placed = written(placed.mapInArrow(place, "h bigint, vector array<double>, ids array<bigint>, asked boolean, key bigint, cell bigint"), "vectors")
-    sizes = {r["cell"]: max(1, math.ceil(r["count"] / SHARD)) for r in placed.groupBy("cell").count().collect()}  # at most CELLS
-    table = spark.createDataFrame([(int(c), int(s)) for c, s in sizes.items()], "cell bigint, shards int")
+    cells = _cells(placed, length)
+    table = spark.createDataFrame(list(zip(cells[0].tolist(), cells[1])), "cell bigint, shards int")  # at most CELLS rows
     placed = placed.join(F.broadcast(table), "cell").withColumn("shard", F.pmod(F.hash("key"), F.col("shards")).cast("int"))
     points = placed.select("cell", "shard", "vector", "ids")
     queries = placed.filter("asked").select("cell", "shard", "key", "vector")
     at_home = _search(points, queries.withColumn("bound", F.lit(4.0)), length, k + 1)
     at_home = written(_best(at_home, k + 1), "home")
-    # The bound holds if k + 1 neighbours were found at home; its square is 2 - 2 cos.
-    bounds = at_home.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
-    bounded = queries.join(bounds, F.col("key") == F.col("query"), "left").withColumn("bound", F.when(F.col("n") > k, 2 - 2 * F.col("least")).otherwise(4.0))
-
-    ratio = chi_square_bound(CONFIDENCE, PROJECTED)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = projection(length)
-        lows, highs = boxes(splits, PROJECTED)
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                flat = np.asarray(part.column(3).flatten(), np.float64).reshape(-1, length)
-                q = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m
-                take, cells, shards = [], [], []
-                for i, (home, deal, bound) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist())):
-                    for c in np.flatnonzero(box_distance(q[i], lows, highs) <= ratio * bound).tolist():
-                        for s in range(sizes.get(c, 0)):
-                            if (c, s) != (home, deal):
-                                take.append(i), cells.append(c), shards.append(s)
-                t = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(shards, pa.int32()), part.column(2).take(t), part.column(4).take(t)], ["cell", "shard", "key", "bound"])
-
-    # Routes are written without the vectors, which join by the query's key.
-    routed = written(bounded.select("cell", "shard", "key", "vector", "bound").mapInArrow(route, "cell bigint, shard int, key bigint, bound double"), "routes")
-    away = _search(points, routed.join(queries.select("key", "vector"), "key"), length, k + 1)
-    found = _best(at_home.select("query", "vec_id", "score").unionByName(away), k + 1).select("query", "vec_id", "score")
+    found = at_home
+    seen, width = 0, NEAREST_CELLS
+    while seen < len(cells[0]):
+        # The bound holds once k + 1 neighbours are found; its square is 2 - 2 cos.
+        bounds = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        bounded = queries.join(bounds, F.col("key") == F.col("query"), "left").withColumn("bound", F.when(F.col("n") > k, 2 - 2 * F.col("least")).otherwise(4.0))
+        # Routes are written without the vectors, which join by the query's key.
+        routed = written(_routes(bounded, length, cells, seen, width), "routes")
+        if not routed.limit(1).count():
+            discard(routed)
+            break
+        away = _search(points, routed.join(queries.select("key", "vector"), "key"), length, k + 1)
+        better = written(_best(found.select("query", "vec_id", "score").unionByName(away), k + 1), "found")
+        discard(found, routed)
+        found, seen, width = better, seen + width, 2 * width
+    found = found.select("query", "vec_id", "score")
     keys = placed.filter("asked").select("h", "vector", F.col("key").alias("query"))
     of_query = asked.select("h", "vector", F.col("vec_id").alias("query_id")).join(keys, ["h", "vector"]).select("query_id", "query")
     own = of_query.join(found, "query").filter("vec_id <> query_id")

@@ -158,6 +158,31 @@ def test_op6_verifies_few_of_clustered_vectors():
     assert hit >= 0.9 * 5 * 80 and shard.verified < 0.1 * 80 * 4000
 
 
+def test_op6_goes_to_few_shards_of_clustered_vectors(spark, monkeypatch):
+    """Over many shards: rounds from the nearest cells on stop early, and find what brute force finds."""
+    routes = []
+    written = neighbours.written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "routes":
+            routes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "written", counted)
+    monkeypatch.setattr(neighbours, "SHARD", 64)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((60, 64))
+    raw = (np.repeat(centres, 60, axis=0) + 0.15 * rng.standard_normal((3600, 64))).astype(np.float32).astype(float)
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(raw)])).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = raw / np.linalg.norm(raw, axis=1)[:, None]
+    hit = sum(len({j for j in np.argsort(-(unit @ unit[q]), kind="stable")[:6].tolist() if j != q} & got[q]) for q in range(0, 3600, 50))
+    assert set(got) == set(range(0, 3600, 50)) and hit >= 0.9 * 5 * 72
+    assert sum(routes) < 72 * 56 / 4, routes  # a quarter of all queries times shards
+
+
 def test_op6_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     raw = {r.vec_id: np.array(r.embedding, float) for r in df.collect() if r.embedding is not None}
