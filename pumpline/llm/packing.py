@@ -123,6 +123,11 @@ def cut_again(histogram: dict[int, int], cut: int, most: int = LENGTH) -> dict[i
     return out
 
 
+def dealt(made: DataFrame, groups: int) -> DataFrame:
+    """The pieces of a written table with their group; a place in the table's files tells equal rows apart, and is the same if a task runs again."""
+    return made.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.file_name", "_metadata.row_index"), F.lit(groups)).cast("int"))
+
+
 def packed(docs: DataFrame, path: str | None = None, most: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: its document, place in the document, checksum, sequence and place in the sequence."""
     spark = docs.sparkSession
@@ -135,7 +140,7 @@ def packed(docs: DataFrame, path: str | None = None, most: int = LENGTH, end_id:
     if cut < most:
         made = written(pieces(docs, path, most, cut, end_id, id_col, text_col), "pieces")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    made = made.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    made = dealt(made, groups)
     counts = made.groupBy("length", "deal").count()
     before = counts.select("length", "deal", (F.sum("count").over(Window.partitionBy("length").orderBy("deal")) - F.col("count")).alias("before"))
     numbered = made.withColumn("own", F.row_number().over(Window.partitionBy("length", "deal").orderBy("doc_id", "start")) - 1)

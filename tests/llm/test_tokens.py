@@ -110,6 +110,23 @@ def test_op4_packing(spark, docs, word, texts):
     assert len(by_seq) * 2048 - total <= max(2048, 0.04 * total)
 
 
+def test_op4_repeated_rows(spark, docs, word):
+    """Rows that are equal in all columns: each has pieces of its own, and they are spread over the groups."""
+    text = "of the " * 1500
+    rows = packing.packed(docs([(7, text, "en", "s", 1)] * 200)).collect()
+    n = len(word.encode_all([text])[0]) + 1
+    assert sum(r.length for r in rows) == 200 * n and {r.doc_id for r in rows} == {7}
+    assert set(Counter((r.start, r.length, r.ids_crc32) for r in rows).values()) == {200}
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    for parts in by_seq.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 2048
+    made = packing.written(docs([(7, text, "en", "s", 1)] * 200).selectExpr("doc_id", "0L AS start", "1L AS ids_crc32"), "pieces")
+    assert max(r["count"] for r in packing.dealt(made, 4).groupBy("deal").count().collect()) < 100
+
+
 def test_patterns_use_every_length():
     rng = random.Random(5)
     for most in (16, 2048):
