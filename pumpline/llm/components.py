@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pumpline.llm.shared import written
+from pumpline.llm.shared import discard, written
 
 
 def _checked(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = lower.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "edges")
+        last, edges = edges, written(small.filter("u <> v").distinct(), "edges")
+        discard(last)
         now = _checked(edges)
         if now == seen:
             break

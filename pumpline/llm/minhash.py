@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pumpline.llm.arrow import byte_slices
 from pumpline.llm.components import components
-from pumpline.llm.shared import written
+from pumpline.llm.shared import discard, written
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -250,8 +250,10 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id
     apart = lambda rows: rows.join(component("v"), "v", "left").join(component("u"), "u", "left").filter(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
     twos = shared.groupBy("bucket").agg(F.count("*").alias("m"), F.min_by("node", "own").alias("u"), F.max_by("node", "own").alias("v")).filter("m = 2")
     pairs = apart(twos.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"))
+    before = links, found
     links = written(links.unionByName(_confirmed(pairs, sets, percent)), "links")
     found = written(components(links), "components")
+    discard(*before)
 
     # Then, in larger buckets that still aren't one component, all with all, block by block.
     labelled = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -259,7 +261,9 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id
     members = labelled.join(open_, "bucket").join(nodes.select("node", "sketch"), "node").join(sets, "node")
     more = written(_blockwise(members, percent), "links")
     if more.limit(1).count():
-        found = written(components(links.unionByName(more)), "components")
+        last, found = found, written(components(links.unionByName(more)), "components")
+        discard(last)
+    discard(shared, sets, links, more)
 
     of_class = classes.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("of_class"))
     out = profiles.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
