@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pumpline.llm.shared import written
+from pumpline.llm.shared import discard, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A variable segment: at least so many values, and more than so large a share of the urls.
@@ -84,6 +84,7 @@ def templates(urls: DataFrame) -> DataFrame:
     tree = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), count(F.col("label")).alias("b"), count(~F.col("label")).alias("a")).withColumn("template", F.lit(""))
     columns, done, level = tree.columns, None, 0
     tree = written(tree, "urls")
+    made = [tree]
     buckets = [f"k{i}" for i in range(BUCKETS + 1)]
     while True:
         # What is alone in its node, or ends here, is done; the rest of its path is part of its template.
@@ -94,8 +95,11 @@ def templates(urls: DataFrame) -> DataFrame:
         ended = counted.filter(over).withColumn("template", rest).select(*columns)
         done = ended if done is None else done.unionByName(ended)
         alive = written(counted.filter(~over).withColumn("part", F.get("shape", F.lit(level))).withColumn("next", F.get("shape", F.lit(level + 1))), "alive")
+        made.append(alive)
         if not alive.limit(1).count():
-            return written(done, "templates")
+            out = written(done, "templates")
+            discard(*made)
+            return out
         at = F.when(F.col("next").isNull(), BUCKETS).otherwise(F.pmod(F.xxhash64("next"), F.lit(BUCKETS)))
         children = alive.groupBy("host", "template", "part").agg(F.max("all").alias("all"), F.sum("n").alias("n"), *[F.sum(F.when(at == i, F.col("n")).otherwise(0)).alias(k) for i, k in enumerate(buckets)])
         most = F.greatest(*buckets)
@@ -103,6 +107,7 @@ def templates(urls: DataFrame) -> DataFrame:
         for i in reversed(range(BUCKETS)):
             family = F.when(F.col(f"k{i}") == most, i).otherwise(family)
         children = written(children.withColumn("family", family), "children")
+        made.append(children)
         kinds = children.groupBy("host", "template").agg(F.count("*").alias("kinds"))
         pools = children.groupBy("host", "template", "family").agg(F.count("*").alias("branches"), F.sum("n").alias("pool"), *[F.sum(k).alias(f"p{k}") for k in buckets])
         chi = sum((F.when(F.col(f"p{k}") == 0, 0.0).otherwise(F.pow(F.col(k) - F.col("n") * F.col(f"p{k}") / F.col("pool"), 2) / (F.col("n") * F.col(f"p{k}") / F.col("pool"))) for k in buckets), F.lit(0.0))
@@ -112,6 +117,7 @@ def templates(urls: DataFrame) -> DataFrame:
         named = judged.select("host", "template", "part", name.alias("name"))
         moved = alive.join(named, ["host", "template", "part"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
         tree = written(moved.select(*columns), "urls")
+        made.append(tree)
         level += 1
 
 
