@@ -3,15 +3,15 @@
 Method.  Vectors are scaled to a largest component of 1 - so multiples of one another become equal and tie exactly - and to
 unit vectors, which a Gaussian matrix projects to PROJECTED dimensions, where the square of a
 projected distance over that of the true one is chi-square distributed.  A kd-tree fitted on a bounded sample
-of projections cuts that space into cells; every vector is put into its cell, cells of many vectors are dealt
-into shards of bounded size, and each shard is indexed by a kd-tree of its own.  A search visits
+of projections cuts that space into leaves; every vector is put into its leaf, neighbouring leaves form cells, leaves of many vectors are
+dealt into shards of bounded size, and each shard is indexed by a kd-tree of its own.  A search visits
 leaves and points in the order of their projected distance and verifies them on the full vectors,
 until the chi-square test says that a vector nearer than the current k-th best would, with probability
 CONFIDENCE, have been projected nearer than the next one.  So a neighbour is missed with probability 1 - CONFIDENCE at most
 each; nearer ones more seldom.
 
 A query first searches one shard of its own cell, which bounds its k-th distance.  Then it goes to the other cells in rounds, those with the
-nearest boxes first and twice as many each round; between rounds its bound is tightened, and a cell that the test rules out
+nearest boxes of leaves first and twice as many each round; between rounds its bound is tightened, and a cell that the test rules out
 ends it, as all further ones are farther.  So a round ships a query's vector only to shards that may still matter.  Within a task the points of a shard are held and the queries
 stream past; a shard that very many queries go to is given to as many tasks, each with a part of the queries.  Equal vectors are searched as one that stands for the smallest ids (k + 1 of them suffice for the
 k nearest), which windows limit before they shuffle; equal queries are searched once and joined back.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ from pumpline.llm.shared import discard, written
 
 PROJECTED = 24
 CONFIDENCE = 0.9
-#: Vectors that the cells are fitted on, vectors of a shard, and the most cells.
-SAMPLE = 20_000
+#: Vectors that the leaves are fitted on, vectors of a shard, the leaves that make up a shard, and the most leaves.
+SAMPLE = 40_000
 SHARD = 16_384
-CELLS = 4096
+PARTS = 16
+LEAVES = 8192
 #: Cells of a query's first round; each further round takes twice as many.
 NEAREST_CELLS = 4
 #: Queries of a shard that a task takes.
@@ -232,10 +234,20 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
-def _cells(placed: DataFrame, length: int) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
-    """Cells that hold vectors, their numbers of shards, and the tight boxes around their projections.
+class Cells(NamedTuple):
+    """The leaves of the kd-tree that hold vectors, in its order: the cell that each belongs to, and the tight box around its projections; shards: of each cell."""
 
-    placed: (vector, cell).  A task combines its rows by cell, and what comes to the driver is a row for each of CELLS cells at most.
+    leaf: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    shards: list[int]
+
+
+def _cells(placed: DataFrame, length: int) -> Cells:
+    """Neighbouring leaves of placed (vector, leaf) form cells of SHARD vectors at most; a larger leaf is a cell of several shards.
+
+    A task combines its rows by leaf, and what comes to the driver is a row for each of LEAVES leaves at most.
     """
     axes = range(PROJECTED)
 
@@ -244,29 +256,35 @@ def _cells(placed: DataFrame, length: int) -> tuple[np.ndarray, list[int], np.nd
         seen: dict[int, list] = {}
         for batch in batches:
             flat = np.asarray(batch.column(0).flatten(), np.float64).reshape(-1, length)
-            q, cell = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m, batch.column(1).to_numpy()
-            order = np.argsort(cell, kind="stable")
-            for x in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
-                n, low, high = seen.get(int(cell[x[0]]), (0, np.inf, -np.inf))
-                seen[int(cell[x[0]])] = [n + len(x), np.minimum(low, q[x].min(axis=0)), np.maximum(high, q[x].max(axis=0))]
+            q, leaf = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m, batch.column(1).to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            for x in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1) if len(order) else []:
+                n, low, high = seen.get(int(leaf[x[0]]), (0, np.inf, -np.inf))
+                seen[int(leaf[x[0]])] = [n + len(x), np.minimum(low, q[x].min(axis=0)), np.maximum(high, q[x].max(axis=0))]
         rows = [(c, n, low.tolist(), high.tolist()) for c, (n, low, high) in seen.items()]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["cell", "n", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["leaf", "n", "low", "high"])
 
-    parts = placed.select("vector", "cell").mapInArrow(run, "cell bigint, n bigint, low array<double>, high array<double>")
+    parts = placed.select("vector", "leaf").mapInArrow(run, "leaf bigint, n bigint, low array<double>, high array<double>")
     lows, highs = F.array(*[F.min(F.col("low")[i]) for i in axes]), F.array(*[F.max(F.col("high")[i]) for i in axes])
-    found = sorted(parts.groupBy("cell").agg(F.sum("n").alias("n"), lows.alias("low"), highs.alias("high")).collect())
-    shards = [max(1, math.ceil(r["n"] / SHARD)) for r in found]
-    return np.array([r["cell"] for r in found], np.int64), shards, np.array([r["low"] for r in found]), np.array([r["high"] for r in found])
-
-
-def _routes(queries: DataFrame, length: int, cells: tuple[np.ndarray, list[int], np.ndarray, np.ndarray], seen: int, width: int) -> DataFrame:
+    found = sorted(parts.groupBy("leaf").agg(F.sum("n").alias("n"), lows.alias("low"), highs.alias("high")).collect())
+    cell, sizes = [], []
+    for r in found:
+        if not sizes or sizes[-1] + r["n"] > SHARD:
+            sizes.append(0)
+        sizes[-1] += r["n"]
+        cell.append(len(sizes) - 1)
+    column = lambda name: np.array([r[name] for r in found])
+    return Cells(column("leaf"), np.array(cell, np.int64), column("low"), column("high"), [math.ceil(n / SHARD) for n in sizes])
+
+
+def _routes(queries: DataFrame, length: int, cells: Cells, seen: int, width: int) -> DataFrame:
     """(cell, shard, key, bound): the shards of a round that queries (cell, shard, key, vector, bound) go to, but for their own.
 
-    A query's cells are ordered by the projected distance of their boxes; a round takes those from `seen` on, `width` of them, as far as the
-    stopping test doesn't rule them out.  cells: as `_cells` has them.
+    A query's cells are ordered by the projected distance of their nearest box; a round takes those from `seen` on, `width` of them, as far as the
+    stopping test doesn't rule them out.
     """
-    live, sizes, lows, highs = cells
+    starts = np.flatnonzero(np.diff(cells.cell, prepend=-1))
     ratio = chi_square_bound(CONFIDENCE, PROJECTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +295,12 @@ def _routes(queries: DataFrame, length: int, cells: tuple[np.ndarray, list[int],
                 q = (flat / np.linalg.norm(flat, axis=1)[:, None]) @ m
                 take, to, shards = [], [], []
                 for i, (home, deal, bound) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(4).to_pylist())):
-                    away = box_distance(q[i], lows, highs)
+                    away = np.minimum.reduceat(box_distance(q[i], cells.low, cells.high), starts)
                     order = np.argsort(away, kind="stable")[seen : seen + width]
                     for x in order[away[order] <= ratio * bound].tolist():
-                        for s in range(sizes[x]):
-                            if (live[x], s) != (home, deal):
-                                take.append(i), to.append(int(live[x])), shards.append(s)
+                        for s in range(cells.shards[x]):
+                            if (x, s) != (home, deal):
+                                take.append(i), to.append(x), shards.append(s)
                 t = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(shards, pa.int32()), part.column(2).take(t), part.column(4).take(t)], ["cell", "shard", "key", "bound"])
 
@@ -309,27 +327,27 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     sample = np.array([r[0] for r in rows.filter(F.pmod("h", F.lit(1_000_003)) < share * 1_000_003).select("vector").limit(2 * SAMPLE).collect()])
     matrix = projection(length)
     low = (sample / np.linalg.norm(sample, axis=1)[:, None]) @ matrix if len(sample) else np.empty((0, PROJECTED))
-    splits = kd_cells(low, int(min(CELLS, max(1, n // SHARD))))
+    splits = kd_cells(low, int(min(LEAVES, max(1, n * PARTS // SHARD))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = projection(length)
         for batch in batches:
             flat = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, length)
-            cell = cell_of((flat / np.linalg.norm(flat, axis=1)[:, None]) @ m, splits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], [*batch.schema.names, "cell"])
+            leaf = cell_of((flat / np.linalg.norm(flat, axis=1)[:, None]) @ m, splits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], [*batch.schema.names, "leaf"])
 
     placed = classes.join(wanted, ["h", "vector"], "left").select("h", "vector", "ids", "asked", F.get("ids", F.lit(0)).alias("key"))
-    placed = written(placed.mapInArrow(place, "h bigint, vector array<double>, ids array<bigint>, asked boolean, key bigint, cell bigint"), "vectors")
+    placed = written(placed.mapInArrow(place, "h bigint, vector array<double>, ids array<bigint>, asked boolean, key bigint, leaf bigint"), "vectors")
     cells = _cells(placed, length)
-    table = spark.createDataFrame(list(zip(cells[0].tolist(), cells[1])), "cell bigint, shards int")  # at most CELLS rows
-    placed = placed.join(F.broadcast(table), "cell").withColumn("shard", F.pmod(F.hash("key"), F.col("shards")).cast("int"))
+    table = [(leaf, cell, cells.shards[cell]) for leaf, cell in zip(cells.leaf.tolist(), cells.cell.tolist())]  # at most LEAVES rows
+    placed = placed.join(F.broadcast(spark.createDataFrame(table, "leaf bigint, cell bigint, shards int")), "leaf").withColumn("shard", F.pmod(F.hash("key"), F.col("shards")).cast("int"))
     points = placed.select("cell", "shard", "vector", "ids")
     queries = placed.filter("asked").select("cell", "shard", "key", "vector")
     at_home = _search(points, queries.withColumn("bound", F.lit(4.0)), length, k + 1)
     at_home = written(_best(at_home, k + 1), "home")
     found = at_home
     seen, width = 0, NEAREST_CELLS
-    while seen < len(cells[0]):
+    while seen < len(cells.shards):
         # The bound holds once k + 1 neighbours are found; its square is 2 - 2 cos.
         bounds = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         bounded = queries.join(bounds, F.col("key") == F.col("query"), "left").withColumn("bound", F.when(F.col("n") > k, 2 - 2 * F.col("least")).otherwise(4.0))
