@@ -78,13 +78,22 @@ def seconds_between(start, end) -> Column:
 
 
 def rounded(value, digits: int) -> Column:
-    """Half to even."""
-    return F.bround(column(value), digits)
+    """Half to even, of the scaled double as it stands."""
+    return F.rint(column(value) * 10.0**digits) / 10.0**digits
 
 
 def weighted_average(prices, day, opening) -> Column:
-    """The price's average over the day's seconds, to 3 digits."""
-    total = F.aggregate(validity(prices, day, opening), F.lit(0.0), lambda acc, s: acc + seconds_between(s["start"], s["until"]) * s["price"])
+    """The price's average over the day's seconds, to 3 digits.
+
+    The reports' segments are added in their order and the one from midnight at last: a sum of doubles depends on the order, and where the
+    average lies at half a unit of its last digit, so does the rounded one.
+    """
+    prices, day, opening = column(prices), column(day), column(opening)
+    segments = validity(prices, day, opening)
+    first = F.get(prices, F.lit(0))
+    until = F.coalesce(first["date"], (day + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz"))
+    midnight = seconds_between(day, until) * F.coalesce(opening, first["price"])
+    total = F.aggregate(F.slice(segments, F.lit(2), F.size(prices)), F.lit(0.0), lambda acc, s: acc + seconds_between(s["start"], s["until"]) * s["price"]) + midnight
     return rounded(total / DAY_SECONDS, 3)
 
 

@@ -9,6 +9,7 @@ from pumpline.functions import lists
 
 PRICES = "array<struct<id: string, date: timestamp_ntz, price: double>>"
 DAY = datetime(2024, 11, 15)
+TIE = [("81450", datetime(2024, 1, 25, 10, 27, 0, 171323), 9.46), ("82004", datetime(2024, 1, 25, 14, 25, 0, 170638), 93.01)]
 
 
 def entry(hour, price, id_="a"):
@@ -31,6 +32,15 @@ def test_weighted_average(spark, opening, prices, expected):
     assert sum((s.until - s.start).total_seconds() for s in row.s) == 86400
 
 
+def test_average_at_half_a_unit(spark):
+    """A day of sf0.1 whose average is 50.7335 but for the order of additions: the segment from midnight comes last."""
+    day = datetime(2024, 1, 25)
+    df = spark.createDataFrame([(day, 27.63, TIE), (day, None, [])], f"day timestamp_ntz, opening double, prices {PRICES}")
+    assert [r.w for r in df.select(lists.weighted_average("prices", "day", "opening").alias("w")).collect()] == [50.733, None]
+    values = spark.createDataFrame([(2.0125,), (16.1255,), (None,)], "x double").select(lists.rounded("x", 3).alias("x")).collect()
+    assert [r.x for r in values] == [round(2.0125 * 1000) / 1000, round(16.1255 * 1000) / 1000, None]
+
+
 def test_extremes_and_ties(spark):
     day = [("1", datetime(2025, 6, 27, 0), 2.0), ("2", datetime(2025, 6, 27, 1), 1.0), ("3", datetime(2025, 6, 27, 2), 3.0), ("4", datetime(2025, 6, 27, 3), 3.0), ("5", datetime(2025, 6, 27, 4), 1.0)]
     df = spark.createDataFrame([(day,)], f"prices {PRICES}")
