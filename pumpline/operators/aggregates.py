@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pumpline.functions import lists
 from pumpline.functions.scalars import percentile_label
 
 SHARES = (0.5, 0.9, 0.95, 0.99)
-ACCURACY = 10_000
 
 
 def aggregated(daily: DataFrame, keys: list[Column], exact: bool = False) -> DataFrame:
-    """Average number of reports, extremes, mean of the weighted averages and percentiles of them."""
+    """Average number of reports, extremes, mean of the weighted averages and percentiles of them.
+
+    A percentile is the least average that has at least its share of all at or below it; exact: interpolated between two averages.
+    """
     w = F.col("weightedAveragePrice")
-    shares = F.array(*[F.lit(s) for s in SHARES])
-    percentiles = F.percentile(w, shares) if exact else F.percentile_approx(w, list(SHARES), ACCURACY)
-    rows = daily.groupBy(*keys).agg(
-        F.avg(F.size("prices")).alias("numChanges"),
-        F.min("lowestPrice.price").alias("lowestPrice"),
-        F.max("highestPrice.price").alias("highestPrice"),
-        F.avg(w).alias("weightedAveragePrice"),
-        percentiles.alias("percentiles"),
-    )
+    if exact:
+        rows = daily.groupBy(*keys).agg(
+            F.avg(F.size("prices")).alias("numChanges"),
+            F.min("lowestPrice.price").alias("lowestPrice"),
+            F.max("highestPrice.price").alias("highestPrice"),
+            F.avg(w).alias("weightedAveragePrice"),
+            F.percentile(w, F.array(*[F.lit(s) for s in SHARES])).alias("percentiles"),
+        )
+    else:
+        rows = _ranked(daily, keys)
     return rows.withColumn("percentiles", lists.named_percentiles("percentiles"))
 
 
+def _ranked(daily: DataFrame, keys: list[Column]) -> DataFrame:
+    """Equal averages of a group are counted first, so what is put in order are a group's different averages; no group is held in memory."""
+    w = F.col("weightedAveragePrice")
+    values = daily.groupBy(*keys, w.alias("value")).agg(
+        F.count(w).alias("n"),
+        F.sum(F.size("prices")).alias("changes"),
+        F.count(F.size("prices")).alias("lists"),
+        F.min("lowestPrice.price").alias("lowest"),
+        F.max("highestPrice.price").alias("highest"),
+    )
+    names = [c for c in values.columns if c not in ("value", "n", "changes", "lists", "lowest", "highest")]
+    group = Window.partitionBy(*names)
+    upto = group.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(group))
+    # In decimals: a share times a count has no error.
+    at = lambda s: F.min(F.when(F.col("upto") >= F.lit(Decimal(str(s))) * F.col("all"), F.col("value")))
+    return placed.groupBy(*names).agg(
+        (F.sum("changes") / F.sum("lists")).alias("numChanges"),
+        F.min("lowest").alias("lowestPrice"),
+        F.max("highest").alias("highestPrice"),
+        (F.sum(F.col("value") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0))).alias("weightedAveragePrice"),
+        F.array(*[at(s) for s in SHARES]).alias("percentiles"),
+    )
+
+
 def by_day_and_fuel(daily: DataFrame, exact: bool = False) -> DataFrame:
     return aggregated(daily, [F.col("day"), F.col("fuel")], exact)
 

@@ -51,6 +51,17 @@ def test_query(spark, duck, name):
     assert sorted(tuple(value(r[c]) for c in columns) for r in mine.collect()) == sorted(tuple(value(r[i]) for i in at) for r in theirs.fetchall())
 
 
+def test_percentiles_of_a_large_group(spark, duck):
+    """Of 120,000 averages in a group, some of them equal and some null, percentiles are those of the SQL, not near ones."""
+    from pumpline.operators import aggregates
+
+    entry_of = "struct<price: double>"
+    rows = spark.range(120_000).selectExpr("timestamp_ntz '2024-01-01' AS day", "id % 2 AS fuel", "array_repeat(1, cast(id % 3 AS int)) AS prices", f"cast(named_struct('price', 1.0D) AS {entry_of}) AS lowestPrice", f"cast(named_struct('price', 2.0D) AS {entry_of}) AS highestPrice", "CASE WHEN id % 1001 > 0 THEN (id * 7919 % 104729) / 1000D END AS weightedAveragePrice")
+    mine = aggregates.by_day_and_fuel(rows).select("fuel", "numChanges", "weightedAveragePrice", "percentiles.*").orderBy("fuel").collect()
+    theirs = duck.sql("SELECT id % 2, avg(id % 3), avg(w), " + ", ".join(f"quantile_disc(w, {q})" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM (SELECT id, CASE WHEN id % 1001 > 0 THEN (id * 7919 % 104729) / 1000::DOUBLE END AS w FROM range(120000) t(id)) GROUP BY 1 ORDER BY 1").fetchall()
+    assert [tuple(value(x) for x in r) for r in mine] == [tuple(value(x) for x in r) for r in theirs]
+
+
 def test_entry(spark):
     import __spark_entry__
 
