@@ -16,6 +16,11 @@ def capitalised(text) -> Column:
     return F.aggregate(lowered, start, lambda s, c: F.struct(F.concat(s["text"], raised(c, s["last"])).alias("text"), c.alias("last")))["text"]
 
 
+def digest(*fields) -> Column:
+    """32 hex digits that stand for the fields: half of a SHA-256."""
+    return F.substring(F.sha2(F.concat_ws("|", *[column(f) for f in fields]), 256), 1, 32)
+
+
 def point(latitude, longitude) -> Column:
     """A point, longitude first; null where a coordinate is out of range or no number."""
     lat, lon = column(latitude).try_cast("double"), column(longitude).try_cast("double")

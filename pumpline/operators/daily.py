@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pumpline.functions import lists
-from pumpline.functions.scalars import day_of
+from pumpline.functions.scalars import day_of, digest
 
 KEY = ("station", "fuel", "day")
 
@@ -46,13 +46,22 @@ def with_station(rows: DataFrame, stations: DataFrame) -> DataFrame:
 
 def by_day(reports: DataFrame, stations: DataFrame | None = None, colocate: bool = True, zone: str | None = None) -> DataFrame:
     """Daily rows with their extremes and the list with previous prices within the day."""
-    rows = with_extremes(reshaped(grouped(reports, colocate, zone)))
-    rows = rows.withColumn("id", F.sha2(F.concat_ws("|", "station", "fuel", F.col("day").cast("string")), 256))
+    rows = with_id(with_extremes(reshaped(grouped(reports, colocate, zone))))
     if stations is not None:
         rows = with_station(rows, stations)
     return rows.withColumn("prices", lists.with_previous("prices"))
 
 
+def with_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", digest(_station_key(rows), "fuel", F.col("day").cast("string")))
+
+
+def completed(rows: DataFrame) -> DataFrame:
+    """Daily rows of lists in order of date and opening prices: all else follows from these, so only these need to move."""
+    rows = with_extremes(rows.withColumn("pricesByPrice", lists.by_price("prices")))
+    return with_averages(with_id(rows).withColumn("prices", lists.with_previous("prices")))
+
+
 def _station_key(rows: DataFrame) -> Column:
     return F.col("station.id") if rows.schema["station"].dataType.typeName() == "struct" else F.col("station")
 

@@ -7,13 +7,13 @@ import time
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from pumpline import schemas
+from pumpline.functions import lists
 from pumpline.operators import aggregates, daily, stations, summaries
 from pumpline.sources import csv
 from pumpline.sources.closings import Closings
 from pumpline.sources.store import ImportResult, PartTable, Store, merge_fields, replace_matching, result_of, upsert_stations
 from pumpline.streaming import incremental
 
-KEY = ["station_id", "fuel", "day"]
 STAGES = ("staged_rows", "staged_reports", "staged_days")
 
 
@@ -74,19 +74,16 @@ def import_reports(spark: SparkSession, store: Store, paths=(), recover: bool =
         measured("reports", lambda: store.write("staged_reports", csv.reports(rows, fuels)), log)
         left.append("staged_reports")
     if left and left[-1] == "staged_reports":
-        read, known = store.read("staged_reports"), store.read("stations", schemas.STATION)
-        measured("days", lambda: store.write("staged_days", daily.by_day(read, known)), log)
+        measured("days", lambda: store.write("staged_days", _lists_of(store)), log)
         left.append("staged_days")
     if left:
-        days = store.read("staged_days").withColumn("station_id", F.col("station.id"))
-        touched = [r[0] for r in days.select(table.part).distinct().collect()]  # as many as the files have days
-        new = days.join(table.read(touched).select(*KEY), KEY, "left_anti") if table.exists() else days
-        new = store.write("staged_new", _priced_with(new, Closings(store)).withColumn("openingPriceKnown", F.lit(True)))
+        days = store.read("staged_days")
+        marked = store.write("staged_new", _marked(store, table, days))
+        new = marked.filter("is_new").select("station", "fuel", "day", "prices", "openingPrice")
         came, given = Observation(), F.count(F.lit(1)).alias("n")
-        parts = measured("daily", lambda: table.append(new.observe(came, F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n"))), log)
+        parts = measured("daily", lambda: table.append(new.observe(came, F.coalesce(F.sum(F.size("prices")), F.lit(0)).alias("n")), _completed), log)
         # Of all staged days, so that a run that broke off behind the append is made up for.
-        stored = table.read(touched).join(days.select(*KEY), KEY, "left_semi")
-        Closings(store).put(stored.select(F.col("station_id").alias("station"), "fuel", "day", "closingPrice"))
+        Closings(store).put(marked.select(F.col("station.id").alias("station"), "fuel", "day", "closingPrice"))
         came = int(came.get["n"]) if parts else 0  # nothing is observed where there is nothing
         if store.exists("staged_reports"):
             of_files = _of_files(store, new)
@@ -109,7 +106,7 @@ def _of_files(store: Store, new: DataFrame) -> DataFrame:
     if "file" not in reports.columns:
         return store.spark.createDataFrame([], "file string, inserted bigint, skipped bigint, failed bigint")
     counts = reports.groupBy("file", "station", "fuel", daily.day_of("date").alias("day")).agg(F.count("*").alias("n"))
-    came = new.select(F.col("station_id").alias("station"), "fuel", "day", F.lit(True).alias("came"))
+    came = new.select(F.col("station.id").alias("station"), "fuel", "day", F.lit(True).alias("came"))
     counts = counts.join(came, ["station", "fuel", "day"], "left").groupBy("file").agg(F.sum(F.when(F.col("came"), F.col("n")).otherwise(0)).alias("inserted"), F.sum(F.when(F.col("came"), 0).otherwise(F.col("n"))).alias("skipped"))
     if not store.exists("staged_rows"):
         return counts.withColumn("failed", F.lit(0).cast("bigint"))
@@ -118,13 +115,42 @@ def _of_files(store: Store, new: DataFrame) -> DataFrame:
     return failed.join(counts, "file", "left").select("file", zero("inserted"), zero("skipped"), "failed")
 
 
-def _priced_with(days: DataFrame, closings: Closings) -> DataFrame:
-    """New daily rows whose opening prices also come from the rows that are there."""
-    keys = days.select(F.col("station_id").alias("station"), "fuel", "day", "closingPrice")
-    seen = closings.around(keys).join(keys, ["station", "fuel", "day"], "left_anti")
-    before = daily.opening_as_of(keys.drop("closingPrice"), keys.unionByName(seen))
-    rows = days.join(before.withColumnRenamed("station", "station_id"), KEY)
-    return daily.with_averages(rows)
+def _lists_of(store: Store) -> DataFrame:
+    """(station, fuel, day, prices): lists in order of date of the staged reports of known stations.
+
+    Reports are dealt by station, for the stations' join and the grouping; or, where the stations' ids are few, by group.
+    """
+    known = store.read("stations", schemas.STATION).select(F.col("id").alias("station"))
+    rows = store.read("staged_reports").select("id", "date", "station", "fuel", "price").join(known, "station", "left_semi")
+    return daily.grouped(rows, colocate=False).select("station", "fuel", "day", lists.by_date("prices").alias("prices"))
+
+
+def _marked(store: Store, table: PartTable, days: DataFrame) -> DataFrame:
+    """Staged days with their station, opening price and `is_new`; those that are stored already have the stored closing price and no list.
+
+    Staged days, the stored ones of the same days and the index's closing prices of other days are put in one order, so lists move once.
+    """
+    touched = [r[0] for r in days.select(table.part).distinct().collect()]  # as many as the files have days
+    cols = ["station", "fuel", "day", "closingPrice"]
+    rows = days.withColumn("closingPrice", lists.closing("prices")).withColumn("kind", F.lit(2))
+    if table.exists():
+        stored = table.read(touched).select(F.col("station_id").alias("station"), *cols[1:], F.lit(1).alias("kind"))
+        others = Closings(store).touched(days).filter(~table.part.isin(touched)).select(*cols, F.lit(0).alias("kind"))
+        rows = rows.unionByName(stored.unionByName(others), allowMissingColumns=True)
+    order = Window.partitionBy("station", "fuel").orderBy("day", "kind")
+    before = lambda c: F.lag(c).over(order)
+    is_new = (F.col("kind") == 2) & ~F.coalesce((before("day") == F.col("day")) & (before("kind") == 1), F.lit(False))
+    rows = rows.repartition("station").withColumn("is_new", is_new).withColumn("stored", before("closingPrice"))
+    rows = rows.withColumn("closingPrice", F.when((F.col("kind") < 2) | F.col("is_new"), F.col("closingPrice")))
+    earlier = F.last("closingPrice", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("openingPrice", earlier).filter("kind = 2")
+    rows = rows.withColumn("closingPrice", F.when(F.col("is_new"), F.col("closingPrice")).otherwise(F.col("stored")))
+    rows = rows.select(*cols, F.when(F.col("is_new"), F.col("prices")).alias("prices"), F.when(F.col("is_new"), F.col("openingPrice")).alias("openingPrice"), "is_new")
+    return daily.with_station(rows, store.read("stations", schemas.STATION))
+
+
+def _completed(rows: DataFrame) -> DataFrame:
+    return daily.completed(rows).withColumn("station_id", F.col("station.id")).withColumn("openingPriceKnown", F.lit(True))
 
 
 def openings_repaired(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -206,14 +232,16 @@ def keep_latest(store: Store) -> list[str]:
         return []
     changed = rows.read(days)
     changed = changed.withColumn("station", daily._station_key(changed)).drop("station_id")
-    buckets = [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
-    old = lists.read(buckets) if lists.exists() else lists.read(buckets, "id string")
-    lists.replace(incremental.refreshed(old, changed), seen={"daily": number})
+    incremental.put_lists(store, changed, seen={"daily": number})
     return days
 
 
 def refresh_stations(store: Store) -> None:
-    """The stations' latest prices, from the lists that follow changed days."""
+    """The stations' latest prices: those of the lists that follow changed days; a station without a list has none."""
     keep_latest(store)
     new = store.by_bucket("latest", "id").read(schema="id string")
-    store.write("stations", merge_fields(store.read("stations", schemas.STATION), new, ["id"]))
+    known = store.read("stations", schemas.STATION).drop("latestPrice", "latestPrices")
+    rows = merge_fields(known, new.drop("latestPrice"), ["id"])
+    if "latestPrices" in rows.columns:
+        rows = rows.withColumn("latestPrice", incremental.firsts("latestPrices"))
+    store.write("stations", rows)

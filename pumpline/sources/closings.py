@@ -40,18 +40,22 @@ class Closings:
 
         Of the keys' months all days, of others the first and the last; a first day that isn't the last one, too, has no price here.
         """
-        days, buckets = self._parts(keys)
         of = keys.select("station", "fuel").distinct()
-        near = self.days.read(days, CLOSING).join(of, ["station", "fuel"], "left_semi")
-        far = self.months.read(buckets, MONTH).join(of, ["station", "fuel"], "left_semi")
+        return self.touched(keys).join(of, ["station", "fuel"], "left_semi").groupBy(*KEY).agg(F.max("closingPrice").alias("closingPrice"))
+
+    def touched(self, keys: DataFrame) -> DataFrame:
+        """As `around`, of all stations of the parts that the keys touch; nothing moves for it, and a row may be there twice."""
+        days, buckets = self._parts(keys)
+        near, far = self.days.read(days, CLOSING), self.months.read(buckets, MONTH)
         far = far.select("station", "fuel", F.explode(F.array(F.struct(F.col("first").alias("day"), F.lit(None).cast("double").alias("closingPrice")), F.struct(F.col("last").alias("day"), "closingPrice"))).alias("x")).select("station", "fuel", "x.*")
-        return near.select(*KEY, "closingPrice").unionByName(far).groupBy(*KEY).agg(F.max("closingPrice").alias("closingPrice"))
+        return near.select(*KEY, "closingPrice").unionByName(far)
 
     def put(self, rows: DataFrame) -> None:
         """Closing prices of new or changed daily rows (station, fuel, day, closingPrice)."""
         rows = rows.select(*KEY, "closingPrice")
         days, buckets = self._parts(rows)
-        self.days.replace(replace_matching(self.days.read(days, CLOSING), rows, KEY))
+        both = self.days.read(days, CLOSING).withColumn("is_new", F.lit(False)).unionByName(rows.withColumn("is_new", F.lit(True)))
+        self.days.replace(both.groupBy(*KEY).agg(F.max_by("closingPrice", "is_new").alias("closingPrice")))
         touched = rows.select("station", "fuel", month_of("day").alias("month")).distinct()
         now = by_month(self.days.read(days, CLOSING)).join(touched, ["station", "fuel", "month"], "left_semi")
         self.months.replace(replace_matching(self.months.read(buckets, MONTH), now, ["station", "fuel", "month"]))

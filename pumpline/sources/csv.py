@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pumpline import schemas
-from pumpline.functions.scalars import capitalised, point
+from pumpline.functions.scalars import capitalised, digest, point
 
 LEAST_PRICE = 0.5
 #: The column of malformed rows while files are read.
@@ -114,7 +114,7 @@ def reports(wide: DataFrame, fuels=schemas.FUELS, least: float = LEAST_PRICE) ->
     at = F.when(offset, utc).otherwise(F.substring(F.col("date").try_cast("timestamp_ntz").cast("string"), 1, 19).try_cast("timestamp_ntz"))
     station = F.lower("station_uuid")
     return rows.filter((F.col("change") == "1") & (F.col("price").try_cast("double") >= least)).select(
-        F.sha2(F.concat_ws("|", station, "fuel", "date", "price"), 256).alias("id"),
+        digest(station, "fuel", "date", "price").alias("id"),
         at.alias("date"),
         station.alias("station"),
         "fuel",

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 64
+#: Of stored files: half of what the default leaves of ids, which are digests.
+COMPRESSION = "zstd"
 
 
 @dataclass(frozen=True)
@@ -115,7 +117,7 @@ class Store:
         """rows as the table's new version; the version before it stays until the next one."""
         versions = self._versions(name)
         at = (versions[-1] if versions else 0) + 1
-        writer = rows.write.mode("overwrite")
+        writer = rows.write.mode("overwrite").option("compression", COMPRESSION)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/v{at}")
         for old in versions[:-1]:
             self._delete(f"{self.root}/{name}/v{old}")
@@ -236,24 +238,30 @@ class PartTable:
         kind = StructType.fromJson(json.loads(now.schema)) if now.schema else schema
         return self.store.spark.read.schema(kind).parquet(*paths) if paths else self.store.spark.createDataFrame([], kind)
 
-    def append(self, rows: DataFrame) -> list[str]:
-        """Rows beside those that are there; the parts that were written."""
+    def append(self, rows: DataFrame, finish=None) -> list[str]:
+        """Rows beside those that are there; the parts that were written.
+
+        finish: makes the table's rows of the given ones, which are dealt to their parts before; it keeps the column `part`.
+        """
         old = self.manifest()
-        write, parts = self._written(rows, old)
+        write, parts, schema = self._written(rows, old, finish)
         if parts or not old.schema:
             writes = old.writes | {p: [*old.writes.get(p, []), write] for p in parts}
-            self._commit(old, Manifest(old.number + 1, writes, old.changed | dict.fromkeys(parts, old.number + 1), old.seen, rows.schema.json()))
+            self._commit(old, Manifest(old.number + 1, writes, old.changed | dict.fromkeys(parts, old.number + 1), old.seen, schema))
         return parts
 
-    def replace(self, rows: DataFrame, of: list[str] | None = None, seen: dict[str, int] | None = None) -> list[str]:
-        """Rows in place of all rows of their parts, and of the parts `of`, which go if they have no rows; the parts that changed."""
+    def replace(self, rows: DataFrame, of: list[str] | None = None, seen: dict[str, int] | None = None, finish=None, dealt: bool = False) -> list[str]:
+        """Rows in place of all rows of their parts, and of the parts `of`, which go if they have no rows; the parts that changed.
+
+        finish: as in `append`; dealt: rows lie in tasks by their parts already.
+        """
         old = self.manifest()
-        write, parts = self._written(rows, old)
+        write, parts, schema = self._written(rows, old, finish, dealt)
         touched = [*dict.fromkeys([*parts, *(p for p in of or [] if p in old.writes)])]
         if touched or not old.schema or (seen and old.seen | seen != old.seen):
             writes = {p: ws for p, ws in old.writes.items() if p not in set(touched)} | {p: [write] for p in parts}
             changed = {p: n for p, n in old.changed.items() if p in writes} | dict.fromkeys(parts, old.number + 1)
-            self._commit(old, Manifest(old.number + 1, writes, changed, old.seen | (seen or {}), rows.schema.json()))
+            self._commit(old, Manifest(old.number + 1, writes, changed, old.seen | (seen or {}), schema))
         return touched
 
     def compact(self, most: int | None = None) -> list[str]:
@@ -261,7 +269,7 @@ class PartTable:
         old = self.manifest()
         many = [p for p, ws in old.writes.items() if len(ws) > (most or self.MOST)]
         if many:
-            write, parts = self._written(self.read(many), old)
+            write, parts, _ = self._written(self.read(many), old)
             self._commit(old, Manifest(old.number + 1, old.writes | {p: [write] for p in parts}, old.changed, old.seen, old.schema))
         return many
 
@@ -284,15 +292,17 @@ class PartTable:
                 gone += 1
         return gone
 
-    def _written(self, rows: DataFrame, old: Manifest) -> tuple[str, list[str]]:
+    def _written(self, rows: DataFrame, old: Manifest, finish=None, dealt: bool = False) -> tuple[str, list[str], str]:
         write = f"w{old.number + 1}-{uuid.uuid4().hex[:12]}"
         path = f"{self.root}/data/{write}"
         # Few files a part, and a large part in several: the rebalance splits by size.
-        dealt = rows.withColumn("part", self.part).hint("rebalance", F.col("part"))
-        dealt.write.partitionBy("part").parquet(path)
+        rows = rows.withColumn("part", self.part)
+        rows = rows if dealt else rows.hint("rebalance", F.col("part"))
+        rows = finish(rows) if finish else rows
+        rows.write.partitionBy("part").option("compression", COMPRESSION).parquet(path)
         fs, where = self.store._fs(path)
         self.store.step(f"{self.name} written")
-        return write, [s.getPath().getName().removeprefix("part=") for s in fs.listStatus(where) if s.isDirectory()]
+        return write, [s.getPath().getName().removeprefix("part=") for s in fs.listStatus(where) if s.isDirectory()], rows.drop("part").schema.json()
 
     def _commit(self, old: Manifest, new: Manifest) -> None:
         final, draft = f"{self.root}/commits/m{new.number}", f"{self.root}/commits/draft-{uuid.uuid4().hex}"

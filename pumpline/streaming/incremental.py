@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pumpline.functions import lists
@@ -65,7 +65,38 @@ def refreshed(stations: DataFrame, changed: DataFrame, depth: int | None = lates
     fold = lambda _, old, new: F.aggregate(F.coalesce(new, empty), F.coalesce(old, empty), lambda acc, x: lists.latest_of(acc, x, depth))
     merged = F.map_zip_with(F.coalesce("latestPrices", none), F.coalesce("fresh", none), fold)
     rows = rows.withColumn("latestPrices", F.when(F.col("fresh").isNull(), F.col("latestPrices")).otherwise(merged))
-    return rows.withColumn("latestPrice", F.transform_values("latestPrices", lambda _, x: F.get(x, F.lit(0)))).drop("fresh")
+    return rows.withColumn("latestPrice", firsts("latestPrices")).drop("fresh")
+
+
+def firsts(latest_prices: str) -> Column:
+    """Of each product the first row of its list."""
+    return F.transform_values(latest_prices, lambda _, x: F.get(x, F.lit(0)))
+
+
+def put_lists(store: Store, changed: DataFrame, depth: int = latest.DEPTH, seen: dict[str, int] | None = None) -> None:
+    """The table `latest` (id, latestPrices) with changed daily rows in its lists, as in `refreshed`; the latest rows are the lists' first.
+
+    Stored lists and changed rows move once, to tasks of which each has a share of a bucket's stations and writes it.
+    """
+    table = store.by_bucket("latest", "id")
+    value = F.struct(*[c for c in changed.columns if c != "station"])
+    rows = changed.select(F.col("station").alias("id"), "fuel", F.array(value).alias("fresh"))
+    if table.exists():
+        buckets = [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
+        old = table.read(buckets).select("id", F.explode("latestPrices").alias("fuel", "old"))
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("old", F.lit(None).cast(rows.schema["fresh"].dataType))
+    shares = max(1, int(store.spark.conf.get("spark.sql.shuffle.partitions")) // store.buckets)
+    at = ["bucket", "share"]
+    rows = rows.withColumn("bucket", store.bucket("id")).withColumn("share", F.pmod(F.hash("id"), F.lit(shares))).repartition(*at)
+    of_fuel = rows.groupBy(*at, "id", "fuel").agg(F.flatten(F.collect_list("fresh")).alias("fresh"), F.flatten(F.collect_list("old")).alias("old"))
+    days = F.transform("fresh", lambda x: x["day"])
+    kept = F.concat("fresh", F.filter("old", lambda x: ~F.array_contains(days, x["day"])))
+    sorted_ = F.reverse(F.array_sort(F.transform(kept, lambda x: F.struct(x["day"].alias("day"), x.alias("x")))))
+    merged = F.when(F.size("fresh") == 0, F.col("old")).otherwise(F.slice(F.transform(sorted_, lambda k: k["x"]), 1, depth))
+    lists_ = of_fuel.groupBy(*at, "id").agg(F.map_from_entries(F.collect_list(F.struct("fuel", merged.alias("list")))).alias("latestPrices"))
+    table.replace(lists_.select("id", "latestPrices"), seen=seen, dealt=True)
 
 
 def process(store: Store, batch: DataFrame, fuels=None) -> DataFrame:
@@ -109,9 +140,7 @@ def _processed(store: Store, batch: DataFrame) -> DataFrame:
         rows.replace(replace_matching(rows.read(days, schema), made, key))
         closings.put(rows.read(days, schema).join(again, key, "left_semi"))
         changed = rows.read(days, schema).join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi")
-        lists = store.by_bucket("latest", "id")
-        buckets = [r[0] for r in batch.select(store.bucket().alias("b")).distinct().collect()]  # as many as there are buckets at most
-        lists.replace(refreshed(lists.read(buckets, "id string") if not lists.exists() else lists.read(buckets), changed))
+        put_lists(store, changed)
         reports.compact()
         return changed
     finally:

@@ -224,3 +224,27 @@ def test_pages(spark):
     assert stations.links(5, 9, 1) == [1, None, 4, 5, 6, None, 9]
     with pytest.raises(ValueError):
         stations.page(rows, 0)
+
+
+def test_lists_of_an_import_move_once(spark, files, monkeypatch):
+    """Days are dealt by lists and opening prices alone, and the lists of latest rows take one exchange for stored and new rows."""
+    from pumpline.sources.store import PartTable
+
+    seen = {}
+    for step in ("append", "replace"):
+        def kept(table, rows, *args, _do=getattr(PartTable, step), **named):
+            seen[table.name] = rows
+            return _do(table, rows, *args, **named)
+
+        monkeypatch.setattr(PartTable, step, kept)
+    store = Store(spark, str(files / "store"), 4)
+    imports.import_stations(spark, store, str(files / "stations.csv"))
+    for text in ("2024-02-19 09:00:00", "2024-02-22 09:00:00"):
+        (files / "one.csv").write_text(REPORTS.splitlines()[0] + f"\n{text},{A},1.4,9.9,9.9,1,0,0\n")
+        assert imports.import_reports(spark, store, str(files / "one.csv")).inserted == 1
+    assert not {"lowestPrice", "highestPrice", "weightedAveragePrice", "id"} & set(seen["daily"].columns)
+    assert seen["latest"]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert store.by_bucket("latest", "id").read().columns == ["id", "latestPrices"]  # the latest row is the list's first
+    last = store.read("stations").filter(f"id = '{A.lower()}'").first()
+    assert [x.day.day for x in last.latestPrices["diesel"]] == [22, 19] and last.latestPrice["diesel"] == last.latestPrices["diesel"][0]
+    assert last.latestPrice["diesel"].openingPrice == 1.4 and len(last.latestPrice["diesel"].id) == 32
