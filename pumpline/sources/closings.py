@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pumpline.sources.store import Store, replace_matching
+from pumpline.sources.store import Store
 
 KEY = ["station", "fuel", "day"]
 CLOSING = "station string, fuel string, day timestamp_ntz, closingPrice double"
@@ -50,12 +50,11 @@ class Closings:
         far = far.select("station", "fuel", F.explode(F.array(F.struct(F.col("first").alias("day"), F.lit(None).cast("double").alias("closingPrice")), F.struct(F.col("last").alias("day"), "closingPrice"))).alias("x")).select("station", "fuel", "x.*")
         return near.select(*KEY, "closingPrice").unionByName(far)
 
-    def put(self, rows: DataFrame) -> None:
-        """Closing prices of new or changed daily rows (station, fuel, day, closingPrice)."""
+    def put(self, rows: DataFrame, keys: DataFrame | None = None) -> None:
+        """Closing prices of new or changed daily rows (station, fuel, day, closingPrice); keys: theirs, where these are at hand."""
         rows = rows.select(*KEY, "closingPrice")
-        days, buckets = self._parts(rows)
-        both = self.days.read(days, CLOSING).withColumn("is_new", F.lit(False)).unionByName(rows.withColumn("is_new", F.lit(True)))
-        self.days.replace(both.groupBy(*KEY).agg(F.max_by("closingPrice", "is_new").alias("closingPrice")))
-        touched = rows.select("station", "fuel", month_of("day").alias("month")).distinct()
+        days, buckets = self._parts(rows if keys is None else keys)
+        self.days.merge(rows, days, KEY)
+        touched = (rows if keys is None else keys).select("station", "fuel", month_of("day").alias("month")).distinct()
         now = by_month(self.days.read(days, CLOSING)).join(touched, ["station", "fuel", "month"], "left_semi")
-        self.months.replace(replace_matching(self.months.read(buckets, MONTH), now, ["station", "fuel", "month"]))
+        self.months.merge(now, buckets, ["station", "fuel", "month"])

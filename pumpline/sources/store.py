@@ -14,7 +14,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 BUCKETS = 64
@@ -264,6 +264,19 @@ class PartTable:
             self._commit(old, Manifest(old.number + 1, writes, changed, old.seen | (seen or {}), schema))
         return touched
 
+    def merge(self, new: DataFrame, parts: list[str], key: list[str]) -> list[str]:
+        """New rows in place of those of their key, in the given parts, which are all that new rows have; other rows stay.
+
+        Stored and new rows move once, to tasks of which each has a share of a part's keys and writes it.
+        """
+        old = self.read(parts, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields))
+        both = new.withColumn("is_new", F.lit(True)).unionByName(old.select(*new.columns).withColumn("is_new", F.lit(False)))
+        shares = max(1, int(self.store.spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(parts)))
+        at = ["part", "share"]
+        both = both.withColumn("part", self.part).withColumn("share", F.pmod(F.hash(*key), F.lit(shares))).repartition(*at)
+        first = Window.partitionBy(*at, *key).orderBy(F.desc("is_new"))
+        return self.replace(both.withColumn("n", F.row_number().over(first)).filter("n = 1").select(*new.columns), dealt=True)
+
     def compact(self, most: int | None = None) -> list[str]:
         """Makes one write of the parts that have more than `most`; their rows don't count as changed."""
         old = self.manifest()

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pumpline.functions import lists
 from pumpline.operators import daily, latest
 from pumpline.sources.closings import Closings
-from pumpline.sources.store import Store, replace_matching
+from pumpline.sources.store import Store
 
 
 def upserted(rows: DataFrame, reports: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def firsts(latest_prices: str) -> Column:
     return F.transform_values(latest_prices, lambda _, x: F.get(x, F.lit(0)))
 
 
-def put_lists(store: Store, changed: DataFrame, depth: int = latest.DEPTH, seen: dict[str, int] | None = None) -> None:
+def put_lists(store: Store, changed: DataFrame, depth: int = latest.DEPTH, seen: dict[str, int] | None = None, buckets: list[str] | None = None) -> None:
     """The table `latest` (id, latestPrices) with changed daily rows in its lists, as in `refreshed`; the latest rows are the lists' first.
 
     Stored lists and changed rows move once, to tasks of which each has a share of a bucket's stations and writes it.
@@ -82,7 +82,7 @@ def put_lists(store: Store, changed: DataFrame, depth: int = latest.DEPTH, seen:
     value = F.struct(*[c for c in changed.columns if c != "station"])
     rows = changed.select(F.col("station").alias("id"), "fuel", F.array(value).alias("fresh"))
     if table.exists():
-        buckets = [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
+        buckets = buckets or [r[0] for r in changed.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
         old = table.read(buckets).select("id", F.explode("latestPrices").alias("fuel", "old"))
         rows = rows.unionByName(old, allowMissingColumns=True)
     else:
@@ -124,27 +124,35 @@ def _processed(store: Store, batch: DataFrame) -> DataFrame:
     known = reports.read(touched, schema_text(batch))
     reports.append(batch.join(known.select("id"), "id", "left_anti").select(*batch.columns))
     keys = batch.select(*daily.KEY).distinct()
-    around = closings.around(keys)
     # The first stored day behind each touched one opens with its closing price.
-    marks = around.select(*daily.KEY, F.lit(0).alias("hit")).unionByName(keys.withColumn("hit", F.lit(1))).groupBy(*daily.KEY).agg(F.max("hit").alias("hit"))
+    marks = closings.around(keys).withColumn("hit", F.lit(0)).unionByName(keys.withColumn("hit", F.lit(1)), allowMissingColumns=True)
+    marks = marks.groupBy(*daily.KEY).agg(F.max("hit").alias("hit"), F.max("closingPrice").alias("closingPrice"))
     order = Window.partitionBy("station", "fuel").orderBy("day")
-    again = marks.withColumn("behind", F.lag("hit").over(order)).filter("hit = 1 or behind = 1").select(*daily.KEY).persist()
+    behind = F.coalesce(F.lag("hit").over(order) == 1, F.lit(False))
+    marks = marks.withColumn("again", (F.col("hit") == 1) | behind).drop("hit").persist()
     try:
-        days, key = shown(again), list(daily.KEY)
-        made = daily.by_day(reports.read(days, schema_text(batch)).join(again, key, "left_semi"))
-        others = around.join(again, key, "left_anti")
-        opening = daily.opening_as_of(made.select(*key), made.select(*key, "closingPrice").unionByName(others))
-        made = daily.with_averages(made.join(opening, key))
-        made = made.select(*daily.daily_prices(batch.limit(0)).columns)
+        key = list(daily.KEY)
+        again = marks.filter("again").select(*key)
+        days = shown(again)
+        # Reports are dealt by their day's key for the join, and so for the grouping.
+        read = daily.grouped(reports.read(days, schema_text(batch)).join(again, key, "left_semi"), colocate=False)
+        read = read.select(*key, lists.by_date("prices").alias("prices")).withColumn("closingPrice", lists.closing("prices")).withColumn("again", F.lit(True))
+        both = read.unionByName(marks.filter("not again"), allowMissingColumns=True)
+        earlier = F.last("closingPrice", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        made = both.withColumn("openingPrice", earlier).filter("again").select(*key, "prices", "openingPrice")
+        made = daily.completed(made).select(*daily.daily_prices(batch.limit(0)).columns)
         schema = schema_text(made)
-        rows.replace(replace_matching(rows.read(days, schema), made, key))
-        closings.put(rows.read(days, schema).join(again, key, "left_semi"))
-        changed = rows.read(days, schema).join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi")
-        put_lists(store, changed)
+        rows.merge(made, days, key)
+        stored = rows.read(days, schema)
+        closings.put(stored.join(again, key, "left_semi"), again)
+        buckets = [r[0] for r in batch.select(store.bucket()).distinct().collect()]  # as many as there are buckets at most
+        # Rows of other stations of these buckets are in the lists as they are, so they change nothing.
+        put_lists(store, stored.filter(store.bucket().isin(buckets)), buckets=buckets)
+        changed = stored.join(batch.select("station", "fuel").distinct(), ["station", "fuel"], "left_semi")
         reports.compact()
         return changed
     finally:
-        again.unpersist()
+        marks.unpersist()
 
 
 def schema_text(rows: DataFrame) -> str:

@@ -169,3 +169,23 @@ def test_of_two_writers_the_later_fails(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another writer"):
         a.append(rows)
     assert store.by_day("t").read().count() == 2
+
+
+def test_merged_rows_move_once(spark, tmp_path, monkeypatch):
+    """New rows stand in place of those of their key, the others stay, and rows move once."""
+    from pumpline.sources.store import PartTable
+
+    table = Store(spark, str(tmp_path)).by_day("t")
+    rows = lambda *made: spark.createDataFrame(made, "k int, v string, day timestamp_ntz")
+    one, two = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    table.append(rows((1, "a", one), (2, "b", one), (1, "c", two)))
+    seen, do = [], PartTable.replace
+
+    def kept(self, made, *args, **named):
+        seen.append(made)
+        return do(self, made, *args, **named)
+
+    monkeypatch.setattr(PartTable, "replace", kept)
+    assert table.merge(rows((2, "new", one), (3, "d", one)), ["2024-01-01"], ["k"]) == ["2024-01-01"]
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "a"), (1, "c"), (2, "new"), (3, "d")]
+    assert seen[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
