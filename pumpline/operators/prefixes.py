@@ -13,15 +13,19 @@ LAST = "\U0010ffff"
 
 
 def words(stations: DataFrame) -> DataFrame:
-    """(word, field, id): lower-case words of the searched fields."""
+    """(word, field, id): lower-case words of the searched fields, each once per row of a station.
+
+    Words are told apart within their field, so no task holds more than a station at a time.
+    """
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
-    rows = stations.select("id", F.explode(texts).alias("x")).select("id", "x.field", F.explode(F.split(F.lower("x.text"), r"[^\p{L}\p{N}]+")).alias("word"))
-    return rows.filter("word <> ''").select("word", "field", "id").distinct()
+    own = F.array_distinct(F.split(F.lower("x.text"), r"[^\p{L}\p{N}]+"))
+    rows = stations.select("id", F.explode(texts).alias("x")).select("id", "x.field", F.explode(own).alias("word"))
+    return rows.filter("word <> ''").select("word", "field", "id")
 
 
 def write(stations: DataFrame, path: str) -> DataFrame:
-    """The index as a table in order of word."""
-    words(stations).repartitionByRange("word").sortWithinPartitions("word", "id").write.parquet(path)
+    """The index as a table in order of word; the stations of a frequent word are spread over tasks."""
+    words(stations).repartitionByRange("word", "id").sortWithinPartitions("word", "id").write.parquet(path)
     return stations.sparkSession.read.parquet(path)
 
 

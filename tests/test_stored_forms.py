@@ -55,6 +55,21 @@ def test_the_index_finds_what_the_search_finds(spark, tmp_path):
     assert "GreaterThanOrEqual(word,mil)" in text and "LessThan(word,mil" in text
 
 
+def test_no_task_holds_the_words_of_many_stations(spark, tmp_path):
+    """Words repeat within a field only, so nothing is aggregated; a word of all stations doesn't lie in one task."""
+    address = "struct<street: string, houseNumber: string, postCode: string, city: string>"
+    rows = [(str(i), "Station station 7", (None, "1", "7", "Station")) for i in range(400)]
+    table = spark.createDataFrame(rows, f"id string, name string, address {address}")
+    assert "Aggregate" not in plan(prefixes.words(table))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = prefixes.write(table, str(tmp_path / "words"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.count() == index.distinct().count() == 1600
+    assert index.filter("word = 'station'").select(F.col("_metadata.file_path")).distinct().count() > 1
+
+
 def test_every_page_of_a_listing(spark, tmp_path):
     rows = spark.createDataFrame([(f"{i * 7919 % 1000:04}", i) for i in range(205)], "id string, part_of int")
     found = listing.write(rows, str(tmp_path / "listing"), parts=6)
