@@ -208,6 +208,24 @@ def test_each_id_is_scored_with_half_a_window_before_it():
     assert attention.EXPERTS == 64
 
 
+@pytest.mark.parametrize("size", [1, 300])
+def test_rows_are_shifted_only_where_values_are_large(size):
+    """Attention and mixture equal plain softmax in double precision, for small values without a look at each row."""
+    rng = np.random.default_rng(8)
+    start, (s, g), distance = 16, (size * rng.standard_normal((5, 16, n)).astype(np.float32) for n in (32, 9)), rng.standard_normal(32).astype(np.float32)
+    seen = np.arange(start, 32)[:, None] >= np.arange(32)
+    x = np.where(seen, s.astype(float) + distance[attention.BACK[start:]], -np.inf)
+    for want, got in ((x, attention._attended(s.copy(), distance, start)), (g.astype(float), attention._stable(g.copy()))):
+        e = np.exp(want - want.max(axis=2, keepdims=True))
+        assert np.allclose(got / attention._sums(got), e / e.sum(axis=2, keepdims=True), rtol=1e-3, atol=1e-6)
+    assert (attention._attended(s.copy(), distance, start)[:, ~seen] == 0).all()
+    total, want, at, rows = np.ones((9, 4), np.float32), np.ones((9, 4)), rng.integers(0, 9, 60), rng.random((60, 4), np.float32)
+    np.add.at(want, at, rows)
+    for part in (slice(0, 0), slice(0, 1), slice(1, None)):
+        attention._add_rows(total, at[part], rows[part])
+    assert np.allclose(total, want, rtol=1e-5)
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(5)
     half = rng.integers(0, 2, 400)
